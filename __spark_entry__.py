@@ -262,6 +262,249 @@ def _customer_status(spark, d):
     return C.customer_status(T.customers(spark, d))
 
 
+# ----------------------------------------------------------------------------
+# sales, product, regional and time analytics
+
+_DBL = "CAST(SUM(total_amount) AS DOUBLE)"
+_AVG = "CAST(SUM(total_amount) AS DOUBLE) / NULLIF(COUNT(total_amount), 0)"
+
+
+@_register("daily_sales", _with(SALES_CTE) + f"""
+SELECT CAST(transaction_date AS DATE) AS sale_date, region, sales_channel, {_DBL} AS total_revenue,
+       COUNT(transaction_id) AS transaction_count, {_AVG} AS avg_transaction_value,
+       CAST(SUM(quantity) AS BIGINT) AS total_units_sold, COUNT(DISTINCT customer_id) AS unique_customers,
+       {_DBL} / NULLIF(COUNT(DISTINCT customer_id), 0) AS revenue_per_customer
+FROM sales GROUP BY 1, 2, 3""")
+def _daily_sales(spark, d):
+    return S.daily_sales(_sales(spark, d))
+
+
+@_register("daily_trend", _with(SALES_CTE) + f"""
+SELECT CAST(transaction_date AS DATE) AS sale_date, {_DBL} AS daily_revenue, COUNT(transaction_id) AS transaction_count
+FROM sales GROUP BY 1""")
+def _daily_trend(spark, d):
+    return S.daily_trend(_sales(spark, d))
+
+
+_MONTHLY = f"""m AS (
+  SELECT CAST(year(transaction_date) AS INTEGER) AS year, CAST(month(transaction_date) AS INTEGER) AS month,
+         strftime(transaction_date, '%Y-%m') AS year_month, region, {_DBL} AS monthly_revenue,
+         COUNT(transaction_id) AS transaction_count, COUNT(DISTINCT customer_id) AS unique_customers,
+         {_AVG} AS avg_order_value
+  FROM sales GROUP BY 1, 2, 3, 4),
+m2 AS (
+  SELECT *, LAG(monthly_revenue) OVER (PARTITION BY region ORDER BY year, month) AS prev_month_revenue,
+            LAG(monthly_revenue) OVER (PARTITION BY region, month ORDER BY year) AS prev_year_revenue FROM m)"""
+
+
+@_register("monthly_trends", _with(SALES_CTE, _MONTHLY) + """
+SELECT year, month, year_month, region, monthly_revenue, transaction_count, unique_customers, avg_order_value,
+       prev_month_revenue, (monthly_revenue - prev_month_revenue) / NULLIF(prev_month_revenue, 0) * 100.0 AS mom_growth_pct,
+       prev_year_revenue, (monthly_revenue - prev_year_revenue) / NULLIF(prev_year_revenue, 0) * 100.0 AS yoy_growth_pct
+FROM m2""")
+def _monthly_trends(spark, d):
+    return S.monthly_trends(_sales(spark, d))
+
+
+@_register("monthly_mom", _with(SALES_CTE) + f"""
+SELECT *, (monthly_revenue - prev_month_revenue) / NULLIF(prev_month_revenue, 0) * 100.0 AS mom_growth_pct FROM (
+  SELECT *, LAG(monthly_revenue) OVER (PARTITION BY region ORDER BY year, month) AS prev_month_revenue FROM (
+    SELECT CAST(year(transaction_date) AS INTEGER) AS year, CAST(month(transaction_date) AS INTEGER) AS month,
+           date_trunc('month', transaction_date) AS year_month, region, {_DBL} AS monthly_revenue,
+           COUNT(transaction_id) AS transaction_count, COUNT(DISTINCT customer_id) AS unique_customers
+    FROM sales GROUP BY 1, 2, 3, 4) a) b""")
+def _monthly_mom(spark, d):
+    return S.monthly_mom(_sales(spark, d))
+
+
+_PRODUCT_SALES = f"""ps AS (
+  SELECT product_id, {_DBL} AS total_revenue, CAST(SUM(quantity) AS BIGINT) AS total_quantity_sold,
+         COUNT(transaction_id) AS transaction_count, COUNT(DISTINCT customer_id) AS unique_buyers,
+         {_AVG} AS avg_sale_amount
+  FROM sales GROUP BY product_id)"""
+
+_PRODUCT_PERF = """pp0 AS (
+  SELECT p.*, ps.* EXCLUDE (product_id),
+         CASE WHEN p.unit_cost IS NOT NULL THEN p.unit_cost * ps.total_quantity_sold END AS total_cost
+  FROM products p LEFT JOIN ps USING (product_id)),
+pp1 AS (SELECT *, CASE WHEN total_cost IS NOT NULL THEN total_revenue - total_cost END AS gross_profit FROM pp0),
+pp AS (
+  SELECT *, CASE WHEN total_revenue > 0 AND gross_profit IS NOT NULL
+                 THEN gross_profit / NULLIF(total_revenue, 0) * 100.0 END AS profit_margin_pct,
+         CAST(row_number() OVER (ORDER BY total_revenue DESC NULLS LAST, product_id) AS INTEGER) AS revenue_rank
+  FROM pp1)"""
+
+
+@_register("product_performance", _with(SALES_CTE, PRODUCTS_CTE, _PRODUCT_SALES, _PRODUCT_PERF) + "SELECT * FROM pp")
+def _product_performance(spark, d):
+    return S.product_performance(_sales(spark, d), T.products(spark, d))
+
+
+@_register("best_worst_products", _with(SALES_CTE, PRODUCTS_CTE, _PRODUCT_SALES) + """,
+x AS (SELECT ps.*, p.product_name, p.category FROM ps LEFT JOIN products p USING (product_id))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY total_revenue DESC, product_id) AS INTEGER) AS position,
+                      'best' AS performance FROM x) WHERE position <= 10
+UNION ALL
+SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY total_revenue ASC, product_id) AS INTEGER) AS position,
+                      'worst' AS performance FROM x) WHERE position <= 10""")
+def _best_worst_products(spark, d):
+    return S.best_worst_products(_sales(spark, d), T.products(spark, d), 10)
+
+
+@_register("category_performance", _with(SALES_CTE, PRODUCTS_CTE) + f"""
+SELECT p.category, {_DBL} AS category_revenue, CAST(SUM(quantity) AS BIGINT) AS total_units_sold,
+       COUNT(DISTINCT s.product_id) AS product_count, COUNT(DISTINCT customer_id) AS unique_customers,
+       {_AVG} AS avg_transaction_value,
+       {_DBL} / NULLIF(CAST(SUM(SUM(total_amount)) OVER () AS DOUBLE), 0) * 100.0 AS revenue_contribution_pct
+FROM sales s LEFT JOIN products p ON s.product_id = p.product_id GROUP BY p.category""")
+def _category_performance(spark, d):
+    return S.category_performance(_sales(spark, d), T.products(spark, d))
+
+
+@_register("regional_performance", _with(SALES_CTE) + f"""
+SELECT *, CAST(row_number() OVER (ORDER BY total_revenue DESC NULLS LAST, region) AS INTEGER) AS revenue_rank FROM (
+  SELECT region, {_DBL} AS total_revenue, COUNT(transaction_id) AS transaction_count,
+         COUNT(DISTINCT customer_id) AS unique_customers, {_AVG} AS avg_order_value,
+         CAST(SUM(quantity) AS BIGINT) AS total_units_sold,
+         {_DBL} / NULLIF(COUNT(DISTINCT customer_id), 0) AS revenue_per_customer,
+         CAST(COUNT(transaction_id) AS DOUBLE) / NULLIF(COUNT(DISTINCT customer_id), 0) AS transactions_per_customer
+  FROM sales GROUP BY region) t""")
+def _regional_performance(spark, d):
+    return S.regional_performance(_sales(spark, d))
+
+
+@_register("sales_velocity", _with(SALES_CTE) + """
+SELECT sale_date, product_id, daily_quantity, CAST(rev AS DOUBLE) AS daily_revenue,
+       CAST(SUM(daily_quantity) OVER w AS DOUBLE) / NULLIF(COUNT(daily_quantity) OVER w, 0) AS avg_daily_quantity_30d,
+       CAST(SUM(rev) OVER w AS DOUBLE) / NULLIF(COUNT(rev) OVER w, 0) AS avg_daily_revenue_30d
+FROM (SELECT CAST(transaction_date AS DATE) AS sale_date, product_id, CAST(SUM(quantity) AS BIGINT) AS daily_quantity,
+             SUM(total_amount) AS rev FROM sales GROUP BY 1, 2) d
+WINDOW w AS (PARTITION BY product_id ORDER BY sale_date RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)""")
+def _sales_velocity(spark, d):
+    return S.sales_velocity(_sales(spark, d), 30)
+
+
+@_register("sales_by_region", _with(SALES_CTE) + f"""
+SELECT region, {_DBL} AS total_revenue, COUNT(transaction_id) AS transaction_count, {_AVG} AS avg_transaction_value
+FROM sales GROUP BY region""")
+def _sales_by_region(spark, d):
+    return S.sales_by_region(_sales(spark, d))
+
+
+@_register("sales_by_channel", _with(SALES_CTE) + f"""
+SELECT sales_channel, {_DBL} AS total_revenue, COUNT(transaction_id) AS transaction_count
+FROM sales GROUP BY sales_channel""")
+def _sales_by_channel(spark, d):
+    return S.sales_by_channel(_sales(spark, d))
+
+
+@_register("products_by_category", _with(PRODUCTS_CTE) + """
+SELECT category, COUNT(product_id) AS product_count, AVG(unit_price) AS avg_price FROM products GROUP BY category""")
+def _products_by_category(spark, d):
+    return S.products_by_category(T.products(spark, d))
+
+
+@_register("price_distribution", _with(PRODUCTS_CTE) + """
+SELECT MIN(unit_price) AS min_price, MAX(unit_price) AS max_price, AVG(unit_price) AS avg_price,
+       quantile_disc(unit_price, 0.5) AS median_price FROM products""")
+def _price_distribution(spark, d):
+    return S.price_distribution(T.products(spark, d))
+
+
+@_register("top_products_named", _with(SALES_CTE, PRODUCTS_CTE) + """
+SELECT t.product_id, t.total_revenue, t.total_quantity_sold, p.product_name, p.category FROM (
+  SELECT product_id, CAST(SUM(total_amount) AS DOUBLE) AS total_revenue, CAST(SUM(quantity) AS BIGINT) AS total_quantity_sold
+  FROM sales GROUP BY product_id ORDER BY SUM(total_amount) DESC NULLS LAST, product_id LIMIT 20) t
+LEFT JOIN products p ON t.product_id = p.product_id""")
+def _top_products_named(spark, d):
+    return S.top_products_named(_sales(spark, d), T.products(spark, d), 20)
+
+
+@_register("key_metrics", _with(SALES_CTE) + f"""
+SELECT {_DBL} AS total_revenue, COUNT(*) AS total_transactions, COUNT(DISTINCT customer_id) AS unique_customers,
+       {_DBL} / NULLIF(COUNT(*), 0) AS avg_transaction_value,
+       {_DBL} / NULLIF(COUNT(DISTINCT customer_id), 0) AS revenue_per_customer FROM sales""")
+def _key_metrics(spark, d):
+    return S.key_metrics(_sales(spark, d))
+
+
+def _summary_sql() -> str:
+    cols = ["quantity", "unit_price", "discount_percentage", "total_amount"]
+    stats = {
+        "count": "CAST(COUNT({c}) AS DOUBLE)", "mean": "AVG(CAST({c} AS DOUBLE))",
+        "stddev": "STDDEV_SAMP(CAST({c} AS DOUBLE))", "min": "CAST(MIN({c}) AS DOUBLE)",
+        "25%": "CAST(quantile_disc({c}, 0.25) AS DOUBLE)", "50%": "CAST(quantile_disc({c}, 0.5) AS DOUBLE)",
+        "75%": "CAST(quantile_disc({c}, 0.75) AS DOUBLE)", "max": "CAST(MAX({c}) AS DOUBLE)",
+    }
+    parts = []
+    for name, tmpl in stats.items():
+        sel = ", ".join(tmpl.format(c=c) + f" AS {c}" for c in cols)
+        parts.append(f"SELECT '{name}' AS summary, {sel} FROM sales")
+    return _with(SALES_CTE) + "\nUNION ALL\n".join(parts)
+
+
+@_register("numeric_summary", _summary_sql())
+def _numeric_summary(spark, d):
+    return S.numeric_summary(_sales(spark, d))
+
+
+@_register("dataset_overview", _with(SALES_CTE, CUSTOMERS_CTE, PRODUCTS_CTE) + """
+SELECT 'sales' AS dataset, COUNT(*) AS record_count, 12 AS column_count,
+       'transaction_id, transaction_date, customer_id, product_id, quantity' AS first_columns FROM sales
+UNION ALL SELECT 'customers', COUNT(*), 8, 'customer_id, first_name, last_name, email, country' FROM customers
+UNION ALL SELECT 'products', COUNT(*), 7, 'product_id, product_name, category, subcategory, brand' FROM products""")
+def _dataset_overview(spark, d):
+    return S.dataset_overview({"sales": _sales(spark, d), "customers": T.customers(spark, d),
+                               "products": T.products(spark, d)})
+
+
+@_register("region_revenue_since", _with(SALES_CTE) + f"""
+SELECT region, {_DBL} AS revenue, COUNT(transaction_id) AS transaction_count FROM sales
+WHERE transaction_date >= TIMESTAMP '2000-01-01 00:00:00' GROUP BY region""")
+def _region_revenue_since(spark, d):
+    return S.region_revenue_since(_sales(spark, d), "2000-01-01")
+
+
+@_register("weekly_sales", _with(SALES_CTE) + f"""
+SELECT CAST(date_trunc('week', transaction_date) AS DATE) AS week_start, region, {_DBL} AS weekly_revenue,
+       COUNT(transaction_id) AS transaction_count, COUNT(DISTINCT customer_id) AS unique_customers
+FROM sales GROUP BY 1, 2""")
+def _weekly_sales(spark, d):
+    return S.weekly_sales(_sales(spark, d))
+
+
+@_register("fiscal_year_sales", _with(SALES_CTE) + f"""
+SELECT CAST(year(CAST(transaction_date AS DATE) + INTERVAL 9 MONTH) AS INTEGER) AS fiscal_year, region,
+       {_DBL} AS revenue, COUNT(transaction_id) AS transaction_count FROM sales GROUP BY 1, 2""")
+def _fiscal_year_sales(spark, d):
+    return S.fiscal_year_sales(_sales(spark, d), fiscal_year_start_month=4)
+
+
+@_register("sales_region_filtered", _with(SALES_CTE) + """
+SELECT * FROM sales WHERE region IN ('EUROPE', 'ASIA')""")
+def _sales_region_filtered(spark, d):
+    return S.sales_region_filtered(_sales(spark, d), ["EUROPE", "ASIA"])
+
+
+@_register("demand_forecast", _with(SALES_CTE) + """,
+d AS (SELECT product_id, CAST(transaction_date AS DATE) AS sale_date,
+             CAST(datediff('day', DATE '1970-01-01', CAST(transaction_date AS DATE)) AS DECIMAL(38,0)) AS x,
+             CAST(SUM(quantity) AS DECIMAL(38,0)) AS q FROM sales GROUP BY 1, 2, 3),
+s AS (SELECT product_id, CAST(COUNT(q) AS DECIMAL(38,0)) AS n, SUM(x) AS sx, SUM(q) AS sy, SUM(x * x) AS sxx,
+             SUM(x * q) AS sxy, MAX(sale_date) AS last_sale_date, MAX(x) AS last_x FROM d GROUP BY product_id),
+f AS (SELECT product_id,
+             CAST(n * sxy - sx * sy AS DOUBLE) / NULLIF(CAST(n * sxx - sx * sx AS DOUBLE), 0) AS trend_slope,
+             CAST(sy * sxx - sx * sxy AS DOUBLE) / NULLIF(CAST(n * sxx - sx * sx AS DOUBLE), 0) AS trend_intercept,
+             CAST(sy AS DOUBLE) / NULLIF(CAST(n AS DOUBLE), 0) AS mean_daily_quantity,
+             CAST(n AS BIGINT) AS sale_days, last_sale_date, CAST(last_x AS DOUBLE) AS last_x FROM s)
+SELECT product_id, trend_slope, trend_intercept, mean_daily_quantity, sale_days, last_sale_date,
+       CASE WHEN trend_slope IS NULL THEN mean_daily_quantity * 30.0
+            ELSE greatest(0.0, trend_intercept + trend_slope * (last_x + 15.5)) * 30.0 END AS forecast_quantity_30d
+FROM f""")
+def _demand_forecast(spark, d):
+    return S.demand_forecast(_sales(spark, d), 30)
+
+
 # ----------------------------------------------------------------------------
 # contract
 
