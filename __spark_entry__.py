@@ -505,6 +505,194 @@ def _demand_forecast(spark, d):
     return S.demand_forecast(_sales(spark, d), 30)
 
 
+# ----------------------------------------------------------------------------
+# data quality and cleaning
+
+SALES_COLS = ["transaction_id", "transaction_date", "customer_id", "product_id", "quantity", "unit_price",
+              "discount_percentage", "total_amount", "payment_method", "sales_channel", "region", "store_id"]
+NULLS_CTE = DIRTY_CTE + """,
+nsales AS (SELECT * REPLACE (NULLIF(sales_channel, '5-LOW') AS sales_channel, NULLIF(store_id, '1') AS store_id)
+           FROM dirty_sales)"""
+_ORDER_REST = ", ".join(f"{c} NULLS FIRST" for c in SALES_COLS[1:])
+DEDUP_CTE = f"""dedup AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY {_ORDER_REST}) AS rn FROM dirty_sales) x
+  WHERE rn = 1)"""
+SILVER_CTE = DEDUP_CTE + """,
+silver AS (
+  SELECT *, (total_amount > 0 AND total_amount < 100000) AS is_valid_amount,
+            (quantity > 0 AND quantity <= 1000) AS is_valid_quantity
+  FROM dedup WHERE transaction_id IS NOT NULL AND customer_id IS NOT NULL AND product_id IS NOT NULL
+               AND total_amount IS NOT NULL)"""
+
+
+def _null_rows(table: str, bound: float) -> str:
+    parts = []
+    for c in SALES_COLS:
+        parts.append(f"SELECT '{c}' AS column_name, CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count, "
+                     f"CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / COUNT(*) ELSE 0.0 END "
+                     f"AS null_fraction FROM {table}")
+    return "SELECT *, null_fraction <= " + str(bound) + " AS passed FROM (" + " UNION ALL ".join(parts) + ") n"
+
+
+@_register("null_profile", _with(NULLS_CTE) + _null_rows("nsales", 0.05))
+def _null_profile(spark, d):
+    return Q.null_profile(T.sales_with_nulls(spark, d))
+
+
+_DUP_PROFILE = """SELECT total_records, distinct_records, total_records - distinct_records AS duplicate_count,
+       CASE WHEN total_records > 0 THEN CAST(total_records - distinct_records AS DOUBLE) / total_records ELSE 0.0 END
+         AS duplicate_fraction,
+       CASE WHEN total_records > 0 THEN CAST(total_records - distinct_records AS DOUBLE) / total_records ELSE 0.0 END
+         <= 0.01 AS passed
+FROM (SELECT CAST(COALESCE(SUM(c), 0) AS BIGINT) AS total_records, COUNT(*) AS distinct_records
+      FROM (SELECT {keys}, COUNT(*) AS c FROM {table} GROUP BY ALL) g) t"""
+
+
+@_register("duplicate_profile", _with(DIRTY_CTE) + _DUP_PROFILE.format(keys="transaction_id", table="dirty_sales"))
+def _duplicate_profile(spark, d):
+    return Q.duplicate_profile(_sales(spark, d, dirty=True), ["transaction_id"])
+
+
+@_register("duplicate_keys", _with(DIRTY_CTE) + """
+SELECT COUNT(*) AS total_records, COUNT(DISTINCT transaction_id) AS distinct_keys,
+       COUNT(*) - COUNT(DISTINCT transaction_id) AS duplicate_count FROM dirty_sales""")
+def _duplicate_keys(spark, d):
+    return Q.duplicate_keys(_sales(spark, d, dirty=True))
+
+
+def _quality_report_sql() -> str:
+    cols = ", ".join(SALES_COLS)
+    return _with(NULLS_CTE) + f""",
+nr AS ({_null_rows('nsales', 0.05)}),
+dp AS ({_DUP_PROFILE.format(keys=cols, table='nsales')}),
+r AS (
+  SELECT 'record_count' AS "check", CAST(NULL AS VARCHAR) AS column_name, CAST(COUNT(*) AS DOUBLE) AS observed,
+         100.0 AS threshold, COUNT(*) >= 100 AS passed FROM nsales
+  UNION ALL SELECT 'required_columns', NULL, 0.0, 0.0, TRUE
+  UNION ALL SELECT 'null_values', column_name, null_fraction, 0.05, passed FROM nr
+  UNION ALL SELECT 'duplicates', NULL, duplicate_fraction, 0.01, passed FROM dp
+  UNION ALL SELECT 'data_types', NULL, 0.0, 0.0, TRUE)
+SELECT 'sales' AS dataset, * FROM r
+UNION ALL
+SELECT 'sales', 'overall', NULL, CAST(MIN(CAST(passed AS INTEGER)) AS DOUBLE), 1.0, MIN(CAST(passed AS INTEGER)) = 1 FROM r"""
+
+
+@_register("quality_report", _quality_report_sql())
+def _quality_report(spark, d):
+    return Q.quality_report(T.sales_with_nulls(spark, d), "sales", ["transaction_id", "customer_id"])
+
+
+@_register("remove_duplicates", _with(DIRTY_CTE, DEDUP_CTE) + "SELECT * FROM dedup")
+def _remove_duplicates(spark, d):
+    return Q.remove_duplicates(_sales(spark, d, dirty=True), ["transaction_id"])
+
+
+@_register("null_drop", _with(NULLS_CTE) + "SELECT * FROM nsales WHERE "
+           + " AND ".join(f"{c} IS NOT NULL" for c in SALES_COLS))
+def _null_drop(spark, d):
+    return Q.handle_null_values(T.sales_with_nulls(spark, d), "drop")
+
+
+@_register("null_fill", _with(NULLS_CTE) + """
+SELECT * REPLACE (COALESCE(sales_channel, 'UNKNOWN') AS sales_channel, COALESCE(store_id, '0') AS store_id)
+FROM nsales""")
+def _null_fill(spark, d):
+    return Q.handle_null_values(T.sales_with_nulls(spark, d), "fill", {"sales_channel": "UNKNOWN", "store_id": "0"})
+
+
+_LO, _HI = T.DATE_RANGE
+
+
+@_register("date_range_filter", _with(SALES_CTE) + f"""
+SELECT * FROM sales WHERE CAST(transaction_date AS DATE) >= DATE '{_LO}'
+                      AND CAST(transaction_date AS DATE) <= DATE '{_HI}'""")
+def _date_range_filter(spark, d):
+    return Q.date_range_filter(_sales(spark, d), "transaction_date", _LO, _HI)
+
+
+@_register("date_range_report", _with(SALES_CTE) + f"""
+SELECT total_records, valid_records, total_records - valid_records AS invalid_records, null_dates,
+       '{_LO} to {_HI}' AS date_range, total_records = valid_records AS passed
+FROM (SELECT COUNT(*) AS total_records,
+             COUNT(*) FILTER (WHERE CAST(transaction_date AS DATE) BETWEEN DATE '{_LO}' AND DATE '{_HI}') AS valid_records,
+             COUNT(*) FILTER (WHERE transaction_date IS NULL) AS null_dates FROM sales) t""")
+def _date_range_report(spark, d):
+    return Q.date_range_report(_sales(spark, d), "transaction_date", _LO, _HI)
+
+
+@_register("silver_sales", _with(DIRTY_CTE, SILVER_CTE) + "SELECT * FROM silver WHERE is_valid_amount AND is_valid_quantity")
+def _silver_sales(spark, d):
+    return Q.silver_sales(_sales(spark, d, dirty=True))
+
+
+@_register("silver_reconciliation", _with(DIRTY_CTE, SILVER_CTE) + """
+SELECT b.n AS bronze_records, s.n AS silver_records, b.n - s.n AS records_filtered
+FROM (SELECT COUNT(*) AS n FROM dirty_sales) b,
+     (SELECT COUNT(*) AS n FROM silver WHERE is_valid_amount AND is_valid_quantity) s""")
+def _silver_reconciliation(spark, d):
+    bronze = _sales(spark, d, dirty=True)
+    return Q.silver_reconciliation(bronze, Q.silver_sales(bronze))
+
+
+@_register("quality_metrics", _with(DIRTY_CTE, CUSTOMERS_CTE, PRODUCTS_CTE) + """
+SELECT CAST(nn AS DOUBLE) / NULLIF(CAST(n AS DOUBLE) * 4, 0) * 100.0 AS completeness_pct,
+       CAST(d AS DOUBLE) / NULLIF(CAST(n AS DOUBLE), 0) * 100.0 AS uniqueness_pct,
+       CAST(v AS DOUBLE) / NULLIF(CAST(n AS DOUBLE), 0) * 100.0 AS validity_pct,
+       CAST(m AS DOUBLE) / NULLIF(CAST(n AS DOUBLE), 0) * 100.0 AS consistency_pct
+FROM (SELECT COUNT(*) AS n,
+             COUNT(s.transaction_id) + COUNT(s.customer_id) + COUNT(s.product_id) + COUNT(s.total_amount) AS nn,
+             COUNT(DISTINCT s.transaction_id) AS d,
+             COUNT(*) FILTER (WHERE COALESCE(s.total_amount > 0 AND s.total_amount < 100000
+                                             AND s.quantity > 0 AND s.quantity <= 1000, FALSE)) AS v,
+             COUNT(*) FILTER (WHERE c.customer_id IS NOT NULL AND p.product_id IS NOT NULL) AS m
+      FROM dirty_sales s
+      LEFT JOIN (SELECT DISTINCT customer_id FROM customers) c ON s.customer_id = c.customer_id
+      LEFT JOIN (SELECT DISTINCT product_id FROM products) p ON s.product_id = p.product_id) t""")
+def _quality_metrics(spark, d):
+    return Q.quality_metrics(_sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d))
+
+
+@_register("orphan_sales", _with(SALES_CTE, CUSTOMERS_CTE) + """
+SELECT * FROM sales s WHERE NOT EXISTS (
+  SELECT 1 FROM customers c WHERE c.market_segment <> 'AUTOMOBILE' AND c.customer_id = s.customer_id)""")
+def _orphan_sales(spark, d):
+    master = T.customers(spark, d).where(F.col("market_segment") != "AUTOMOBILE")
+    return Q.orphan_sales(_sales(spark, d), master, "customer_id")
+
+
+@_register("discount_violations", _with(SALES_CTE) + "SELECT * FROM sales WHERE discount_percentage > 0.08")
+def _discount_violations(spark, d):
+    return Q.discount_violations(_sales(spark, d), max_discount=0.08)
+
+
+@_register("reject_summary", _with(NULLS_CTE) + """
+SELECT reason, COUNT(*) AS rejected_records FROM (
+  SELECT unnest(list_filter([
+    CASE WHEN transaction_id IS NULL THEN 'transaction_id_not_null' END,
+    CASE WHEN customer_id IS NULL THEN 'customer_id_not_null' END,
+    CASE WHEN product_id IS NULL THEN 'product_id_not_null' END,
+    CASE WHEN total_amount IS NULL THEN 'total_amount_not_null' END,
+    CASE WHEN NOT COALESCE(total_amount > 0 AND total_amount < 100000, FALSE) THEN 'valid_amount' END,
+    CASE WHEN NOT COALESCE(quantity > 0 AND quantity <= 1000, FALSE) THEN 'valid_quantity' END], lambda x: x IS NOT NULL))
+    AS reason FROM nsales) r GROUP BY reason""")
+def _reject_summary(spark, d):
+    _, bad = Q.split_quarantine(T.sales_with_nulls(spark, d))
+    return Q.reject_summary(bad)
+
+
+@_register("daily_revenue_anomaly", _with(SALES_CTE) + """
+SELECT sale_date, CAST(u AS DOUBLE) / 10000.0 AS daily_revenue,
+       CAST(SUM(u) OVER w AS DOUBLE) / NULLIF(CAST(COUNT(u) OVER w AS DOUBLE), 0) / 10000.0 AS trailing_mean,
+       CASE WHEN COUNT(u) OVER w > 1 THEN sqrt(CAST(COUNT(u) OVER w * SUM(u * u) OVER w - SUM(u) OVER w * SUM(u) OVER w AS DOUBLE)
+            / CAST(COUNT(u) OVER w * (COUNT(u) OVER w - 1) AS DOUBLE)) / 10000.0 END AS trailing_stddev
+FROM (SELECT CAST(transaction_date AS DATE) AS sale_date, CAST(SUM(total_amount) * 10000 AS DECIMAL(38,0)) AS u
+      FROM sales GROUP BY 1) d
+WINDOW w AS (ORDER BY sale_date RANGE BETWEEN INTERVAL 28 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)""")
+def _daily_revenue_anomaly(spark, d):
+    return Q.daily_revenue_anomaly(_sales(spark, d)).drop("z_score", "is_anomaly")
+
+
 # ----------------------------------------------------------------------------
 # contract
 

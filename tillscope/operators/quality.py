@@ -1 +1,340 @@
-"""placeholder"""
+"""Data quality checks and cleaning.
+
+The checks return DataFrames (one row per check or per column), built with as
+few passes as possible: record count and every null count come from one
+aggregate, the whole-row duplicate count from one grouped aggregate. A
+``validate_dataframe`` facade collects them into the dictionary report of the
+original API (the only place that runs an action, on a few small rows).
+
+Deduplication is deterministic: per key the row with the smallest tie-break
+tuple is kept. It is an aggregate (``min`` of a struct), so a key holding a
+third of all rows is reduced map-side before the shuffle instead of being
+sorted in one task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+
+from tillscope.settings import DEFAULT, Settings
+
+
+# ---------------------------------------------------------------- profiles
+
+def null_profile(df: DataFrame, max_null_fraction: float | None = None,
+                 settings: Settings = DEFAULT) -> DataFrame:
+    """Per column: null_count, null_fraction (0 on an empty table) and whether it
+    stays within the bound (violation when the fraction is strictly greater)."""
+    bound = settings.max_null_percentage if max_null_fraction is None else max_null_fraction
+    cols = df.columns
+    wide = df.agg(F.count(F.lit(1)).alias("__total"),
+                  *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"__n{i}") for i, c in enumerate(cols)])
+    stack = ", ".join(f"'{c}', __n{i}" for i, c in enumerate(cols))
+    long = wide.selectExpr("__total", f"stack({len(cols)}, {stack}) AS (column_name, null_count)")
+    frac = F.when(F.col("__total") > 0, F.col("null_count") / F.col("__total")).otherwise(F.lit(0.0))
+    return long.select("column_name", F.col("null_count").cast("long").alias("null_count"),
+                       frac.alias("null_fraction"), (frac <= F.lit(bound)).alias("passed"))
+
+
+def duplicate_profile(df: DataFrame, subset: Sequence[str] | None = None,
+                      threshold: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """total_records, distinct_records, duplicate_count, duplicate_fraction and
+    passed (fraction <= threshold), over whole rows or a key subset, in one job."""
+    bound = settings.duplicate_threshold if threshold is None else threshold
+    keys = list(subset) if subset else df.columns
+    groups = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__c"))
+    g = groups.agg(F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("total_records"),
+                   F.count(F.lit(1)).alias("distinct_records"))
+    g = g.withColumn("duplicate_count", F.col("total_records") - F.col("distinct_records"))
+    frac = F.when(F.col("total_records") > 0, F.col("duplicate_count") / F.col("total_records")).otherwise(0.0)
+    return g.withColumn("duplicate_fraction", frac).withColumn("passed", F.col("duplicate_fraction") <= F.lit(bound))
+
+
+def duplicate_keys(df: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Total rows, distinct key values and their difference."""
+    g = df.agg(F.count(F.lit(1)).alias("total_records"), F.countDistinct(key).alias("distinct_keys"))
+    return g.withColumn("duplicate_count", F.col("total_records") - F.col("distinct_keys"))
+
+
+def _date_like(name: str) -> bool:
+    tokens = name.lower().replace("-", "_").split("_")
+    return any(t in ("date", "timestamp", "ts", "time") for t in tokens) or name.lower().endswith("date")
+
+
+def type_issues(df: DataFrame) -> list[dict]:
+    """Columns whose name says date/timestamp but whose type is not temporal
+    (schema only, no job). TIMESTAMP_NTZ counts as temporal."""
+    out = []
+    for f in df.schema.fields:
+        if _date_like(f.name) and not isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType)):
+            out.append({"column": f.name, "expected_type": "date/timestamp", "actual_type": f.dataType.simpleString()})
+    return out
+
+
+def quality_report(df: DataFrame, dataset_name: str, required_columns: Sequence[str] | None = None,
+                   settings: Settings = DEFAULT) -> DataFrame:
+    """Typed report: (dataset, check, column_name, observed, threshold, passed).
+
+    Checks: record_count (>= min_record_count), required_columns (only when
+    given), null_values per column (<= max_null_percentage), duplicates
+    (whole rows, fraction <= duplicate_threshold), data_types; the row
+    ``overall`` passes when every other row passes.
+    """
+    spark = df.sparkSession
+    nulls = null_profile(df, settings=settings)
+    dups = duplicate_profile(df, settings=settings)
+    rows = []
+    count_row = df.agg(F.count(F.lit(1)).cast("double").alias("observed")).select(
+        F.lit("record_count").alias("check"), F.lit(None).cast("string").alias("column_name"),
+        "observed", F.lit(float(settings.min_record_count)).alias("threshold"),
+        (F.col("observed") >= F.lit(float(settings.min_record_count))).alias("passed"))
+    rows.append(count_row)
+    if required_columns:
+        missing = sorted(set(required_columns) - set(df.columns))
+        req = spark.createDataFrame(
+            [("required_columns", ",".join(missing) or None, float(len(missing)), 0.0, not missing)],
+            "check string, column_name string, observed double, threshold double, passed boolean")
+        rows.append(req)
+    rows.append(nulls.select(F.lit("null_values").alias("check"), "column_name",
+                             F.col("null_fraction").alias("observed"),
+                             F.lit(float(settings.max_null_percentage)).alias("threshold"), "passed"))
+    rows.append(dups.select(F.lit("duplicates").alias("check"), F.lit(None).cast("string").alias("column_name"),
+                            F.col("duplicate_fraction").alias("observed"),
+                            F.lit(float(settings.duplicate_threshold)).alias("threshold"), "passed"))
+    issues = type_issues(df)
+    rows.append(spark.createDataFrame(
+        [("data_types", ",".join(i["column"] for i in issues) or None, float(len(issues)), 0.0, not issues)],
+        "check string, column_name string, observed double, threshold double, passed boolean"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    overall = out.agg(F.min(F.col("passed").cast("int")).alias("__ok")).select(
+        F.lit("overall").alias("check"), F.lit(None).cast("string").alias("column_name"),
+        F.col("__ok").cast("double").alias("observed"), F.lit(1.0).alias("threshold"),
+        (F.col("__ok") == 1).alias("passed"))
+    return out.unionByName(overall).select(F.lit(dataset_name).alias("dataset"), "*")
+
+
+def validate_dataframe(df: DataFrame, dataset_name: str, required_columns: Sequence[str] | None = None,
+                       settings: Settings = DEFAULT) -> tuple[DataFrame, dict]:
+    """Dictionary facade over ``quality_report``: returns (df unchanged, report).
+
+    Collects only the small report rows (one per column plus a few)."""
+    nulls = {r["column_name"]: r["null_fraction"] for r in null_profile(df, settings=settings).collect()}
+    d = duplicate_profile(df, settings=settings).collect()[0].asDict()
+    count = d["total_records"]
+    report = {"dataset_name": dataset_name, "checks": {}}
+    report["checks"]["record_count"] = {"total_records": count, "passed": count >= settings.min_record_count,
+                                        "threshold": settings.min_record_count}
+    if required_columns:
+        missing = sorted(set(required_columns) - set(df.columns))
+        report["checks"]["required_columns"] = {"missing_columns": missing, "passed": not missing}
+    violations = {c: p for c, p in nulls.items() if p > settings.max_null_percentage}
+    report["checks"]["null_values"] = {"null_percentages": nulls, "violations": violations,
+                                       "passed": not violations, "threshold": settings.max_null_percentage}
+    report["checks"]["duplicates"] = {
+        "total_records": d["total_records"], "distinct_records": d["distinct_records"],
+        "duplicate_count": d["duplicate_count"], "duplicate_percentage": d["duplicate_fraction"],
+        "passed": d["passed"], "threshold": settings.duplicate_threshold}
+    issues = type_issues(df)
+    report["checks"]["data_types"] = {"type_issues": issues, "passed": not issues}
+    report["overall_status"] = "PASSED" if all(c["passed"] for c in report["checks"].values()) else "FAILED"
+    return df, report
+
+
+# ---------------------------------------------------------------- cleaning
+
+def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
+                      order_by: Sequence[str] | None = None) -> DataFrame:
+    """Drop duplicates. Whole rows: ``distinct``. By key: keep, per key, the row
+    whose (order_by..., remaining columns...) tuple is smallest (NULLs first),
+    a deterministic choice computed as an aggregate."""
+    if not subset:
+        return df.distinct()
+    keys = list(subset)
+    order = [c for c in (order_by or []) if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    fields = order + rest
+    if not fields:
+        return df.select(*keys).distinct().select(*df.columns)
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(fields)])
+    g = df.groupBy(*keys).agg(F.min(packed).alias("__best"))
+    return g.select(*keys, *[F.col(f"__best.f{i}").alias(c) for i, c in enumerate(fields)]).select(*df.columns)
+
+
+def handle_null_values(df: DataFrame, strategy: str = "drop", fill_values: dict | None = None) -> DataFrame:
+    """``drop``: rows with any NULL removed; ``fill``: NULLs replaced per column;
+    anything else returns the input unchanged."""
+    if strategy == "drop":
+        return df.na.drop()
+    if strategy == "fill" and fill_values:
+        return df.na.fill(fill_values)
+    return df
+
+
+def _day(col: str) -> Column:
+    return F.to_date(F.col(col))
+
+
+def date_range_filter(df: DataFrame, date_column: str, min_date: str | None = None,
+                      max_date: str | None = None) -> DataFrame:
+    """Rows whose day lies in [min_date, max_date] (each bound optional, inclusive).
+    The comparison is on the day, so the whole last day is kept."""
+    out = df
+    if min_date:
+        out = out.where(_day(date_column) >= F.to_date(F.lit(min_date)))
+    if max_date:
+        out = out.where(_day(date_column) <= F.to_date(F.lit(max_date)))
+    return out
+
+
+def date_range_report(df: DataFrame, date_column: str, min_date: str | None = None,
+                      max_date: str | None = None) -> DataFrame:
+    """One row: total, valid, invalid (out of range), null dates, range, passed."""
+    d = _day(date_column)
+    ok = F.lit(True)
+    if min_date:
+        ok = ok & (d >= F.to_date(F.lit(min_date)))
+    if max_date:
+        ok = ok & (d <= F.to_date(F.lit(max_date)))
+    g = df.agg(F.count(F.lit(1)).alias("total_records"), F.count_if(ok).alias("valid_records"),
+               F.count_if(d.isNull()).alias("null_dates"))
+    return g.select("total_records", "valid_records",
+                    (F.col("total_records") - F.col("valid_records")).alias("invalid_records"), "null_dates",
+                    F.lit(f"{min_date} to {max_date}").alias("date_range"),
+                    (F.col("total_records") == F.col("valid_records")).alias("passed"))
+
+
+def validate_date_range(df: DataFrame, date_column: str, min_date: str | None = None,
+                        max_date: str | None = None) -> tuple[DataFrame, dict]:
+    rep = date_range_report(df, date_column, min_date, max_date).collect()[0].asDict()
+    return date_range_filter(df, date_column, min_date, max_date), rep
+
+
+# ---------------------------------------------------------------- silver rules
+
+SALES_KEYS = ("transaction_id", "customer_id", "product_id", "total_amount")
+
+
+def sales_rules(settings: Settings = DEFAULT) -> dict[str, Column]:
+    """Named predicates a clean sale must satisfy (NULL counts as a failure)."""
+    amt, qty = F.col("total_amount"), F.col("quantity")
+    rules = {f"{k}_not_null": F.col(k).isNotNull() for k in SALES_KEYS}
+    rules["valid_amount"] = (amt > 0) & (amt < F.lit(settings.max_amount))
+    rules["valid_quantity"] = (qty > 0) & (qty <= F.lit(settings.max_quantity))
+    return rules
+
+
+def flag_sales(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    amt, qty = F.col("total_amount"), F.col("quantity")
+    return df.withColumns({
+        "is_valid_amount": (amt > 0) & (amt < F.lit(settings.max_amount)),
+        "is_valid_quantity": (qty > 0) & (qty <= F.lit(settings.max_quantity)),
+    })
+
+
+def silver_sales(df: DataFrame, settings: Settings = DEFAULT, order_by: Sequence[str] | None = None) -> DataFrame:
+    """Cleaned sales: one row per transaction id (deterministic), non-null keys,
+    valid amount (0 < amount < max) and quantity (0 < qty <= max); the two
+    flags are kept as columns."""
+    d = remove_duplicates(df, ["transaction_id"], order_by)
+    keys = F.lit(True)
+    for k in SALES_KEYS:
+        keys = keys & F.col(k).isNotNull()
+    flagged = flag_sales(d.where(keys), settings)
+    return flagged.where(F.col("is_valid_amount") & F.col("is_valid_quantity"))
+
+
+def reject_reasons(settings: Settings = DEFAULT) -> Column:
+    """Array of the names of the rules a row breaks (empty when clean)."""
+    rules = sales_rules(settings)
+    checks = [F.when(~F.coalesce(pred, F.lit(False)), F.lit(name)) for name, pred in rules.items()]
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def split_quarantine(df: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(clean rows, rejected rows with ``reject_reasons``) from one rule list."""
+    tagged = df.withColumn("reject_reasons", reject_reasons(settings))
+    clean = tagged.where(F.size("reject_reasons") == 0).drop("reject_reasons")
+    bad = tagged.where(F.size("reject_reasons") > 0)
+    return clean, bad
+
+
+def reject_summary(rejected: DataFrame) -> DataFrame:
+    """Rejected rows per broken rule."""
+    return rejected.select(F.explode("reject_reasons").alias("reason")).groupBy("reason") \
+        .agg(F.count(F.lit(1)).alias("rejected_records"))
+
+
+def silver_reconciliation(bronze: DataFrame, silver: DataFrame) -> DataFrame:
+    """bronze_records, silver_records and records_filtered."""
+    b = bronze.agg(F.count(F.lit(1)).alias("bronze_records"))
+    # the silver count enters as a scalar subquery: two one-row aggregates, no join
+    sv = silver.agg(F.count(F.lit(1))).scalar()
+    return b.select("bronze_records", sv.alias("silver_records"),
+                    (F.col("bronze_records") - sv).alias("records_filtered"))
+
+
+def orphan_sales(sales_df: DataFrame, master_df: DataFrame, key: str = "customer_id") -> DataFrame:
+    """Sales whose key has no row in the master table (anti join)."""
+    return sales_df.join(master_df.select(key).distinct(), key, "left_anti")
+
+
+def quality_metrics(sales_df: DataFrame, customer_df: DataFrame, product_df: DataFrame,
+                    settings: Settings = DEFAULT) -> DataFrame:
+    """Completeness (% of non-null required fields), uniqueness (% distinct
+    transaction ids), validity (% rows passing the value rules) and consistency
+    (% rows whose customer and product exist), one row, in percent."""
+    rules = sales_rules(settings)
+    valid = rules["valid_amount"] & rules["valid_quantity"]
+    cust = customer_df.select(F.col("customer_id").alias("__c")).distinct().withColumn("__hc", F.lit(1))
+    prod = product_df.select(F.col("product_id").alias("__p")).distinct().withColumn("__hp", F.lit(1))
+    j = sales_df.join(cust, sales_df["customer_id"] == cust["__c"], "left") \
+        .join(prod, sales_df["product_id"] == prod["__p"], "left")
+    nonnull = sum((F.count(F.col(k)) for k in SALES_KEYS), F.lit(0))
+    g = j.agg(F.count(F.lit(1)).alias("__n"), nonnull.alias("__nn"),
+              F.countDistinct("transaction_id").alias("__d"),
+              F.count_if(F.coalesce(valid, F.lit(False))).alias("__v"),
+              F.count_if(F.col("__hc").isNotNull() & F.col("__hp").isNotNull()).alias("__m"))
+    n = F.col("__n").cast("double")
+    return g.select(
+        (F.try_divide(F.col("__nn").cast("double"), n * len(SALES_KEYS)) * 100.0).alias("completeness_pct"),
+        (F.try_divide(F.col("__d").cast("double"), n) * 100.0).alias("uniqueness_pct"),
+        (F.try_divide(F.col("__v").cast("double"), n) * 100.0).alias("validity_pct"),
+        (F.try_divide(F.col("__m").cast("double"), n) * 100.0).alias("consistency_pct"))
+
+
+def discount_violations(sales_df: DataFrame, settings: Settings = DEFAULT, max_discount: float | None = None) -> DataFrame:
+    bound = settings.max_discount if max_discount is None else max_discount
+    return sales_df.where(F.col("discount_percentage") > F.lit(bound))
+
+
+def daily_revenue_anomaly(sales_df: DataFrame, lookback_days: int = 28, z_threshold: float = 3.0) -> DataFrame:
+    """Per day: revenue, trailing mean and sample stddev over the previous
+    ``lookback_days`` days (range frame, current day excluded), z-score and
+    the anomaly flag |z| >= threshold.
+
+    One row per calendar day with sales, so the single ordered window is
+    bounded by the number of days, not by the sales. Sums run on revenue in
+    units of 1/10000 as exact integers, so mean and variance do not depend on
+    the summation order.
+    """
+    from pyspark.sql import Window
+    units = (F.sum("total_amount") * F.lit(10000)).cast("decimal(38,0)")
+    daily = sales_df.groupBy(F.to_date("transaction_date").alias("sale_date")).agg(units.alias("_u"))
+    w = Window.orderBy(F.unix_date("sale_date")).rangeBetween(-lookback_days, -1)
+    n = F.count("_u").over(w).cast("decimal(38,0)")
+    sx = F.sum("_u").over(w)
+    sxx = F.sum(F.col("_u") * F.col("_u")).over(w)
+    out = daily.select(
+        "sale_date", (F.col("_u").cast("double") / F.lit(10000.0)).alias("daily_revenue"),
+        (F.try_divide(sx.cast("double"), n.cast("double")) / F.lit(10000.0)).alias("trailing_mean"),
+        F.when(n > 1, F.sqrt(F.try_divide((n * sxx - sx * sx).cast("double"), (n * (n - 1)).cast("double")))
+               / F.lit(10000.0)).alias("trailing_stddev"))
+    z = F.try_divide(F.col("daily_revenue") - F.col("trailing_mean"), F.col("trailing_stddev"))
+    return out.withColumn("z_score", z).withColumn(
+        "is_anomaly", F.coalesce(F.abs(F.col("z_score")) >= F.lit(z_threshold), F.lit(False)))

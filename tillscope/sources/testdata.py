@@ -132,3 +132,13 @@ def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("total_amount"),
         F.col("event_type").alias("sales_channel"),
     )
+
+
+def sales_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty sales with NULLs injected into two optional columns (the driver
+    tables have none): sales_channel '5-LOW' and store 1 become NULL."""
+    s = sales(spark, sf_dir, dirty=True)
+    return s.withColumns({
+        "sales_channel": F.nullif(F.col("sales_channel"), F.lit("5-LOW")),
+        "store_id": F.nullif(F.col("store_id"), F.lit("1")),
+    })
