@@ -693,6 +693,172 @@ def _daily_revenue_anomaly(spark, d):
     return Q.daily_revenue_anomaly(_sales(spark, d)).drop("z_score", "is_anomaly")
 
 
+# ----------------------------------------------------------------------------
+# SQL dashboard statements over the sales / customers / products views
+
+def _bi(spark, d, sales_only: bool = False):
+    sales = _sales(spark, d)
+    if sales_only:
+        BI.register_views(spark, sales=sales)
+    else:
+        BI.register_views(spark, sales=sales,
+                          customers=C.customer_360_from_sales(sales, T.customers(spark, d), REF),
+                          products=S.product_performance(sales, T.products(spark, d)))
+
+
+_C360_CTE = "c360 AS (" + C360_SQL + ")"
+_PP_CTE = "ppv AS (" + _with(SALES_CTE, PRODUCTS_CTE, _PRODUCT_SALES, _PRODUCT_PERF) + "SELECT * FROM pp)"
+_KPI_LO = T.KPI_MONTH_START
+
+
+@_register("sql_kpi_month", _with(SALES_CTE) + f"""
+SELECT COUNT(DISTINCT transaction_id) AS total_transactions, COUNT(DISTINCT customer_id) AS unique_customers,
+       {_DBL} AS total_revenue, {_AVG} AS avg_order_value,
+       {_DBL} / NULLIF(COUNT(DISTINCT customer_id), 0) AS revenue_per_customer
+FROM sales WHERE year(transaction_date) = year(DATE '{_KPI_LO}') AND month(transaction_date) = month(DATE '{_KPI_LO}')""")
+def _sql_kpi_month(spark, d):
+    _bi(spark, d, True)
+    return BI.kpi_month(spark, _KPI_LO)
+
+
+@_register("sql_monthly_growth", _with(SALES_CTE) + """
+SELECT month, CAST(revenue AS DOUBLE) AS revenue, CAST(prev AS DOUBLE) AS prev_month_revenue,
+       ROUND(CAST(revenue - prev AS DOUBLE) / NULLIF(CAST(prev AS DOUBLE), 0) * 100.0, 2) AS mom_growth_pct
+FROM (SELECT month, revenue, LAG(revenue) OVER (ORDER BY month) AS prev FROM (
+        SELECT date_trunc('month', transaction_date) AS month, SUM(total_amount) AS revenue FROM sales GROUP BY 1) a) b
+ORDER BY month DESC LIMIT 12""")
+def _sql_monthly_growth(spark, d):
+    _bi(spark, d, True)
+    return BI.monthly_growth(spark, 12)
+
+
+@_register("sql_revenue_by_region", _with(SALES_CTE) + f"""
+SELECT region, COUNT(DISTINCT customer_id) AS customers, COUNT(DISTINCT transaction_id) AS transactions,
+       {_DBL} AS total_revenue, {_AVG} AS avg_order_value,
+       {_DBL} / NULLIF(COUNT(DISTINCT customer_id), 0) AS revenue_per_customer
+FROM sales GROUP BY region""")
+def _sql_revenue_by_region(spark, d):
+    _bi(spark, d, True)
+    return BI.revenue_by_region(spark)
+
+
+@_register("sql_segment_summary", _with(_C360_CTE) + """
+SELECT customer_segment, COUNT(*) AS customer_count,
+       ROUND(CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER (), 2) AS percentage,
+       AVG(projected_clv) AS avg_clv, AVG(frequency) AS avg_purchases
+FROM c360 WHERE customer_segment IS NOT NULL GROUP BY customer_segment""")
+def _sql_segment_summary(spark, d):
+    _bi(spark, d)
+    return BI.segment_summary(spark)
+
+
+@_register("sql_high_value_at_risk", _with(_C360_CTE) + f"""
+SELECT customer_id, first_name, last_name, email, projected_clv, days_since_last_purchase, churn_risk
+FROM c360 WHERE projected_clv > {T.HIGH_VALUE_AT_RISK_CLV} AND churn_risk IN ('High', 'Medium')
+ORDER BY projected_clv DESC, customer_id LIMIT 50""")
+def _sql_high_value_at_risk(spark, d):
+    _bi(spark, d)
+    return BI.high_value_at_risk(spark, T.HIGH_VALUE_AT_RISK_CLV, 50)
+
+
+@_register("sql_cohort_retention", _with(SALES_CTE) + """,
+first_purchase AS (
+  SELECT customer_id, date_trunc('month', MIN(transaction_date)) AS cohort_month FROM sales GROUP BY customer_id),
+cohort_activity AS (
+  SELECT fp.cohort_month, date_trunc('month', s.transaction_date) AS activity_month,
+         COUNT(DISTINCT s.customer_id) AS active_customers
+  FROM first_purchase fp JOIN sales s ON fp.customer_id = s.customer_id
+  GROUP BY fp.cohort_month, date_trunc('month', s.transaction_date))
+SELECT cohort_month, activity_month, active_customers,
+       CAST(datediff('month', cohort_month, activity_month) AS DOUBLE) AS months_since_first_purchase
+FROM cohort_activity""")
+def _sql_cohort_retention(spark, d):
+    _bi(spark, d, True)
+    return BI.cohort_retention(spark)
+
+
+@_register("sql_top20_products", _with(_PP_CTE) + """
+SELECT product_id, product_name, category, total_revenue, total_quantity_sold, unique_buyers,
+       ROUND(profit_margin_pct, 2) AS profit_margin_pct, revenue_rank
+FROM ppv WHERE revenue_rank <= 20""")
+def _sql_top20_products(spark, d):
+    _bi(spark, d)
+    return BI.top_products(spark, 20)
+
+
+@_register("sql_category_comparison", _with(_PP_CTE) + """
+SELECT category, COUNT(DISTINCT product_id) AS product_count,
+       CAST(SUM(CAST(total_revenue AS DECIMAL(38, 4))) AS DOUBLE) AS category_revenue,
+       CAST(SUM(total_quantity_sold) AS BIGINT) AS units_sold, AVG(profit_margin_pct) AS avg_profit_margin,
+       COUNT(DISTINCT unique_buyers) AS distinct_buyer_counts
+FROM ppv WHERE category IS NOT NULL GROUP BY category""")
+def _sql_category_comparison(spark, d):
+    _bi(spark, d)
+    return BI.category_comparison(spark)
+
+
+@_register("sql_underperforming", _with(_PP_CTE) + f"""
+SELECT product_id, product_name, category, total_revenue, profit_margin_pct, total_quantity_sold
+FROM ppv WHERE total_revenue < {T.UNDERPERFORMING_REVENUE} OR profit_margin_pct < {T.UNDERPERFORMING_MARGIN}
+ORDER BY total_revenue ASC NULLS FIRST, product_id LIMIT 20""")
+def _sql_underperforming(spark, d):
+    _bi(spark, d)
+    return BI.underperforming(spark, T.UNDERPERFORMING_REVENUE, T.UNDERPERFORMING_MARGIN, 20)
+
+
+@_register("sql_channel_comparison", _with(SALES_CTE) + f"""
+SELECT sales_channel, COUNT(DISTINCT transaction_id) AS transactions, COUNT(DISTINCT customer_id) AS customers,
+       {_DBL} AS revenue, {_AVG} AS avg_order_value,
+       ROUND({_DBL} * 100.0 / CAST(SUM(SUM(total_amount)) OVER () AS DOUBLE), 2) AS revenue_share_pct
+FROM sales GROUP BY sales_channel""")
+def _sql_channel_comparison(spark, d):
+    _bi(spark, d, True)
+    return BI.channel_comparison(spark)
+
+
+@_register("sql_day_of_week", _with(SALES_CTE) + f"""
+SELECT CAST(dayofweek(transaction_date) + 1 AS INTEGER) AS day_of_week,
+       CASE dayofweek(transaction_date) + 1 WHEN 1 THEN 'Sunday' WHEN 2 THEN 'Monday' WHEN 3 THEN 'Tuesday'
+         WHEN 4 THEN 'Wednesday' WHEN 5 THEN 'Thursday' WHEN 6 THEN 'Friday' WHEN 7 THEN 'Saturday' END AS day_name,
+       COUNT(*) AS transactions, {_DBL} AS revenue, {_AVG} AS avg_order_value
+FROM sales GROUP BY 1, 2""")
+def _sql_day_of_week(spark, d):
+    _bi(spark, d, True)
+    return BI.day_of_week(spark)
+
+
+@_register("sql_hour_of_day", """
+SELECT CAST(hour(ts) AS INTEGER) AS hour, COUNT(*) AS transactions, CAST(SUM(value) AS DOUBLE) AS revenue
+FROM events GROUP BY 1""")
+def _sql_hour_of_day(spark, d):
+    BI.register_views(spark, sales=T.event_sales(spark, d))
+    return BI.hour_of_day(spark)
+
+
+@_register("vw_executive_dashboard", _with(SALES_CTE) + f"""
+SELECT date_trunc('month', transaction_date) AS month, region, sales_channel,
+       COUNT(DISTINCT transaction_id) AS transactions, COUNT(DISTINCT customer_id) AS customers,
+       {_DBL} AS revenue, {_AVG} AS avg_order_value
+FROM sales GROUP BY 1, 2, 3""")
+def _vw_executive_dashboard(spark, d):
+    _bi(spark, d, True)
+    return BI.executive_dashboard(spark)
+
+
+@_register("vw_customer_health", _with(_C360_CTE) + """
+SELECT customer_id, first_name || ' ' || last_name AS customer_name, email, region, customer_segment, projected_clv,
+       frequency AS total_purchases, monetary_value AS lifetime_spend, days_since_last_purchase, churn_risk
+FROM c360""")
+def _vw_customer_health(spark, d):
+    _bi(spark, d)
+    return BI.customer_health(spark)
+
+
+@_register("cohort_retention", _SQL["sql_cohort_retention"])
+def _cohort_df(spark, d):
+    return C.first_purchase_cohorts(_sales(spark, d))
+
+
 # ----------------------------------------------------------------------------
 # contract
 
