@@ -24,6 +24,9 @@ from tillscope.operators import quality as Q
 from tillscope.operators import sales as S
 from tillscope.plans import bi as BI
 from tillscope.plans import medallion as M
+from tillscope.session import fresh_path
+from tillscope.sources import loaders as L
+from tillscope.sources import sinks as K
 from tillscope.sources import testdata as T
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -859,6 +862,165 @@ def _cohort_df(spark, d):
     return C.first_purchase_cohorts(_sales(spark, d))
 
 
+# ----------------------------------------------------------------------------
+# inventory
+
+_LATEST = """latest AS (
+  SELECT product_id, warehouse_id, arg_max(quantity_on_hand, snapshot_date) AS quantity_on_hand,
+         arg_max(quantity_reserved, snapshot_date) AS quantity_reserved,
+         arg_max(quantity_available, snapshot_date) AS quantity_available,
+         arg_max(reorder_point, snapshot_date) AS reorder_point, MAX(snapshot_date) AS snapshot_date
+  FROM inventory GROUP BY product_id, warehouse_id)"""
+
+
+@_register("stock_levels", _with(INVENTORY_CTE, _LATEST) + """
+SELECT product_id, COUNT(warehouse_id) AS warehouse_count, CAST(SUM(quantity_on_hand) AS BIGINT) AS quantity_on_hand,
+       CAST(SUM(quantity_reserved) AS BIGINT) AS quantity_reserved,
+       CAST(SUM(quantity_available) AS BIGINT) AS quantity_available, MAX(snapshot_date) AS snapshot_date
+FROM latest GROUP BY product_id""")
+def _stock_levels(spark, d):
+    return I.stock_levels(T.inventory(spark, d))
+
+
+@_register("reorder_alerts", _with(INVENTORY_CTE, _LATEST) + """
+SELECT *, CAST(greatest(0, ceil(effective_reorder_point * 1.5) - quantity_available) AS INTEGER)
+          AS suggested_order_quantity
+FROM (SELECT *, CAST(COALESCE(reorder_point, 50) AS INTEGER) AS effective_reorder_point FROM latest) l
+WHERE quantity_available <= effective_reorder_point""")
+def _reorder_alerts(spark, d):
+    return I.reorder_alerts(T.inventory(spark, d))
+
+
+@_register("inventory_turnover", _with(SALES_CTE, PRODUCTS_CTE, INVENTORY_CTE) + """,
+sold AS (SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS units_sold FROM sales
+         WHERE CAST(transaction_date AS DATE) BETWEEN DATE '2001-07-01' AND DATE '2001-08-01' GROUP BY product_id),
+inv AS (SELECT product_id, AVG(oh) AS avg_units_on_hand FROM (
+          SELECT product_id, snapshot_date, CAST(SUM(quantity_on_hand) AS BIGINT) AS oh FROM inventory
+          WHERE snapshot_date BETWEEN DATE '2001-07-01' AND DATE '2001-08-01' GROUP BY 1, 2) x GROUP BY product_id),
+j AS (SELECT p.product_id, p.unit_cost, i.avg_units_on_hand, s.units_sold,
+             p.unit_cost * COALESCE(s.units_sold, 0) AS cogs, p.unit_cost * i.avg_units_on_hand AS avg_stock_value
+      FROM products p JOIN inv i ON p.product_id = i.product_id LEFT JOIN sold s ON p.product_id = s.product_id),
+t AS (SELECT *, cogs / NULLIF(avg_stock_value, 0) AS turnover FROM j)
+SELECT *, 32.0 / CASE WHEN turnover > 0 THEN turnover END AS days_of_inventory FROM t""")
+def _inventory_turnover(spark, d):
+    return I.inventory_turnover(_sales(spark, d), T.products(spark, d), T.inventory(spark, d),
+                                "2001-07-01", "2001-08-01")
+
+
+@_register("stock_cover_days", _with(SALES_CTE, INVENTORY_CTE, _LATEST) + """,
+vel AS (SELECT sale_date, product_id,
+               CAST(SUM(daily_quantity) OVER w AS DOUBLE) / NULLIF(COUNT(daily_quantity) OVER w, 0) AS aq
+        FROM (SELECT CAST(transaction_date AS DATE) AS sale_date, product_id,
+                     CAST(SUM(quantity) AS BIGINT) AS daily_quantity FROM sales GROUP BY 1, 2) d
+        WINDOW w AS (PARTITION BY product_id ORDER BY sale_date
+                     RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)),
+rate AS (SELECT product_id, arg_max(aq, sale_date) AS avg_daily_quantity, MAX(sale_date) AS last_sale_date
+         FROM vel GROUP BY product_id),
+stock AS (SELECT product_id, CAST(SUM(quantity_available) AS BIGINT) AS quantity_available FROM latest
+          GROUP BY product_id)
+SELECT s.product_id, s.quantity_available, r.avg_daily_quantity, r.last_sale_date,
+       CAST(s.quantity_available AS DOUBLE) / CASE WHEN r.avg_daily_quantity > 0 THEN r.avg_daily_quantity END
+         AS stock_cover_days
+FROM stock s LEFT JOIN rate r ON s.product_id = r.product_id""")
+def _stock_cover_days(spark, d):
+    return I.stock_cover_days(S.sales_velocity(_sales(spark, d), 30), T.inventory(spark, d), 30)
+
+
+# ----------------------------------------------------------------------------
+# sources and sinks: round trips through files in the shared folder
+
+@_register("load_sales", _with(SALES_CTE) + """
+SELECT transaction_id, transaction_date, CAST(customer_id AS VARCHAR) AS customer_id,
+       CAST(product_id AS VARCHAR) AS product_id, quantity, unit_price, discount_percentage,
+       CAST(total_amount AS DOUBLE) AS total_amount, payment_method, sales_channel, region, store_id FROM sales""")
+def _load_sales(spark, d):
+    path = K.write_table(_sales(spark, d), fresh_path(spark, "sales-csv"), "csv")
+    return L.load_sales(spark, path, "csv")
+
+
+@_register("load_customers", _with(CUSTOMERS_CTE) + """
+SELECT CAST(customer_id AS VARCHAR) AS customer_id, first_name, last_name, email, CAST(NULL AS VARCHAR) AS phone,
+       CAST(NULL AS DATE) AS registration_date, country, region, CAST(NULL AS VARCHAR) AS city, market_segment,
+       is_active FROM customers""")
+def _load_customers(spark, d):
+    path = K.write_table(T.customers(spark, d), fresh_path(spark, "customers-json"), "json")
+    return L.load_customers(spark, path, "json")
+
+
+@_register("load_products", _with(PRODUCTS_CTE) + """
+SELECT CAST(product_id AS VARCHAR) AS product_id, product_name, category, subcategory, brand, unit_cost, unit_price,
+       CAST(NULL AS DATE) AS launch_date, CAST(NULL AS VARCHAR) AS is_active FROM products""")
+def _load_products(spark, d):
+    path = K.write_table(T.products(spark, d), fresh_path(spark, "products-parquet"), "parquet")
+    return L.load_products(spark, path, "parquet")
+
+
+@_register("load_inventory", _with(INVENTORY_CTE) + """
+SELECT CAST(product_id AS VARCHAR) AS product_id, warehouse_id, quantity_on_hand, quantity_reserved,
+       quantity_available, reorder_point, snapshot_date FROM inventory""")
+def _load_inventory(spark, d):
+    path = K.write_table(T.inventory(spark, d), fresh_path(spark, "inventory-csv"), "csv")
+    return L.load_inventory(spark, path, "csv")
+
+
+@_register("medallion_counts", _with(DIRTY_CTE, CUSTOMERS_CTE, PRODUCTS_CTE, SILVER_CTE) + f""",
+ss AS (SELECT * FROM silver WHERE is_valid_amount AND is_valid_quantity)
+SELECT 'bronze' AS layer, 'sales' AS table_name, (SELECT COUNT(*) FROM dirty_sales) AS record_count
+UNION ALL SELECT 'bronze', 'customers', (SELECT COUNT(*) FROM customers)
+UNION ALL SELECT 'bronze', 'products', (SELECT COUNT(*) FROM products)
+UNION ALL SELECT 'silver', 'sales', (SELECT COUNT(*) FROM ss)
+UNION ALL SELECT 'silver', 'customers', (SELECT COUNT(*) FROM customers)
+UNION ALL SELECT 'silver', 'products', (SELECT COUNT(*) FROM products)
+UNION ALL SELECT 'gold', 'customer_analytics', (SELECT COUNT(*) FROM customers)
+UNION ALL SELECT 'gold', 'product_performance', (SELECT COUNT(*) FROM products)
+UNION ALL SELECT 'gold', 'monthly_trends',
+  (SELECT COUNT(*) FROM (SELECT DISTINCT year(transaction_date), month(transaction_date), region FROM ss) m)
+UNION ALL SELECT 'gold', 'regional_performance', (SELECT COUNT(DISTINCT region) FROM ss)""")
+def _medallion_counts(spark, d):
+    _, counts = M.run(spark, _sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d))
+    return counts
+
+
+@_register("pipeline_metrics", _SQL["medallion_counts"])
+def _pipeline_metrics(spark, d):
+    lay, _ = M.run(spark, _sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d))
+    m = M.metrics_table(spark, lay)
+    return m.select(F.split("stage", r"\.")[0].alias("layer"), F.split("stage", r"\.")[1].alias("table_name"),
+                    "record_count")
+
+
+@_register("partitioned_scan", _with(SALES_CTE) + f"""
+SELECT region, {_DBL} AS revenue, COUNT(transaction_id) AS transaction_count FROM sales
+WHERE year(transaction_date) = 2000 AND month(transaction_date) = 3 GROUP BY region""")
+def _partitioned_scan(spark, d):
+    s = _sales(spark, d).withColumns({"year": F.year("transaction_date"), "month": F.month("transaction_date")})
+    path = K.write_table(s, fresh_path(spark, "sales-by-month"), partition_by=["year", "month"])
+    back = K.read_table(spark, path).where((F.col("year") == 2000) & (F.col("month") == 3))
+    return S.region_revenue_since(back, "1900-01-01")
+
+
+@_register("bronze_ingest", _with(SALES_CTE) + """
+SELECT CASE WHEN transaction_date < TIMESTAMP '1998-01-01 00:00:00' THEN 'b1' ELSE 'b2' END AS batch_id,
+       'erp' AS source_system, COUNT(*) AS record_count, COUNT(*) AS with_ingest_ts
+FROM sales GROUP BY 1""")
+def _bronze_ingest(spark, d):
+    s = _sales(spark, d)
+    path = fresh_path(spark, "bronze-append")
+    early = F.col("transaction_date") < F.to_timestamp(F.lit("1998-01-01"))
+    K.append_bronze(s.where(early), path, "erp", "b1")
+    K.append_bronze(s.where(~early), path, "erp", "b2")
+    back = K.read_table(spark, path)
+    return back.groupBy("batch_id", "source_system").agg(F.count(F.lit(1)).alias("record_count"),
+                                                         F.count("ingest_ts").alias("with_ingest_ts"))
+
+
+@_register("quarantine", _SQL["reject_summary"])
+def _quarantine(spark, d):
+    clean, bad = Q.split_quarantine(T.sales_with_nulls(spark, d))
+    path = K.write_quarantine(bad, fresh_path(spark, "quarantine"))
+    return Q.reject_summary(K.read_table(spark, path))
+
+
 # ----------------------------------------------------------------------------
 # contract
 
