@@ -22,7 +22,8 @@ from tillscope.functions.columns import (
     score_high_is_good,
     score_low_is_good,
 )
-from tillscope.operators.ranking import discrete_quantiles
+from tillscope.operators.ranking import multi_quantiles
+from tillscope.session import materialize
 from tillscope.settings import DEFAULT, Settings
 
 CUSTOMER_KEY = "customer_id"
@@ -62,13 +63,11 @@ def rfm_metrics(sales_df: DataFrame, reference_date=None, fact: DataFrame | None
 
 
 def rfm_thresholds(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exact") -> dict:
-    """Quintile cut points of the three metrics as lazy scalar columns."""
-    probs = settings.rfm_probabilities
-    out = {}
-    for metric in ("recency_days", "frequency", "monetary_value"):
-        q = discrete_quantiles(rfm_df, metric, probs, mode=mode, accuracy=settings.rfm_approx_accuracy)
-        out[metric] = q.select("thresholds").scalar()
-    return out
+    """Quintile cut points of the three metrics (one job for all three), as
+    lazy scalar-subquery columns."""
+    metrics = ["recency_days", "frequency", "monetary_value"]
+    q = multi_quantiles(rfm_df, metrics, settings.rfm_probabilities, mode, settings.rfm_approx_accuracy)
+    return {m: q.select(m).scalar() for m in metrics}
 
 
 def rfm_scores(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exact") -> DataFrame:
@@ -89,10 +88,17 @@ def rfm_scores(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exa
 
 
 def calculate_rfm(sales_df: DataFrame, customer_df: DataFrame, reference_date=None,
-                  settings: Settings = DEFAULT, mode: str = "exact") -> DataFrame:
+                  settings: Settings = DEFAULT, mode: str = "exact", materialize_fact: bool = True) -> DataFrame:
     """Customer master LEFT JOIN scored RFM: every customer is kept, customers
-    without sales carry NULL metrics and scores."""
-    scored = rfm_scores(rfm_metrics(sales_df, reference_date), settings, mode)
+    without sales carry NULL metrics and scores.
+
+    With ``materialize_fact`` the per-customer aggregate is written once to
+    the shared folder, so the sales are scanned and shuffled once for both
+    the quintile cut points and the scores."""
+    fact = customer_fact(sales_df)
+    if materialize_fact:
+        fact = materialize(fact, "customer-fact")
+    scored = rfm_scores(rfm_metrics(sales_df, reference_date, fact=fact), settings, mode)
     return _master(customer_df).join(scored, CUSTOMER_KEY, "left")
 
 
@@ -177,7 +183,8 @@ def customer_360(customer_df: DataFrame, rfm_df: DataFrame, clv_df: DataFrame, c
 
 def customer_360_from_sales(sales_df: DataFrame, customer_df: DataFrame, reference_date=None,
                             projection_months: int = 12, inactivity_threshold_days: int = 180,
-                            settings: Settings = DEFAULT, mode: str = "exact") -> DataFrame:
+                            settings: Settings = DEFAULT, mode: str = "exact",
+                            materialize_fact: bool = True) -> DataFrame:
     """The single customer view from one per-customer aggregate and one join.
 
     Same columns as ``customer_360``: master columns, recency_days, frequency,
@@ -185,6 +192,8 @@ def customer_360_from_sales(sales_df: DataFrame, customer_df: DataFrame, referen
     churn_risk, days_since_last_purchase.
     """
     fact = customer_fact(sales_df)
+    if materialize_fact:
+        fact = materialize(fact, "customer-fact")
     rfm = rfm_scores(rfm_metrics(sales_df, reference_date, fact=fact), settings, mode)
     clv = clv_metrics(sales_df, projection_months, fact=fact)
     days = F.datediff(as_date(reference_date), F.col("last_purchase_date"))

@@ -83,40 +83,45 @@ def quality_report(df: DataFrame, dataset_name: str, required_columns: Sequence[
     given), null_values per column (<= max_null_percentage), duplicates
     (whole rows, fraction <= duplicate_threshold), data_types; the row
     ``overall`` passes when every other row passes.
+
+    One shuffle for everything: rows are grouped on all columns (partial
+    aggregation first), and the record count, distinct count and every
+    column's null count are sums over those groups weighted by group size.
     """
-    spark = df.sparkSession
-    nulls = null_profile(df, settings=settings)
-    dups = duplicate_profile(df, settings=settings)
-    rows = []
-    count_row = df.agg(F.count(F.lit(1)).cast("double").alias("observed")).select(
-        F.lit("record_count").alias("check"), F.lit(None).cast("string").alias("column_name"),
-        "observed", F.lit(float(settings.min_record_count)).alias("threshold"),
-        (F.col("observed") >= F.lit(float(settings.min_record_count))).alias("passed"))
-    rows.append(count_row)
+    cols = df.columns
+    groups = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("__c"))
+    wide = groups.agg(
+        F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("__total"),
+        F.count(F.lit(1)).alias("__distinct"),
+        *[F.coalesce(F.sum(F.when(F.col(f"`{c}`").isNull(), F.col("__c"))), F.lit(0)).alias(f"__n{i}")
+          for i, c in enumerate(cols)])
+    total = F.col("__total").cast("double")
+
+    def row(check, column, observed, threshold, passed):
+        return F.struct(F.lit(check).alias("check"), F.lit(column).cast("string").alias("column_name"),
+                        observed.cast("double").alias("observed"), F.lit(float(threshold)).alias("threshold"),
+                        passed.alias("passed"))
+
+    rows = [row("record_count", None, total, settings.min_record_count,
+                total >= F.lit(float(settings.min_record_count)))]
     if required_columns:
-        missing = sorted(set(required_columns) - set(df.columns))
-        req = spark.createDataFrame(
-            [("required_columns", ",".join(missing) or None, float(len(missing)), 0.0, not missing)],
-            "check string, column_name string, observed double, threshold double, passed boolean")
-        rows.append(req)
-    rows.append(nulls.select(F.lit("null_values").alias("check"), "column_name",
-                             F.col("null_fraction").alias("observed"),
-                             F.lit(float(settings.max_null_percentage)).alias("threshold"), "passed"))
-    rows.append(dups.select(F.lit("duplicates").alias("check"), F.lit(None).cast("string").alias("column_name"),
-                            F.col("duplicate_fraction").alias("observed"),
-                            F.lit(float(settings.duplicate_threshold)).alias("threshold"), "passed"))
+        missing = sorted(set(required_columns) - set(cols))
+        rows.append(row("required_columns", ",".join(missing) or None, F.lit(len(missing)), 0, F.lit(not missing)))
+    for i, c in enumerate(cols):
+        frac = F.when(total > 0, F.col(f"__n{i}") / total).otherwise(F.lit(0.0))
+        rows.append(row("null_values", c, frac, settings.max_null_percentage,
+                        frac <= F.lit(settings.max_null_percentage)))
+    dup = F.when(total > 0, (F.col("__total") - F.col("__distinct")) / total).otherwise(F.lit(0.0))
+    rows.append(row("duplicates", None, dup, settings.duplicate_threshold,
+                    dup <= F.lit(settings.duplicate_threshold)))
     issues = type_issues(df)
-    rows.append(spark.createDataFrame(
-        [("data_types", ",".join(i["column"] for i in issues) or None, float(len(issues)), 0.0, not issues)],
-        "check string, column_name string, observed double, threshold double, passed boolean"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    overall = out.agg(F.min(F.col("passed").cast("int")).alias("__ok")).select(
-        F.lit("overall").alias("check"), F.lit(None).cast("string").alias("column_name"),
-        F.col("__ok").cast("double").alias("observed"), F.lit(1.0).alias("threshold"),
-        (F.col("__ok") == 1).alias("passed"))
-    return out.unionByName(overall).select(F.lit(dataset_name).alias("dataset"), "*")
+    rows.append(row("data_types", ",".join(i["column"] for i in issues) or None, F.lit(len(issues)), 0,
+                    F.lit(not issues)))
+    ok = F.lit(True)
+    for r in rows:
+        ok = ok & r.getField("passed")
+    rows.append(row("overall", None, ok.cast("int"), 1, ok))
+    return wide.select(F.inline(F.array(*rows))).select(F.lit(dataset_name).alias("dataset"), "*")
 
 
 def validate_dataframe(df: DataFrame, dataset_name: str, required_columns: Sequence[str] | None = None,

@@ -29,15 +29,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.session import shared_dir
+from tillscope.session import materialize
 
 _LOW33 = (1 << 33) - 1
 
 
 def _sorted_checkpoint(df: DataFrame, order_cols: Sequence[Column]) -> DataFrame:
-    shared_dir(df.sparkSession)
+    """Range-partitioned sort, each row tagged with (partition index << 33) + its
+    position in the partition, stored as a table in the shared folder.
+
+    The tag alone carries the order, so the stored table can be read back in
+    any split/partition layout."""
     tagged = df.orderBy(*order_cols).withColumn("_rk_id", F.monotonically_increasing_id())
-    return tagged.checkpoint(eager=True)
+    return materialize(tagged, "sorted")
 
 
 def _partition_offsets(cp: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -73,22 +77,42 @@ def discrete_quantiles(df: DataFrame, column: str, probabilities: Sequence[float
     NULLs ignored, computed distributed (see module doc).
     ``mode="approx"``: ``percentile_approx`` (bounded-memory sketch, one pass).
     """
+    q = multi_quantiles(df, [column], probabilities, mode, accuracy)
+    return q.select(F.col(column).alias("thresholds"))
+
+
+def multi_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
+                    mode: str = "exact", accuracy: int = 10_000) -> DataFrame:
+    """One row with, per input column, the array of its p-quantiles.
+
+    Exact mode handles all columns in one pass: the (column index, value)
+    pairs are counted together, sorted once and prefix-summed once; each
+    column's rank targets are shifted by the rows of the columns before it.
+    """
     probs = [float(p) for p in probabilities]
+    cols = list(columns)
     if mode == "approx":
-        return df.agg(F.percentile_approx(F.col(column).cast("double"), probs, accuracy).alias("thresholds"))
+        return df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols])
     if mode != "exact":
         raise ValueError(f"unknown quantile mode {mode!r}")
-    v = F.col(column).cast("double")
-    freq = df.where(v.isNotNull()).groupBy(v.alias("_q_v")).agg(F.count(F.lit(1)).alias("_q_c"))
-    cp = _sorted_checkpoint(freq, [F.col("_q_v")])
-    offsets = _partition_offsets(cp, F.col("_q_c"))
-    total = offsets.agg(F.sum("_rk_n")).scalar()
-    bo = F.broadcast(offsets.select("_rk_pid", "_rk_off"))
-    j = cp.join(bo, F.shiftright(cp["_rk_id"], 33) == bo["_rk_pid"])
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v"))
+                                for i, c in enumerate(cols)]))
+    stacked = df.select(pairs.alias("_q")).select(F.col("_q.m").alias("_q_m"), F.col("_q.v").alias("_q_v"))
+    freq = stacked.where(F.col("_q_v").isNotNull()).groupBy("_q_m", "_q_v").agg(F.count(F.lit(1)).alias("_q_c"))
+    cp = _sorted_checkpoint(freq, [F.col("_q_m"), F.col("_q_v")])
+    offsets = F.broadcast(_partition_offsets(cp, F.col("_q_c")).select("_rk_pid", "_rk_off"))
+    # one row per input column: its row total and the rows of all columns before it
+    per_col = cp.groupBy("_q_m").agg(F.sum("_q_c").alias("_q_n")).withColumn(
+        "_q_start", F.coalesce(F.sum("_q_n").over(
+            Window.orderBy("_q_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    j = cp.join(offsets, F.shiftright(cp["_rk_id"], 33) == offsets["_rk_pid"]) \
+        .join(F.broadcast(per_col), "_q_m")
     running = Window.partitionBy("_rk_pid").orderBy("_rk_id").rowsBetween(Window.unboundedPreceding, 0)
-    cum = j.select("_q_v", (F.col("_rk_off") + F.sum("_q_c").over(running)).alias("_q_cum"))
+    cum = j.select("_q_m", "_q_v", "_q_n", "_q_start",
+                   (F.col("_rk_off") + F.sum("_q_c").over(running)).alias("_q_cum"))
     picks = []
     for i, p in enumerate(probs):
-        target = F.greatest(F.lit(1), F.ceil(F.lit(p) * total))
-        picks.append(F.min(F.when(F.col("_q_cum") >= target, F.col("_q_v"))).alias(f"_q{i}"))
-    return cum.agg(*picks).select(F.array(*[f"_q{i}" for i in range(len(probs))]).alias("thresholds"))
+        target = F.col("_q_start") + F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_q_n")))
+        picks.append(F.min(F.when(F.col("_q_cum") >= target, F.col("_q_v"))).alias(f"_p{i}"))
+    per = cum.groupBy("_q_m").agg(*picks).select("_q_m", F.array(*[f"_p{i}" for i in range(len(probs))]).alias("_t"))
+    return per.agg(*[F.max(F.when(F.col("_q_m") == i, F.col("_t"))).alias(c) for i, c in enumerate(cols)])

@@ -60,3 +60,16 @@ def local_path(path: str) -> str:
 
 
 __all__ = ["build_session", "shared_dir", "fresh_path", "local_path"]
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as a Parquet table below the shared folder and read it back.
+
+    One job, and the result no longer depends on the lineage above it: a lost
+    executor re-reads the table instead of recomputing the sources, and
+    several downstream plans can share the result without re-running it.
+    (``DataFrame.checkpoint`` would run the lineage twice unless cached.)
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
