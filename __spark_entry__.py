@@ -28,6 +28,7 @@ from tillscope.session import fresh_path
 from tillscope.sources import loaders as L
 from tillscope.sources import sinks as K
 from tillscope.sources import testdata as T
+from tillscope.streaming import jobs as ST
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 REF = T.REFERENCE_DATE
@@ -831,7 +832,8 @@ def _sql_day_of_week(spark, d):
 
 
 @_register("sql_hour_of_day", """
-SELECT CAST(hour(ts) AS INTEGER) AS hour, COUNT(*) AS transactions, CAST(SUM(value) AS DOUBLE) AS revenue
+SELECT CAST(hour(ts) AS INTEGER) AS hour, COUNT(*) AS transactions,
+       CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS revenue
 FROM events GROUP BY 1""")
 def _sql_hour_of_day(spark, d):
     BI.register_views(spark, sales=T.event_sales(spark, d))
@@ -1021,6 +1023,73 @@ def _quarantine(spark, d):
     return Q.reject_summary(K.read_table(spark, path))
 
 
+# ----------------------------------------------------------------------------
+# streaming tier: events as a file stream, availableNow into a Parquet sink
+
+_EV_MAX = "(SELECT MAX(CAST(ts AS TIMESTAMP)) FROM events)"
+_EV_REV = "CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DOUBLE)"
+
+
+@_register("stream_silver", """
+SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(ts AS TIMESTAMP) AS transaction_date, user_id AS customer_id,
+       CAST(value AS DECIMAL(12,2)) AS total_amount, event_type AS sales_channel
+FROM events WHERE CAST(value AS DECIMAL(12,2)) > 0 AND CAST(value AS DECIMAL(12,2)) < 100000""")
+def _stream_silver(spark, d):
+    # the same feed delivered twice: duplicates are removed within the watermark
+    feed = ST.event_sales_stream(spark, d).unionByName(ST.event_sales_stream(spark, d))
+    return ST.run_available(ST.stream_silver(feed, "1 day"), "stream-silver")
+
+
+@_register("stream_daily_revenue", f"""
+SELECT * FROM (
+  SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+         event_type AS sales_channel, {_EV_REV} AS revenue, COUNT(*) AS transaction_count
+  FROM events GROUP BY 1, 2, 3) w
+WHERE window_end <= {_EV_MAX} - INTERVAL 1 DAY""")
+def _stream_daily_revenue(spark, d):
+    return ST.run_available(ST.stream_revenue(ST.event_sales_stream(spark, d), "1 day", None, "1 day"),
+                            "stream-daily")
+
+
+@_register("stream_sliding", f"""
+SELECT * FROM (
+  SELECT ws AS window_start, ws + INTERVAL 2 DAY AS window_end, event_type AS sales_channel,
+         {_EV_REV} AS revenue, COUNT(*) AS transaction_count
+  FROM (SELECT date_trunc('day', ts) AS ws, * FROM events
+        UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY AS ws, * FROM events) e
+  GROUP BY 1, 2, 3) w
+WHERE window_end <= {_EV_MAX} - INTERVAL 1 DAY""")
+def _stream_sliding(spark, d):
+    return ST.run_available(ST.stream_revenue(ST.event_sales_stream(spark, d), "2 days", "1 day", "1 day"),
+                            "stream-sliding")
+
+
+@_register("stream_sessions", f"""
+WITH f AS (
+  SELECT user_id AS customer_id, CAST(ts AS TIMESTAMP) AS ts, value,
+         CASE WHEN LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                OR ts >= LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new_s
+  FROM events),
+g AS (SELECT *, SUM(new_s) OVER (PARTITION BY customer_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM f)
+SELECT customer_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end,
+       COUNT(*) AS transaction_count, {_EV_REV} AS revenue
+FROM g GROUP BY customer_id, sid
+HAVING MAX(ts) + INTERVAL 30 MINUTE <= {_EV_MAX} - INTERVAL 1 HOUR""")
+def _stream_sessions(spark, d):
+    return ST.run_available(ST.stream_sessions(ST.event_sales_stream(spark, d), "30 minutes", "1 hour"),
+                            "stream-sessions")
+
+
+@_register("stream_enriched", _with(CUSTOMERS_CTE) + """
+SELECT e.user_id AS customer_id, CAST(e.event_id AS VARCHAR) AS transaction_id,
+       CAST(e.ts AS TIMESTAMP) AS transaction_date, CAST(e.value AS DECIMAL(12,2)) AS total_amount,
+       e.event_type AS sales_channel, c.region, c.market_segment
+FROM events e LEFT JOIN customers c ON e.user_id = c.customer_id""")
+def _stream_enriched(spark, d):
+    return ST.run_available(ST.stream_enriched(ST.event_sales_stream(spark, d), T.customers(spark, d)),
+                            "stream-enriched")
+
+
 # ----------------------------------------------------------------------------
 # contract
 

@@ -129,7 +129,7 @@ def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").cast("string").alias("transaction_id"),
         F.col("ts").cast("timestamp").alias("transaction_date"),
         F.col("user_id").alias("customer_id"),
-        F.col("value").alias("total_amount"),
+        F.col("value").cast("decimal(12,2)").alias("total_amount"),
         F.col("event_type").alias("sales_channel"),
     )
 
