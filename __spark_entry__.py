@@ -22,6 +22,7 @@ from tillscope.operators import customers as C
 from tillscope.operators import inventory as I
 from tillscope.operators import quality as Q
 from tillscope.operators import sales as S
+from tillscope.operators import skew as SK
 from tillscope.plans import bi as BI
 from tillscope.plans import medallion as M
 from tillscope.session import fresh_path
@@ -266,6 +267,26 @@ def _customer_status(spark, d):
     return C.customer_status(T.customers(spark, d))
 
 
+@_register("high_value_customers", _with(SALES_CTE, CUSTOMERS_CTE, _FACT, _CLV) + """
+SELECT c.*, v.* EXCLUDE (customer_id), COALESCE(v.projected_clv >= 400000.0, FALSE) AS is_high_value
+FROM customers c LEFT JOIN clv v USING (customer_id)""")
+def _high_value_customers(spark, d):
+    return C.high_value_customers(C.calculate_clv(_sales(spark, d), T.customers(spark, d)), threshold=400000.0)
+
+
+@_register("customers_masked", _with(CUSTOMERS_CTE) + """
+SELECT * REPLACE (CASE WHEN email IS NULL THEN NULL ELSE '***@' || split_part(email, '@', -1) END AS email)
+FROM customers""")
+def _customers_masked(spark, d):
+    return C.mask_emails(T.customers(spark, d), privileged=False)
+
+
+@_register("rfm_scores_approx")
+def _rfm_scores_approx(spark, d):
+    """The sketch-based quintiles (relative error 1/accuracy): no exact oracle."""
+    return C.rfm_scores(C.rfm_metrics(_sales(spark, d), REF), mode="approx")
+
+
 # ----------------------------------------------------------------------------
 # sales, product, regional and time analytics
 
@@ -310,6 +331,20 @@ def _monthly_trends(spark, d):
     return S.monthly_trends(_sales(spark, d))
 
 
+@_register("monthly_trends_strict", _with(SALES_CTE, _MONTHLY) + """,
+m3 AS (SELECT *, LAG(year * 12 + month) OVER (PARTITION BY region ORDER BY year, month) AS prev_idx,
+              LAG(year) OVER (PARTITION BY region, month ORDER BY year) AS prev_year FROM m2),
+m4 AS (SELECT * EXCLUDE (prev_month_revenue, prev_year_revenue, prev_idx, prev_year),
+              CASE WHEN prev_idx = year * 12 + month - 1 THEN prev_month_revenue END AS prev_month_revenue,
+              CASE WHEN prev_year = year - 1 THEN prev_year_revenue END AS prev_year_revenue FROM m3)
+SELECT year, month, year_month, region, monthly_revenue, transaction_count, unique_customers, avg_order_value,
+       prev_month_revenue, (monthly_revenue - prev_month_revenue) / NULLIF(prev_month_revenue, 0) * 100.0 AS mom_growth_pct,
+       prev_year_revenue, (monthly_revenue - prev_year_revenue) / NULLIF(prev_year_revenue, 0) * 100.0 AS yoy_growth_pct
+FROM m4""")
+def _monthly_trends_strict(spark, d):
+    return S.monthly_trends(_sales(spark, d), calendar_strict=True)
+
+
 @_register("monthly_mom", _with(SALES_CTE) + f"""
 SELECT *, (monthly_revenue - prev_month_revenue) / NULLIF(prev_month_revenue, 0) * 100.0 AS mom_growth_pct FROM (
   SELECT *, LAG(monthly_revenue) OVER (PARTITION BY region ORDER BY year, month) AS prev_month_revenue FROM (
@@ -388,6 +423,21 @@ def _sales_velocity(spark, d):
     return S.sales_velocity(_sales(spark, d), 30)
 
 
+@_register("sales_velocity_filled", _with(SALES_CTE) + """,
+d AS (SELECT CAST(transaction_date AS DATE) AS sale_date, product_id, CAST(SUM(quantity) AS BIGINT) AS q,
+             SUM(total_amount) AS rev FROM sales GROUP BY 1, 2),
+b AS (SELECT product_id, MIN(sale_date) AS lo, MAX(sale_date) AS hi FROM d GROUP BY product_id),
+g AS (SELECT product_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS sale_date FROM b),
+f AS (SELECT g.sale_date, g.product_id, COALESCE(d.q, 0) AS daily_quantity, COALESCE(d.rev, 0) AS rev
+      FROM g LEFT JOIN d ON g.product_id = d.product_id AND g.sale_date = d.sale_date)
+SELECT sale_date, product_id, daily_quantity, CAST(rev AS DOUBLE) AS daily_revenue,
+       CAST(SUM(daily_quantity) OVER w AS DOUBLE) / NULLIF(COUNT(daily_quantity) OVER w, 0) AS avg_daily_quantity_7d,
+       CAST(SUM(rev) OVER w AS DOUBLE) / NULLIF(COUNT(rev) OVER w, 0) AS avg_daily_revenue_7d
+FROM f WINDOW w AS (PARTITION BY product_id ORDER BY sale_date RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)""")
+def _sales_velocity_filled(spark, d):
+    return S.sales_velocity(_sales(spark, d), 7, fill_missing_days=True)
+
+
 @_register("sales_by_region", _with(SALES_CTE) + f"""
 SELECT region, {_DBL} AS total_revenue, COUNT(transaction_id) AS transaction_count, {_AVG} AS avg_transaction_value
 FROM sales GROUP BY region""")
@@ -1023,6 +1073,16 @@ def _quarantine(spark, d):
     return Q.reject_summary(K.read_table(spark, path))
 
 
+@_register("salted_join", _with(SALES_CTE, CUSTOMERS_CTE) + f"""
+SELECT c.market_segment, {_DBL} AS revenue, COUNT(*) AS transaction_count
+FROM sales s JOIN customers c ON s.customer_id = c.customer_id GROUP BY c.market_segment""")
+def _salted_join(spark, d):
+    j = SK.salted_join(_sales(spark, d).select("customer_id", "transaction_id", "total_amount"),
+                       T.customers(spark, d).select("customer_id", "market_segment"), "customer_id", 8)
+    return j.groupBy("market_segment").agg(F.sum("total_amount").cast("double").alias("revenue"),
+                                           F.count(F.lit(1)).alias("transaction_count"))
+
+
 # ----------------------------------------------------------------------------
 # streaming tier: events as a file stream, availableNow into a Parquet sink
 

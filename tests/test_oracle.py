@@ -27,12 +27,23 @@ def test_entry_smoke(spark):
     assert "customer_segment" in df.columns and df.count() > 0
 
 
+# approximate by design: checked for rows only (and against exact mode below)
+NO_ORACLE = {"rfm_scores_approx"}
+
+
 def test_every_query_has_an_oracle():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert not missing, missing
+    assert missing == NO_ORACLE, missing
+
+
+def test_approx_rfm_close_to_exact(spark):
+    a = {r["customer_id"]: r["rfm_score"] for r in E.queries()["rfm_scores_approx"](spark, SF).collect()}
+    b = {r["customer_id"]: r["rfm_score"] for r in E.queries()["rfm_scores"](spark, SF).collect()}
+    assert a.keys() == b.keys()
+    assert sum(a[k] == b[k] for k in a) >= 0.9 * len(a)
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(set(E.queries()) - NO_ORACLE))
 def test_query_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF)
     srows = [tuple(r) for r in df.collect()]

@@ -67,7 +67,10 @@ def rfm_thresholds(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str =
     lazy scalar-subquery columns."""
     metrics = ["recency_days", "frequency", "monetary_value"]
     q = multi_quantiles(rfm_df, metrics, settings.rfm_probabilities, mode, settings.rfm_approx_accuracy)
-    return {m: q.select(m).scalar() for m in metrics}
+    # one scalar subquery (a struct of the three arrays): every reference below
+    # is the same expression, so Spark evaluates it once and reuses it
+    packed = q.select(F.struct(*metrics)).scalar()
+    return {m: packed.getField(m) for m in metrics}
 
 
 def rfm_scores(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exact") -> DataFrame:
