@@ -128,26 +128,30 @@ def validate_dataframe(df: DataFrame, dataset_name: str, required_columns: Seque
                        settings: Settings = DEFAULT) -> tuple[DataFrame, dict]:
     """Dictionary facade over ``quality_report``: returns (df unchanged, report).
 
-    Collects only the small report rows (one per column plus a few)."""
-    nulls = {r["column_name"]: r["null_fraction"] for r in null_profile(df, settings=settings).collect()}
-    d = duplicate_profile(df, settings=settings).collect()[0].asDict()
-    count = d["total_records"]
+    One job; collects only the report rows (one per column plus a few)."""
+    rows = quality_report(df, dataset_name, required_columns, settings).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["check"], []).append(r)
+    count = int(by["record_count"][0]["observed"])
     report = {"dataset_name": dataset_name, "checks": {}}
-    report["checks"]["record_count"] = {"total_records": count, "passed": count >= settings.min_record_count,
+    report["checks"]["record_count"] = {"total_records": count, "passed": by["record_count"][0]["passed"],
                                         "threshold": settings.min_record_count}
     if required_columns:
         missing = sorted(set(required_columns) - set(df.columns))
         report["checks"]["required_columns"] = {"missing_columns": missing, "passed": not missing}
+    nulls = {r["column_name"]: r["observed"] for r in by.get("null_values", [])}
     violations = {c: p for c, p in nulls.items() if p > settings.max_null_percentage}
     report["checks"]["null_values"] = {"null_percentages": nulls, "violations": violations,
                                        "passed": not violations, "threshold": settings.max_null_percentage}
+    dup = by["duplicates"][0]
+    dup_count = int(round(dup["observed"] * count))
     report["checks"]["duplicates"] = {
-        "total_records": d["total_records"], "distinct_records": d["distinct_records"],
-        "duplicate_count": d["duplicate_count"], "duplicate_percentage": d["duplicate_fraction"],
-        "passed": d["passed"], "threshold": settings.duplicate_threshold}
+        "total_records": count, "distinct_records": count - dup_count, "duplicate_count": dup_count,
+        "duplicate_percentage": dup["observed"], "passed": dup["passed"], "threshold": settings.duplicate_threshold}
     issues = type_issues(df)
     report["checks"]["data_types"] = {"type_issues": issues, "passed": not issues}
-    report["overall_status"] = "PASSED" if all(c["passed"] for c in report["checks"].values()) else "FAILED"
+    report["overall_status"] = "PASSED" if by["overall"][0]["passed"] else "FAILED"
     return df, report
 
 

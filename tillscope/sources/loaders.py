@@ -13,6 +13,7 @@ No loader counts its rows: counting is an action and belongs to the caller.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tillscope.sources.schemas import SCHEMAS, conform
@@ -35,7 +36,11 @@ def load_table(spark: SparkSession, path: str, schema: StructType, file_format:
         df = reader.format(fmt).load(path)
         if keep_corrupt:
             return df
-        return df.where(df[CORRUPT].isNull()).drop(CORRUPT)
+        # The predicate reads every declared field, so each record is parsed
+        # in full and a malformed value is detected whatever columns the
+        # caller selects later (column pruning would otherwise skip them).
+        every_field = F.length(F.concat_ws("\u0001", *[F.col(f"`{f.name}`").cast("string") for f in schema.fields]))
+        return df.where(df[CORRUPT].isNull() & (every_field >= 0)).drop(CORRUPT)
     df = spark.read.format(fmt).load(path)
     return conform(df, schema, rename)
 
