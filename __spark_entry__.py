@@ -750,14 +750,14 @@ def _daily_revenue_anomaly(spark, d):
 # ----------------------------------------------------------------------------
 # SQL dashboard statements over the sales / customers / products views
 
-def _bi(spark, d, sales_only: bool = False):
+def _bi(spark, d, views: str = "sales"):
+    """Register only the views a statement reads (the customer view and the
+    product ranking each write an intermediate table when built)."""
     sales = _sales(spark, d)
-    if sales_only:
-        BI.register_views(spark, sales=sales)
-    else:
-        BI.register_views(spark, sales=sales,
-                          customers=C.customer_360_from_sales(sales, T.customers(spark, d), REF),
-                          products=S.product_performance(sales, T.products(spark, d)))
+    BI.register_views(
+        spark, sales=sales,
+        customers=C.customer_360_from_sales(sales, T.customers(spark, d), REF) if "customers" in views else None,
+        products=S.product_performance(sales, T.products(spark, d)) if "products" in views else None)
 
 
 _C360_CTE = "c360 AS (" + C360_SQL + ")"
@@ -771,7 +771,7 @@ SELECT COUNT(DISTINCT transaction_id) AS total_transactions, COUNT(DISTINCT cust
        {_DBL} / NULLIF(COUNT(DISTINCT customer_id), 0) AS revenue_per_customer
 FROM sales WHERE year(transaction_date) = year(DATE '{_KPI_LO}') AND month(transaction_date) = month(DATE '{_KPI_LO}')""")
 def _sql_kpi_month(spark, d):
-    _bi(spark, d, True)
+    _bi(spark, d)
     return BI.kpi_month(spark, _KPI_LO)
 
 
@@ -782,7 +782,7 @@ FROM (SELECT month, revenue, LAG(revenue) OVER (ORDER BY month) AS prev FROM (
         SELECT date_trunc('month', transaction_date) AS month, SUM(total_amount) AS revenue FROM sales GROUP BY 1) a) b
 ORDER BY month DESC LIMIT 12""")
 def _sql_monthly_growth(spark, d):
-    _bi(spark, d, True)
+    _bi(spark, d)
     return BI.monthly_growth(spark, 12)
 
 
@@ -792,7 +792,7 @@ SELECT region, COUNT(DISTINCT customer_id) AS customers, COUNT(DISTINCT transact
        {_DBL} / NULLIF(COUNT(DISTINCT customer_id), 0) AS revenue_per_customer
 FROM sales GROUP BY region""")
 def _sql_revenue_by_region(spark, d):
-    _bi(spark, d, True)
+    _bi(spark, d)
     return BI.revenue_by_region(spark)
 
 
@@ -802,7 +802,7 @@ SELECT customer_segment, COUNT(*) AS customer_count,
        AVG(projected_clv) AS avg_clv, AVG(frequency) AS avg_purchases
 FROM c360 WHERE customer_segment IS NOT NULL GROUP BY customer_segment""")
 def _sql_segment_summary(spark, d):
-    _bi(spark, d)
+    _bi(spark, d, "customers")
     return BI.segment_summary(spark)
 
 
@@ -811,7 +811,7 @@ SELECT customer_id, first_name, last_name, email, projected_clv, days_since_last
 FROM c360 WHERE projected_clv > {T.HIGH_VALUE_AT_RISK_CLV} AND churn_risk IN ('High', 'Medium')
 ORDER BY projected_clv DESC, customer_id LIMIT 50""")
 def _sql_high_value_at_risk(spark, d):
-    _bi(spark, d)
+    _bi(spark, d, "customers")
     return BI.high_value_at_risk(spark, T.HIGH_VALUE_AT_RISK_CLV, 50)
 
 
@@ -827,7 +827,7 @@ SELECT cohort_month, activity_month, active_customers,
        CAST(datediff('month', cohort_month, activity_month) AS DOUBLE) AS months_since_first_purchase
 FROM cohort_activity""")
 def _sql_cohort_retention(spark, d):
-    _bi(spark, d, True)
+    _bi(spark, d)
     return BI.cohort_retention(spark)
 
 
@@ -836,7 +836,7 @@ SELECT product_id, product_name, category, total_revenue, total_quantity_sold, u
        ROUND(profit_margin_pct, 2) AS profit_margin_pct, revenue_rank
 FROM ppv WHERE revenue_rank <= 20""")
 def _sql_top20_products(spark, d):
-    _bi(spark, d)
+    _bi(spark, d, "products")
     return BI.top_products(spark, 20)
 
 
@@ -847,7 +847,7 @@ SELECT category, COUNT(DISTINCT product_id) AS product_count,
        COUNT(DISTINCT unique_buyers) AS distinct_buyer_counts
 FROM ppv WHERE category IS NOT NULL GROUP BY category""")
 def _sql_category_comparison(spark, d):
-    _bi(spark, d)
+    _bi(spark, d, "products")
     return BI.category_comparison(spark)
 
 
@@ -856,7 +856,7 @@ SELECT product_id, product_name, category, total_revenue, profit_margin_pct, tot
 FROM ppv WHERE total_revenue < {T.UNDERPERFORMING_REVENUE} OR profit_margin_pct < {T.UNDERPERFORMING_MARGIN}
 ORDER BY total_revenue ASC NULLS FIRST, product_id LIMIT 20""")
 def _sql_underperforming(spark, d):
-    _bi(spark, d)
+    _bi(spark, d, "products")
     return BI.underperforming(spark, T.UNDERPERFORMING_REVENUE, T.UNDERPERFORMING_MARGIN, 20)
 
 
@@ -866,7 +866,7 @@ SELECT sales_channel, COUNT(DISTINCT transaction_id) AS transactions, COUNT(DIST
        ROUND({_DBL} * 100.0 / CAST(SUM(SUM(total_amount)) OVER () AS DOUBLE), 2) AS revenue_share_pct
 FROM sales GROUP BY sales_channel""")
 def _sql_channel_comparison(spark, d):
-    _bi(spark, d, True)
+    _bi(spark, d)
     return BI.channel_comparison(spark)
 
 
@@ -877,7 +877,7 @@ SELECT CAST(dayofweek(transaction_date) + 1 AS INTEGER) AS day_of_week,
        COUNT(*) AS transactions, {_DBL} AS revenue, {_AVG} AS avg_order_value
 FROM sales GROUP BY 1, 2""")
 def _sql_day_of_week(spark, d):
-    _bi(spark, d, True)
+    _bi(spark, d)
     return BI.day_of_week(spark)
 
 
@@ -896,7 +896,7 @@ SELECT date_trunc('month', transaction_date) AS month, region, sales_channel,
        {_DBL} AS revenue, {_AVG} AS avg_order_value
 FROM sales GROUP BY 1, 2, 3""")
 def _vw_executive_dashboard(spark, d):
-    _bi(spark, d, True)
+    _bi(spark, d)
     return BI.executive_dashboard(spark)
 
 
@@ -905,7 +905,7 @@ SELECT customer_id, first_name || ' ' || last_name AS customer_name, email, regi
        frequency AS total_purchases, monetary_value AS lifetime_spend, days_since_last_purchase, churn_risk
 FROM c360""")
 def _vw_customer_health(spark, d):
-    _bi(spark, d)
+    _bi(spark, d, "customers")
     return BI.customer_health(spark)
 
 
