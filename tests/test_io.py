@@ -93,3 +93,15 @@ def test_validate_dataframe_single_job_dict(sample_sales):
 def test_reference_date_is_a_parameter(sample_sales):
     a = C.rfm_metrics(sample_sales, dt.date(2024, 2, 15)).where("customer_id = 'CUST001'").first()
     assert a["recency_days"] == 14
+
+
+def test_size_for_input(spark):
+    from tillscope.session import size_for_input
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf = size_for_input(spark, 100 * 10**12)
+        assert conf["spark.sql.shuffle.partitions"] == "100000"
+        assert size_for_input(spark, 10**6)["spark.sql.shuffle.partitions"] == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))

@@ -73,3 +73,30 @@ def materialize(df, name: str = "stage"):
     path = fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                   min_partitions: int = 200, max_partitions: int = 100_000) -> dict:
+    """Size shuffle and scan partitions from the input volume and apply them.
+
+    The initial shuffle partition count is input / target (bounded), so no
+    reducer starts with more than ~target bytes; AQE then coalesces small
+    partitions (advisory size = target) and splits skewed ones. Scan splits
+    use the same target. Returns the settings applied.
+
+    Example: 100 TB of Parquet at 256 MiB per partition gives the 100,000
+    cap (about 1 GiB per reducer before AQE splits skew), i.e. ~100
+    partitions per executor on a 1000-executor cluster.
+    """
+    n = max(min_partitions, min(max_partitions, -(-int(input_bytes) // int(target_partition_bytes))))
+    conf = {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
