@@ -1166,4 +1166,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-__all__ = ["entry", "queries", "oracle_sql", "F", "I", "Q", "S", "BI", "M"]
+__all__ = ["entry", "queries", "oracle_sql"]
