@@ -10,7 +10,7 @@ that one aggregate joined once to the master table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.columns import (
@@ -62,15 +62,13 @@ def rfm_metrics(sales_df: DataFrame, reference_date=None, fact: DataFrame | None
     )
 
 
-def rfm_thresholds(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exact") -> dict:
+def rfm_thresholds(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exact") -> Column:
     """Quintile cut points of the three metrics (one job for all three), as
-    lazy scalar-subquery columns."""
+    one lazy scalar-subquery column: a struct of three arrays."""
     metrics = ["recency_days", "frequency", "monetary_value"]
     q = multi_quantiles(rfm_df, metrics, settings.rfm_probabilities, mode, settings.rfm_approx_accuracy)
-    # one scalar subquery (a struct of the three arrays): every reference below
-    # is the same expression, so Spark evaluates it once and reuses it
-    packed = q.select(F.struct(*metrics)).scalar()
-    return {m: packed.getField(m) for m in metrics}
+    # one scalar subquery returning a struct of the three arrays
+    return q.select(F.struct(*metrics)).scalar()
 
 
 def rfm_scores(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exact") -> DataFrame:
@@ -79,12 +77,14 @@ def rfm_scores(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exa
     Cut points are the 20/40/60/80 % quantiles over customers with sales. They
     enter the plan as scalar subqueries (computed once, no driver round trip).
     """
-    t = rfm_thresholds(rfm_df, settings, mode)
-    scored = rfm_df.withColumns({
+    # the cut points are projected once; the score expressions read that
+    # column, so the plan holds a single subquery reference
+    t = F.col("_rfm_thr")
+    scored = rfm_df.withColumn("_rfm_thr", rfm_thresholds(rfm_df, settings, mode)).withColumns({
         "recency_score": score_low_is_good("recency_days", t["recency_days"]),
         "frequency_score": score_high_is_good("frequency", t["frequency"]),
         "monetary_score": score_high_is_good("monetary_value", t["monetary_value"]),
-    })
+    }).drop("_rfm_thr")
     return scored.withColumn("rfm_score", F.concat(
         F.col("recency_score").cast("string"), F.col("frequency_score").cast("string"),
         F.col("monetary_score").cast("string")))
