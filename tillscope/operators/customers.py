@@ -71,12 +71,19 @@ def rfm_thresholds(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str =
     return q.select(F.struct(*metrics)).scalar()
 
 
-def rfm_scores(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exact") -> DataFrame:
+def rfm_scores(rfm_df: DataFrame, settings: Settings = DEFAULT, mode: str = "exact",
+               materialize_input: bool = True) -> DataFrame:
     """Adds recency/frequency/monetary scores (1..5) and the composite ``rfm_score``.
 
     Cut points are the 20/40/60/80 % quantiles over customers with sales. They
-    enter the plan as scalar subqueries (computed once, no driver round trip).
+    enter the plan as a scalar subquery (computed once, no driver round trip).
+
+    The cut points and the scores both read ``rfm_df``; with
+    ``materialize_input`` it is written once to the shared folder so its
+    lineage (typically the whole sales aggregation) runs once, not twice.
     """
+    if materialize_input:
+        rfm_df = materialize(rfm_df, "rfm")
     # the cut points are projected once; the score expressions read that
     # column, so the plan holds a single subquery reference
     t = F.col("_rfm_thr")
@@ -101,7 +108,8 @@ def calculate_rfm(sales_df: DataFrame, customer_df: DataFrame, reference_date=No
     fact = customer_fact(sales_df)
     if materialize_fact:
         fact = materialize(fact, "customer-fact")
-    scored = rfm_scores(rfm_metrics(sales_df, reference_date, fact=fact), settings, mode)
+    scored = rfm_scores(rfm_metrics(sales_df, reference_date, fact=fact), settings, mode,
+                        materialize_input=not materialize_fact)
     return _master(customer_df).join(scored, CUSTOMER_KEY, "left")
 
 
@@ -197,7 +205,8 @@ def customer_360_from_sales(sales_df: DataFrame, customer_df: DataFrame, referen
     fact = customer_fact(sales_df)
     if materialize_fact:
         fact = materialize(fact, "customer-fact")
-    rfm = rfm_scores(rfm_metrics(sales_df, reference_date, fact=fact), settings, mode)
+    rfm = rfm_scores(rfm_metrics(sales_df, reference_date, fact=fact), settings, mode,
+                     materialize_input=not materialize_fact)
     clv = clv_metrics(sales_df, projection_months, fact=fact)
     days = F.datediff(as_date(reference_date), F.col("last_purchase_date"))
     per_customer = rfm.join(clv.select(CUSTOMER_KEY, "projected_clv", "historical_clv", "last_purchase_date"),
