@@ -1033,8 +1033,8 @@ def _medallion_counts(spark, d):
     return counts
 
 
-@_register("pipeline_metrics", _SQL["medallion_counts"])
-def _pipeline_metrics(spark, d):
+@_register("run_metrics", _SQL["medallion_counts"])
+def _run_metrics(spark, d):
     lay, _ = M.run(spark, _sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d))
     m = M.metrics_table(spark, lay)
     return m.select(F.split("stage", r"\.")[0].alias("layer"), F.split("stage", r"\.")[1].alias("table_name"),

@@ -72,6 +72,11 @@ def score_high_is_good(x, thresholds) -> Column:
             .when(x >= t[0], 2).otherwise(1))
 
 
+# fixed values: churn labels
+CHURN_HIGH = "High"
+CHURN_MEDIUM = "Medium"
+CHURN_LOW = "Low"
+
 # fixed values: segment names of the RFM rules, first match wins
 SEGMENT_CHAMPIONS = "Champions"
 SEGMENT_LOYAL = "Loyal Customers"
@@ -103,6 +108,6 @@ def churn_label(days, threshold_days: int = 180, medium_ratio: float = 0.7) -> C
     customer master, so customers without sales keep a NULL label.
     """
     d = _c(days)
-    return (F.when(d >= F.lit(threshold_days), "High")
-            .when(d >= F.lit(threshold_days * medium_ratio), "Medium")
-            .otherwise("Low"))
+    return (F.when(d >= F.lit(threshold_days), CHURN_HIGH)
+            .when(d >= F.lit(threshold_days * medium_ratio), CHURN_MEDIUM)
+            .otherwise(CHURN_LOW))
