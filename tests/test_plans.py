@@ -53,3 +53,9 @@ def test_scan_prunes_columns(spark):
     scans = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     lineitem = [s for s in scans if "l_orderkey" in s]
     assert lineitem and all("l_shipdate" not in s and "l_tax" not in s for s in lineitem)
+
+
+def test_date_range_filter_reaches_scan(spark):
+    df = E.queries()["date_range_filter"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate[^\]]*LessThan\(o_orderdate", plan)

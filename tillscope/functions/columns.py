@@ -23,6 +23,32 @@ def as_date(value) -> Column:
     return F.to_date(F.lit(value))
 
 
+def day_range(df, column: str, min_day=None, max_day=None) -> Column:
+    """Predicate: the day of ``column`` lies in [min_day, max_day] (bounds optional).
+
+    Written as a half-open range on the column's own type
+    (``col >= min_day AND col < max_day + 1 day``) so that it is pushed down
+    to the file scan; a timestamp on the last day is kept whatever its time.
+    """
+    from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+    dtype = df.schema[column].dataType
+    c = F.col(column)
+    pred = F.lit(True)
+    if isinstance(dtype, (TimestampType, TimestampNTZType)):
+        tname = "timestamp_ntz" if isinstance(dtype, TimestampNTZType) else "timestamp"
+        if min_day is not None:
+            pred = pred & (c >= as_date(min_day).cast(tname))
+        if max_day is not None:
+            pred = pred & (c < F.date_add(as_date(max_day), 1).cast(tname))
+        return pred
+    d = c if isinstance(dtype, DateType) else F.to_date(c)
+    if min_day is not None:
+        pred = pred & (d >= as_date(min_day))
+    if max_day is not None:
+        pred = pred & (d <= as_date(max_day))
+    return pred
+
+
 def money(x) -> Column:
     """Money leaves the library as DOUBLE (exact DECIMAL sums are cast at the end)."""
     return _c(x).cast("double")

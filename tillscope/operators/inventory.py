@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.columns import safe_div
+from tillscope.functions.columns import day_range, safe_div
 from tillscope.settings import DEFAULT, Settings
 
 _STOCK = ("quantity_on_hand", "quantity_reserved", "quantity_available", "reorder_point")
@@ -56,8 +56,7 @@ def inventory_turnover(sales_df: DataFrame, product_df: DataFrame, inventory_df:
     averaged over the snapshot dates in the period), turnover = COGS / average
     stock value and days of inventory = period days / turnover."""
     lo, hi = F.to_date(F.lit(period_start)), F.to_date(F.lit(period_end))
-    day = F.to_date("transaction_date")
-    sold = sales_df.where((day >= lo) & (day <= hi)).groupBy("product_id") \
+    sold = sales_df.where(day_range(sales_df, "transaction_date", period_start, period_end)).groupBy("product_id") \
         .agg(F.sum("quantity").cast("long").alias("units_sold"))
     inv = inventory_df.where((F.col("snapshot_date") >= lo) & (F.col("snapshot_date") <= hi)) \
         .groupBy("product_id", "snapshot_date").agg(F.sum("quantity_on_hand").cast("long").alias("__oh")) \

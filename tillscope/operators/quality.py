@@ -192,13 +192,11 @@ def _day(col: str) -> Column:
 def date_range_filter(df: DataFrame, date_column: str, min_date: str | None = None,
                       max_date: str | None = None) -> DataFrame:
     """Rows whose day lies in [min_date, max_date] (each bound optional, inclusive).
-    The comparison is on the day, so the whole last day is kept."""
-    out = df
-    if min_date:
-        out = out.where(_day(date_column) >= F.to_date(F.lit(min_date)))
-    if max_date:
-        out = out.where(_day(date_column) <= F.to_date(F.lit(max_date)))
-    return out
+    The whole last day is kept; the predicate is a sargable range (pushed to the scan)."""
+    from tillscope.functions.columns import day_range
+    if not min_date and not max_date:
+        return df
+    return df.where(day_range(df, date_column, min_date or None, max_date or None))
 
 
 def date_range_report(df: DataFrame, date_column: str, min_date: str | None = None,
