@@ -49,6 +49,14 @@ def day_range(df, column: str, min_day=None, max_day=None) -> Column:
     return pred
 
 
+def distinct_count(x, settings=None) -> Column:
+    """Distinct count of ``x``: exact by default, a HyperLogLog++ sketch when
+    ``settings.distinct_mode == "approx"``."""
+    if settings is not None and settings.distinct_mode == "approx":
+        return F.approx_count_distinct(_c(x), settings.approx_distinct_rsd)
+    return F.countDistinct(_c(x))
+
+
 def money(x) -> Column:
     """Money leaves the library as DOUBLE (exact DECIMAL sums are cast at the end)."""
     return _c(x).cast("double")

@@ -36,6 +36,11 @@ class Settings:
     # range exchange and prefix-sums partition counts; "window" uses one
     # un-partitioned window (only for inputs known to be small)
     rank_strategy: str = "distributed"
+    # distinct counts: "exact" (countDistinct, an extra shuffle on the counted
+    # column) or "approx" (HyperLogLog++ sketch merged map-side, relative
+    # standard deviation approx_distinct_rsd) for very large inputs
+    distinct_mode: str = "exact"
+    approx_distinct_rsd: float = 0.01
     extra: dict = field(default_factory=dict)
 
 
