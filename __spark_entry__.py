@@ -900,6 +900,17 @@ def _vw_executive_dashboard(spark, d):
     return BI.executive_dashboard(spark)
 
 
+@_register("dashboard_rollup", _with(SALES_CTE) + f"""
+SELECT date_trunc('month', transaction_date) AS month, region, sales_channel,
+       COUNT(DISTINCT transaction_id) AS transactions, COUNT(DISTINCT customer_id) AS customers,
+       {_DBL} AS revenue, {_AVG} AS avg_order_value,
+       CAST(GROUPING(date_trunc('month', transaction_date)) + GROUPING(region) + GROUPING(sales_channel) AS INTEGER)
+         AS grouping_level
+FROM sales GROUP BY ROLLUP (date_trunc('month', transaction_date), region, sales_channel)""")
+def _dashboard_rollup(spark, d):
+    return S.dashboard_rollup(_sales(spark, d))
+
+
 @_register("vw_customer_health", _with(_C360_CTE) + """
 SELECT customer_id, first_name || ' ' || last_name AS customer_name, email, region, customer_segment, projected_clv,
        frequency AS total_purchases, monetary_value AS lifetime_spend, days_since_last_purchase, churn_risk
