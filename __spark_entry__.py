@@ -1040,7 +1040,8 @@ UNION ALL SELECT 'gold', 'monthly_trends',
   (SELECT COUNT(*) FROM (SELECT DISTINCT year(transaction_date), month(transaction_date), region FROM ss) m)
 UNION ALL SELECT 'gold', 'regional_performance', (SELECT COUNT(DISTINCT region) FROM ss)""")
 def _medallion_counts(spark, d):
-    _, counts = M.run(spark, _sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d))
+    _, counts = M.run(spark, _sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d),
+                      customer_buckets=8)
     return counts
 
 

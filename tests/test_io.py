@@ -105,3 +105,20 @@ def test_size_for_input(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+
+
+def test_bucketed_silver_tables_join_without_shuffle(spark, sample_sales, sample_customers):
+    import uuid
+    tag = uuid.uuid4().hex[:8]
+    write_table(sample_sales, fresh_path(spark, "bk-s"), bucket_by=(4, ["customer_id"]), table_name=f"bk_s_{tag}")
+    write_table(sample_customers, fresh_path(spark, "bk-c"), bucket_by=(4, ["customer_id"]), table_name=f"bk_c_{tag}")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        clv = C.calculate_clv(spark.table(f"bk_s_{tag}"), spark.table(f"bk_c_{tag}"))
+        rows = {r["customer_id"]: r["historical_clv"] for r in clv.collect()}
+        plan = clv._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert rows["CUST001"] == 522.5
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
