@@ -120,23 +120,18 @@ def segment_customers(rfm_df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- CLV
 
-def _clv_columns() -> dict:
-    age = F.months_between(F.col("last_purchase_date"), F.col("first_purchase_date"))
-    return {
-        "total_revenue": money("_revenue"),
-        "total_transactions": F.col("transaction_count"),
-        "avg_transaction_value": safe_div(F.col("_revenue"), F.col("_amount_count")),
-        "customer_age_months": age,
-    }
-
-
 def clv_metrics(sales_df: DataFrame, projection_months: int = 12, fact: DataFrame | None = None) -> DataFrame:
     """Per customer with sales: revenue, transactions, average value, first/last
     purchase, age in months, monthly frequency, projected and historical CLV."""
     fact = customer_fact(sales_df) if fact is None else fact
     m = fact.select(CUSTOMER_KEY, "first_purchase_date", "last_purchase_date",
                     "transaction_count", "_revenue", "_amount_count")
-    m = m.withColumns(_clv_columns())
+    m = m.withColumns({
+        "total_revenue": money("_revenue"),
+        "total_transactions": F.col("transaction_count"),
+        "avg_transaction_value": safe_div(F.col("_revenue"), F.col("_amount_count")),
+        "customer_age_months": F.months_between(F.col("last_purchase_date"), F.col("first_purchase_date")),
+    })
     m = m.withColumn("purchase_frequency_monthly", F.when(
         F.col("customer_age_months") > 0,
         safe_div(F.col("total_transactions"), F.col("customer_age_months")),
