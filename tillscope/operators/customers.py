@@ -249,7 +249,8 @@ def top_customers(sales_df: DataFrame, top_n: int = 100) -> DataFrame:
         F.col("last_purchase_date").alias("last_purchase"),
     )
     w = Window.orderBy(F.col("total_revenue").desc_nulls_last(), F.col(CUSTOMER_KEY))
-    return m.withColumn("revenue_rank", F.row_number().over(w)).where(F.col("revenue_rank") <= top_n)
+    return m.withColumn("revenue_rank", F.row_number().over(w)).where(F.col("revenue_rank") <= top_n) \
+        .orderBy("revenue_rank")
 
 
 def top_customers_named(sales_df: DataFrame, customer_df: DataFrame, n: int = 20) -> DataFrame:

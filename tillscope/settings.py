@@ -31,7 +31,7 @@ class Settings:
     max_quantity: int = 1000
     # RFM
     rfm_probabilities: tuple = (0.2, 0.4, 0.6, 0.8)
-    rfm_approx_accuracy: int = 10_000
+    rfm_approx_accuracy: int = 100  # relative error 0.01, as approxQuantile(..., 0.01)
     # how a full (unbounded) ranking is computed: "distributed" sorts with a
     # range exchange and prefix-sums partition counts; "window" uses one
     # un-partitioned window (only for inputs known to be small)
