@@ -120,13 +120,9 @@ def segment_customers(rfm_df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- CLV
 
-def clv_metrics(sales_df: DataFrame, projection_months: int = 12, fact: DataFrame | None = None) -> DataFrame:
-    """Per customer with sales: revenue, transactions, average value, first/last
-    purchase, age in months, monthly frequency, projected and historical CLV."""
-    fact = customer_fact(sales_df) if fact is None else fact
-    m = fact.select(CUSTOMER_KEY, "first_purchase_date", "last_purchase_date",
-                    "transaction_count", "_revenue", "_amount_count")
-    m = m.withColumns({
+def _with_clv(fact: DataFrame, projection_months: int) -> DataFrame:
+    """Adds the CLV columns to a per-customer aggregate (other columns kept)."""
+    m = fact.withColumns({
         "total_revenue": money("_revenue"),
         "total_transactions": F.col("transaction_count"),
         "avg_transaction_value": safe_div(F.col("_revenue"), F.col("_amount_count")),
@@ -138,10 +134,17 @@ def clv_metrics(sales_df: DataFrame, projection_months: int = 12, fact: DataFram
     ).otherwise(F.col("total_transactions").cast("double")))
     m = m.withColumn("projected_clv", F.col("avg_transaction_value") * F.col("purchase_frequency_monthly")
                      * F.lit(float(projection_months)))
-    m = m.withColumn("historical_clv", F.col("total_revenue"))
-    return m.select(CUSTOMER_KEY, "total_revenue", "total_transactions", "avg_transaction_value",
-                    "first_purchase_date", "last_purchase_date", "customer_age_months",
-                    "purchase_frequency_monthly", "projected_clv", "historical_clv")
+    return m.withColumn("historical_clv", F.col("total_revenue"))
+
+
+def clv_metrics(sales_df: DataFrame, projection_months: int = 12, fact: DataFrame | None = None) -> DataFrame:
+    """Per customer with sales: revenue, transactions, average value, first/last
+    purchase, age in months, monthly frequency, projected and historical CLV."""
+    fact = customer_fact(sales_df) if fact is None else fact
+    return _with_clv(fact, projection_months).select(
+        CUSTOMER_KEY, "total_revenue", "total_transactions", "avg_transaction_value",
+        "first_purchase_date", "last_purchase_date", "customer_age_months",
+        "purchase_frequency_monthly", "projected_clv", "historical_clv")
 
 
 def calculate_clv(sales_df: DataFrame, customer_df: DataFrame, projection_months: int = 12) -> DataFrame:
@@ -200,17 +203,20 @@ def customer_360_from_sales(sales_df: DataFrame, customer_df: DataFrame, referen
     fact = customer_fact(sales_df)
     if materialize_fact:
         fact = materialize(fact, "customer-fact")
-    rfm = rfm_scores(rfm_metrics(sales_df, reference_date, fact=fact), settings, mode,
-                     materialize_input=not materialize_fact)
-    clv = clv_metrics(sales_df, projection_months, fact=fact)
+    # RFM, CLV and churn are columns of one projection of the per-customer
+    # aggregate: no join between them, one join with the master at the end
     days = F.datediff(as_date(reference_date), F.col("last_purchase_date"))
-    per_customer = rfm.join(clv.select(CUSTOMER_KEY, "projected_clv", "historical_clv", "last_purchase_date"),
-                            CUSTOMER_KEY)
-    per_customer = per_customer.select(
+    per_customer = _with_clv(fact, projection_months).withColumns({
+        "recency_days": days,
+        "frequency": F.col("transaction_count"),
+        "monetary_value": money("_revenue"),
+        "churn_risk": churn_label(days, inactivity_threshold_days),
+        "days_since_last_purchase": days,
+    })
+    per_customer = rfm_scores(per_customer, settings, mode, materialize_input=not materialize_fact).select(
         CUSTOMER_KEY, "recency_days", "frequency", "monetary_value", "rfm_score",
         "recency_score", "frequency_score", "monetary_score", "projected_clv", "historical_clv",
-        churn_label(days, inactivity_threshold_days).alias("churn_risk"),
-        days.alias("days_since_last_purchase"))
+        "churn_risk", "days_since_last_purchase")
     master = _master(customer_df)
     # the segment is labelled after the left join: a customer without sales has
     # NULL scores and falls through to the last rule, as in the segment operator
