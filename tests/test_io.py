@@ -122,3 +122,13 @@ def test_bucketed_silver_tables_join_without_shuffle(spark, sample_sales, sample
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert rows["CUST001"] == 522.5
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_source_file_lineage(spark, sample_sales):
+    from tillscope.sources.schemas import conform
+    path = write_table(conform(sample_sales, SALES_SCHEMA), fresh_path(spark, "lineage"), "csv")
+    df = load_sales(spark, path, "csv", with_source_file=True)
+    files = {r["source_file"] for r in df.collect()}
+    assert files and all(f.endswith(".csv") for f in files)
+    pq = write_table(sample_sales, fresh_path(spark, "lineage-pq"))
+    assert load_sales(spark, pq, with_source_file=True).where(F.col("source_file").endswith(".parquet")).count() == 5

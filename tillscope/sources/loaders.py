@@ -23,7 +23,13 @@ CORRUPT = "_corrupt_record"
 
 
 def load_table(spark: SparkSession, path: str, schema: StructType, file_format: str = "parquet",
-               keep_corrupt: bool = False, rename: dict | None = None) -> DataFrame:
+               keep_corrupt: bool = False, rename: dict | None = None, with_source_file: bool = False) -> DataFrame:
+    """Read ``path`` as ``schema``. ``with_source_file`` adds a ``source_file``
+    column (the file each row came from, for bronze lineage)."""
+    return _load(spark, path, schema, file_format, keep_corrupt, rename, with_source_file)
+
+
+def _load(spark, path, schema, file_format, keep_corrupt, rename, with_source_file) -> DataFrame:
     fmt = file_format.lower()
     if fmt not in FORMATS:
         raise ValueError(f"unsupported file format {file_format!r}; expected one of {FORMATS}")
@@ -34,6 +40,8 @@ def load_table(spark: SparkSession, path: str, schema: StructType, file_format:
         if fmt == "csv":
             reader = reader.option("header", "true")
         df = reader.format(fmt).load(path)
+        if with_source_file:
+            df = df.withColumn("source_file", F.col("_metadata.file_path"))
         if keep_corrupt:
             return df
         # The predicate reads every declared field, so each record is parsed
@@ -42,7 +50,10 @@ def load_table(spark: SparkSession, path: str, schema: StructType, file_format:
         every_field = F.length(F.concat_ws("\u0001", *[F.col(f"`{f.name}`").cast("string") for f in schema.fields]))
         return df.where(df[CORRUPT].isNull() & (every_field >= 0)).drop(CORRUPT)
     df = spark.read.format(fmt).load(path)
-    return conform(df, schema, rename)
+    out = conform(df, schema, rename)
+    if with_source_file:
+        out = out.withColumn("source_file", df["_metadata.file_path"])
+    return out
 
 
 def load_sales(spark, path, file_format="parquet", **kw) -> DataFrame:
