@@ -17,6 +17,7 @@ row counts read back from the written layers.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,13 +55,18 @@ def regional_summary(sales_df: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, sales: DataFrame, customers: DataFrame, products: DataFrame,
         base: str | None = None, fmt: str = "parquet", settings: Settings = DEFAULT,
-        pipeline: str = "retail_medallion", customer_buckets: int | None = None) -> tuple[Layout, DataFrame]:
+        pipeline: str = "retail_medallion", customer_buckets: int | None = None,
+        parallel_writes: int = 4) -> tuple[Layout, DataFrame]:
     """Run the three layers; returns (layout, row counts per layer table).
 
     ``customer_buckets=n`` writes silver sales and silver customers bucketed
     (and sorted) by customer_id into n buckets: the gold per-customer
     aggregate then runs without an exchange and its join to the customers is
     co-located (no shuffle on either side).
+
+    The tables of one layer do not depend on each other, so their writes are
+    submitted as concurrent Spark jobs (``parallel_writes`` at a time); the
+    layers themselves run in order.
     """
     lay = Layout(base or fresh_path(spark, "medallion"))
     tag = lay.base.rstrip("/").rsplit("-", 1)[-1].replace("-", "_")
@@ -80,23 +86,29 @@ def run(spark: SparkSession, sales: DataFrame, customers: DataFrame, products: D
             return spark.table(tables[(layer, table)])
         return read_table(spark, lay.path(layer, table), fmt)
 
-    put(sales, "bronze", "sales")
-    put(customers, "bronze", "customers")
-    put(products, "bronze", "products")
+    def layer(*jobs):
+        with ThreadPoolExecutor(max_workers=max(1, parallel_writes)) as pool:
+            for f in [pool.submit(j) for j in jobs]:
+                f.result()
+
+    layer(lambda: put(sales, "bronze", "sales"),
+          lambda: put(customers, "bronze", "customers"),
+          lambda: put(products, "bronze", "products"))
 
     bucketed = bool(customer_buckets)
     b_sales = read_table(spark, lay.path("bronze", "sales"), fmt)
-    put(Q.silver_sales(b_sales, settings), "silver", "sales", bucketed=bucketed)
-    put(read_table(spark, lay.path("bronze", "customers"), fmt), "silver", "customers", bucketed=bucketed)
-    put(read_table(spark, lay.path("bronze", "products"), fmt), "silver", "products")
+    layer(lambda: put(Q.silver_sales(b_sales, settings), "silver", "sales", bucketed=bucketed),
+          lambda: put(read_table(spark, lay.path("bronze", "customers"), fmt), "silver", "customers",
+                      bucketed=bucketed),
+          lambda: put(read_table(spark, lay.path("bronze", "products"), fmt), "silver", "products"))
 
     s_sales = get("silver", "sales")
     s_cust = get("silver", "customers")
     s_prod = get("silver", "products")
-    put(C.calculate_clv(s_sales, s_cust), "gold", "customer_analytics")
-    put(S.product_performance(s_sales, s_prod, settings), "gold", "product_performance")
-    put(S.monthly_mom(s_sales), "gold", "monthly_trends")
-    put(regional_summary(s_sales), "gold", "regional_performance")
+    layer(lambda: put(C.calculate_clv(s_sales, s_cust), "gold", "customer_analytics"),
+          lambda: put(S.product_performance(s_sales, s_prod, settings), "gold", "product_performance"),
+          lambda: put(S.monthly_mom(s_sales), "gold", "monthly_trends"),
+          lambda: put(regional_summary(s_sales), "gold", "regional_performance"))
 
     append_metrics(spark, lay.metrics, metrics)
     return lay, layer_counts(spark, lay, fmt)
