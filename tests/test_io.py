@@ -132,3 +132,15 @@ def test_source_file_lineage(spark, sample_sales):
     assert files and all(f.endswith(".csv") for f in files)
     pq = write_table(sample_sales, fresh_path(spark, "lineage-pq"))
     assert load_sales(spark, pq, with_source_file=True).where(F.col("source_file").endswith(".parquet")).count() == 5
+
+
+def test_apply_settings(spark):
+    from tillscope.session import apply_settings
+    from tillscope.settings import Settings
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf = apply_settings(spark, Settings(shuffle_partitions=6))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "6"
+        assert conf["spark.sql.autoBroadcastJoinThreshold"] == str(10 * 1024 * 1024)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -100,3 +100,19 @@ def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes
     for k, v in conf.items():
         spark.conf.set(k, v)
     return conf
+
+
+def apply_settings(spark: SparkSession, settings=None) -> dict:
+    """Apply the engine-level values of ``Settings`` (shuffle partitions, the
+    broadcast size limit AQE checks at run time, adaptive execution) to the session."""
+    from tillscope.settings import DEFAULT
+    s = settings or DEFAULT
+    conf = {
+        "spark.sql.shuffle.partitions": str(s.shuffle_partitions),
+        "spark.sql.autoBroadcastJoinThreshold": str(s.broadcast_threshold_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
