@@ -144,3 +144,14 @@ def test_apply_settings(spark):
         assert conf["spark.sql.autoBroadcastJoinThreshold"] == str(10 * 1024 * 1024)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_medallion_command_line(spark, sample_sales, sample_customers, sample_products):
+    from tillscope.sources.schemas import CUSTOMER_SCHEMA, PRODUCT_SCHEMA, conform
+    paths = {n: write_table(conform(df, sch), fresh_path(spark, f"cli-{n}"))
+             for n, df, sch in (("s", sample_sales, SALES_SCHEMA), ("c", sample_customers, CUSTOMER_SCHEMA),
+                                ("p", sample_products, PRODUCT_SCHEMA))}
+    rows = M.main(["--sales", paths["s"], "--customers", paths["c"], "--products", paths["p"],
+                   "--customer-buckets", "2"])
+    got = {(r["layer"], r["table_name"]): r["record_count"] for r in rows}
+    assert got[("silver", "sales")] == 5 and got[("gold", "customer_analytics")] == 3

@@ -131,3 +131,37 @@ def layer_counts(spark: SparkSession, lay: Layout, fmt: str = "parquet") -> Data
 
 def metrics_table(spark: SparkSession, lay: Layout) -> DataFrame:
     return read_table(spark, lay.metrics, "parquet")
+
+
+def main(argv: list[str] | None = None) -> list[dict]:
+    """Command-line job (``spark-submit -m tillscope.plans.medallion`` or
+    ``python -m tillscope.plans.medallion``): load the three sources, run the
+    layers below ``--out`` (default: a new folder below spark.checkpoint.dir)
+    and print the row counts per layer table."""
+    import argparse
+    import json
+
+    from tillscope.session import shared_dir
+    from tillscope.sources import loaders as L
+
+    ap = argparse.ArgumentParser(prog="tillscope.plans.medallion")
+    ap.add_argument("--sales", required=True)
+    ap.add_argument("--customers", required=True)
+    ap.add_argument("--products", required=True)
+    ap.add_argument("--format", default="parquet", help="format of the three sources")
+    ap.add_argument("--out", default=None)
+    ap.add_argument("--customer-buckets", type=int, default=None)
+    args = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("tillscope-medallion").getOrCreate()
+    shared_dir(spark)
+    lay, counts = run(spark, L.load_sales(spark, args.sales, args.format),
+                      L.load_customers(spark, args.customers, args.format),
+                      L.load_products(spark, args.products, args.format),
+                      base=args.out, customer_buckets=args.customer_buckets)
+    rows = [r.asDict() for r in counts.collect()]
+    print(json.dumps({"base": lay.base, "counts": rows}))
+    return rows
+
+
+if __name__ == "__main__":
+    main()
