@@ -637,6 +637,13 @@ def _quality_report(spark, d):
     return Q.quality_report(T.sales_with_nulls(spark, d), "sales", ["transaction_id", "customer_id"])
 
 
+@_register("quality_report_hashed", _quality_report_sql())
+def _quality_report_hashed(spark, d):
+    from tillscope.settings import Settings
+    return Q.quality_report(T.sales_with_nulls(spark, d), "sales", ["transaction_id", "customer_id"],
+                            Settings(duplicate_mode="hash"))
+
+
 @_register("remove_duplicates", _with(DIRTY_CTE, DEDUP_CTE) + "SELECT * FROM dedup")
 def _remove_duplicates(spark, d):
     return Q.remove_duplicates(_sales(spark, d, dirty=True), ["transaction_id"])

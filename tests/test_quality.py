@@ -96,3 +96,12 @@ def test_anomaly_flags_spike(spark):
     df = spark.createDataFrame(rows, "transaction_id string, transaction_date timestamp, total_amount double")
     flagged = [r["sale_date"] for r in Q.daily_revenue_anomaly(df).where(F.col("is_anomaly")).collect()]
     assert flagged == [(base + dt.timedelta(days=40)).date()]
+
+
+def test_hashed_report_equals_exact(spark, duplicate_rows):
+    df = duplicate_rows.unionByName(spark.createDataFrame([("TXN003", None, None)], duplicate_rows.schema))
+    exact = {(r["check"], r["column_name"]): (r["observed"], r["passed"]) for r in Q.quality_report(df, "d").collect()}
+    hashed = {(r["check"], r["column_name"]): (r["observed"], r["passed"])
+              for r in Q.quality_report(df, "d", settings=Settings(duplicate_mode="hash")).collect()}
+    assert exact == hashed
+    assert exact[("duplicates", None)][0] == 0.25 and exact[("null_values", "amount")][0] == 0.25

@@ -87,14 +87,25 @@ def quality_report(df: DataFrame, dataset_name: str, required_columns: Sequence[
     One shuffle for everything: rows are grouped on all columns (partial
     aggregation first), and the record count, distinct count and every
     column's null count are sums over those groups weighted by group size.
+    With ``settings.duplicate_mode == "hash"`` the grouping key is a 96-bit
+    row fingerprint instead of the full row (see ``Settings``).
     """
     cols = df.columns
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("__c"))
+    refs = [F.col(f"`{c}`") for c in cols]
+    if settings.duplicate_mode == "hash":
+        # group on a 96-bit row fingerprint; per-group null counts travel with
+        # it, so the shuffle carries a few numbers per distinct row, not the row
+        groups = df.groupBy(F.xxhash64(*refs).alias("__h1"), F.hash(*refs).alias("__h2")).agg(
+            F.count(F.lit(1)).alias("__c"),
+            *[F.count_if(r.isNull()).alias(f"__g{i}") for i, r in enumerate(refs)])
+        nulls = [F.coalesce(F.sum(f"__g{i}"), F.lit(0)).alias(f"__n{i}") for i in range(len(cols))]
+    else:
+        groups = df.groupBy(*refs).agg(F.count(F.lit(1)).alias("__c"))
+        nulls = [F.coalesce(F.sum(F.when(r.isNull(), F.col("__c"))), F.lit(0)).alias(f"__n{i}")
+                 for i, r in enumerate(refs)]
     wide = groups.agg(
         F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("__total"),
-        F.count(F.lit(1)).alias("__distinct"),
-        *[F.coalesce(F.sum(F.when(F.col(f"`{c}`").isNull(), F.col("__c"))), F.lit(0)).alias(f"__n{i}")
-          for i, c in enumerate(cols)])
+        F.count(F.lit(1)).alias("__distinct"), *nulls)
     total = F.col("__total").cast("double")
 
     def row(check, column, observed, threshold, passed):

@@ -40,6 +40,10 @@ class Settings:
     # column) or "approx" (HyperLogLog++ sketch merged map-side, relative
     # standard deviation approx_distinct_rsd) for very large inputs
     distinct_mode: str = "exact"
+    # whole-row duplicate detection in the quality report: "exact" groups on
+    # every column (a full-width shuffle); "hash" groups on two independent
+    # 64/32-bit row hashes (96 bits, collision odds ~n^2 / 2^97)
+    duplicate_mode: str = "exact"
     approx_distinct_rsd: float = 0.01
     extra: dict = field(default_factory=dict)
 
