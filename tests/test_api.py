@@ -87,3 +87,21 @@ def test_pipeline_validate_product_region(dv, sa, sample_sales, sample_products)
     assert sa.calculate_monthly_trends(df).count() > 0
     assert sa.calculate_sales_velocity(df).count() > 0
     assert sa.identify_top_customers(df, 2).count() == 2
+
+
+def test_loader_and_360_view(spark, ca, sample_sales, sample_customers):
+    from tillscope.api import DataLoader
+    from tillscope.session import fresh_path
+    from tillscope.sources.schemas import SALES_SCHEMA, conform
+    from tillscope.sources.sinks import write_table
+    path = write_table(conform(sample_sales, SALES_SCHEMA), fresh_path(spark, "api-csv"), "csv")
+    sales = DataLoader(spark).load_sales_data(path, "csv")
+    assert sales.count() == 5
+    rfm = ca.segment_customers(ca.calculate_rfm_metrics(sales, sample_customers, REF))
+    clv = ca.calculate_customer_lifetime_value(sales, sample_customers)
+    churn = ca.identify_churn_risk(sales, sample_customers, reference_date="2024-08-01")
+    view = ca.create_customer_360_view(sample_customers, rfm, clv, churn)
+    c1 = view.where(F.col("customer_id") == "CUST001").first()
+    assert (c1["customer_segment"], c1["churn_risk"], c1["historical_clv"]) == ("Champions", "High", 522.5)
+    with pytest.raises(ValueError):
+        DataLoader(spark).load_product_data(path, "xml")
