@@ -155,3 +155,11 @@ def test_medallion_command_line(spark, sample_sales, sample_customers, sample_pr
                    "--customer-buckets", "2"])
     got = {(r["layer"], r["table_name"]): r["record_count"] for r in rows}
     assert got[("silver", "sales")] == 5 and got[("gold", "customer_analytics")] == 3
+
+
+def test_reader_options(spark):
+    header = ";".join(f.name for f in SALES_SCHEMA.fields)
+    line = "T1;2024-01-01T10:00:00Z;C1;P1;2;10.0;0.0;20.0;Card;Online;North;S1"
+    path = _write_text(spark, "semicolon", header + "\n" + line + "\n")
+    df = load_sales(spark, path, "csv", options={"sep": ";"})
+    assert df.first()["total_amount"] == 20.0

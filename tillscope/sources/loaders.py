@@ -23,13 +23,15 @@ CORRUPT = "_corrupt_record"
 
 
 def load_table(spark: SparkSession, path: str, schema: StructType, file_format: str = "parquet",
-               keep_corrupt: bool = False, rename: dict | None = None, with_source_file: bool = False) -> DataFrame:
+               keep_corrupt: bool = False, rename: dict | None = None, with_source_file: bool = False,
+               options: dict | None = None) -> DataFrame:
     """Read ``path`` as ``schema``. ``with_source_file`` adds a ``source_file``
-    column (the file each row came from, for bronze lineage)."""
-    return _load(spark, path, schema, file_format, keep_corrupt, rename, with_source_file)
+    column (the file each row came from, for bronze lineage); ``options`` are
+    passed to the reader (e.g. ``{"sep": ";"}``, ``{"multiLine": "true"}``)."""
+    return _load(spark, path, schema, file_format, keep_corrupt, rename, with_source_file, options or {})
 
 
-def _load(spark, path, schema, file_format, keep_corrupt, rename, with_source_file) -> DataFrame:
+def _load(spark, path, schema, file_format, keep_corrupt, rename, with_source_file, options) -> DataFrame:
     fmt = file_format.lower()
     if fmt not in FORMATS:
         raise ValueError(f"unsupported file format {file_format!r}; expected one of {FORMATS}")
@@ -39,7 +41,7 @@ def _load(spark, path, schema, file_format, keep_corrupt, rename, with_source_fi
             .option("columnNameOfCorruptRecord", CORRUPT)
         if fmt == "csv":
             reader = reader.option("header", "true")
-        df = reader.format(fmt).load(path)
+        df = reader.options(**options).format(fmt).load(path)
         if with_source_file:
             df = df.withColumn("source_file", F.col("_metadata.file_path"))
         if keep_corrupt:
@@ -49,7 +51,7 @@ def _load(spark, path, schema, file_format, keep_corrupt, rename, with_source_fi
         # caller selects later (column pruning would otherwise skip them).
         every_field = F.length(F.concat_ws("\u0001", *[F.col(f"`{f.name}`").cast("string") for f in schema.fields]))
         return df.where(df[CORRUPT].isNull() & (every_field >= 0)).drop(CORRUPT)
-    df = spark.read.format(fmt).load(path)
+    df = spark.read.options(**options).format(fmt).load(path)
     out = conform(df, schema, rename)
     if with_source_file:
         out = out.withColumn("source_file", df["_metadata.file_path"])
