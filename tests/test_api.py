@@ -105,3 +105,18 @@ def test_loader_and_360_view(spark, ca, sample_sales, sample_customers):
     assert (c1["customer_segment"], c1["churn_risk"], c1["historical_clv"]) == ("Champions", "High", 522.5)
     with pytest.raises(ValueError):
         DataLoader(spark).load_product_data(path, "xml")
+
+
+def test_bi_run_all(spark, sample_sales, sample_customers, sample_products):
+    from tillscope.operators import customers as C
+    from tillscope.operators import sales as S
+    from tillscope.plans import bi
+    bi.register_views(spark, sales=sample_sales,
+                      customers=C.customer_360_from_sales(sample_sales, sample_customers, REF),
+                      products=S.product_performance(sample_sales, sample_products))
+    out = bi.run_all(spark, "2024-01-15")
+    assert len(out) == 14
+    k = out["kpi_month"].first()
+    assert (k["total_transactions"], k["unique_customers"], k["total_revenue"]) == (3, 2, 680.0)
+    assert out["day_of_week"].count() == 5 and out["customer_health"].count() == 3
+    assert out["monthly_growth"].orderBy("month").collect()[1]["mom_growth_pct"] == pytest.approx(-20.22, abs=0.001)
