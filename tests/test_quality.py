@@ -105,3 +105,9 @@ def test_hashed_report_equals_exact(spark, duplicate_rows):
               for r in Q.quality_report(df, "d", settings=Settings(duplicate_mode="hash")).collect()}
     assert exact == hashed
     assert exact[("duplicates", None)][0] == 0.25 and exact[("null_values", "amount")][0] == 0.25
+
+
+def test_hashed_duplicate_profile(duplicate_rows):
+    a = Q.duplicate_profile(duplicate_rows).first().asDict()
+    b = Q.duplicate_profile(duplicate_rows, settings=Settings(duplicate_mode="hash")).first().asDict()
+    assert a == b and a["duplicate_count"] == 1

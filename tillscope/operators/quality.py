@@ -43,10 +43,13 @@ def null_profile(df: DataFrame, max_null_fraction: float | None = None,
 def duplicate_profile(df: DataFrame, subset: Sequence[str] | None = None,
                       threshold: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """total_records, distinct_records, duplicate_count, duplicate_fraction and
-    passed (fraction <= threshold), over whole rows or a key subset, in one job."""
+    passed (fraction <= threshold), over whole rows or a key subset, in one job
+    (``settings.duplicate_mode == "hash"`` groups on a 96-bit fingerprint)."""
     bound = settings.duplicate_threshold if threshold is None else threshold
-    keys = list(subset) if subset else df.columns
-    groups = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__c"))
+    keys = [F.col(f"`{k}`") for k in (list(subset) if subset else df.columns)]
+    if settings.duplicate_mode == "hash":
+        keys = [F.xxhash64(*keys).alias("__h1"), F.hash(*keys).alias("__h2")]
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
     g = groups.agg(F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("total_records"),
                    F.count(F.lit(1)).alias("distinct_records"))
     g = g.withColumn("duplicate_count", F.col("total_records") - F.col("distinct_records"))
