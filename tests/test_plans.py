@@ -59,3 +59,23 @@ def test_date_range_filter_reaches_scan(spark):
     df = E.queries()["date_range_filter"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate[^\]]*LessThan\(o_orderdate", plan)
+
+
+def test_customer_aggregate_is_partial_before_shuffle(spark):
+    from tillscope.operators.customers import customer_fact
+    df = customer_fact(E._sales(spark, SF))
+    mode = df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    txt = df._jdf.queryExecution().explainString(mode)
+    # a partial HashAggregate (map-side combine) feeds the exchange on customer_id
+    assert re.search(r"Exchange\s*\n?.*?Arguments: hashpartitioning\(customer_id", txt, re.S)
+    assert "partial_max" in txt and "partial_count" in txt and "partial_sum" in txt
+
+
+def test_fingerprint_mode_shuffles_hashes_not_rows(spark):
+    from tillscope.operators import quality as Q
+    from tillscope.settings import Settings
+    df = Q.quality_report(E._sales(spark, SF), "s", settings=Settings(duplicate_mode="hash"))
+    mode = df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    txt = df._jdf.queryExecution().explainString(mode)
+    parts = re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", txt)
+    assert parts and all("transaction_id" not in p for p in parts)
