@@ -370,7 +370,7 @@ pp1 AS (SELECT *, CASE WHEN total_cost IS NOT NULL THEN total_revenue - total_co
 pp AS (
   SELECT *, CASE WHEN total_revenue > 0 AND gross_profit IS NOT NULL
                  THEN gross_profit / NULLIF(total_revenue, 0) * 100.0 END AS profit_margin_pct,
-         CAST(row_number() OVER (ORDER BY total_revenue DESC NULLS LAST, product_id) AS INTEGER) AS revenue_rank
+         CAST(row_number() OVER (ORDER BY total_revenue DESC NULLS LAST, product_id) AS BIGINT) AS revenue_rank
   FROM pp1)"""
 
 

@@ -16,10 +16,11 @@ all tasks:
   whose cumulative count reaches ceil(p * N): the definition of
   ``percentile_disc`` / ``approxQuantile(..., 0.0)``, exactly.
 
-Both store an intermediate with ``DataFrame.checkpoint`` in the shared
-checkpoint folder: it makes the sampled range partitioning and the row ids
-deterministic for everything downstream, and cuts the lineage so a lost
-executor does not trigger a recomputation from the sources.
+Both write the tagged, sorted intermediate as a table below the shared
+``spark.checkpoint.dir`` folder and read it back: the sampled range
+partitioning and the row ids are then fixed for everything downstream, and
+the lineage is cut, so a lost executor does not trigger a recomputation from
+the sources. Ranks are LONG: the whole point is inputs beyond 2^31 rows.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def global_row_number(df: DataFrame, order_cols: Sequence[Column], name: str = "
     offsets = F.broadcast(_partition_offsets(cp).select("_rk_pid", "_rk_off"))
     j = cp.join(offsets, F.shiftright(cp["_rk_id"], 33) == offsets["_rk_pid"])
     pos = F.col("_rk_off") + F.col("_rk_id").bitwiseAND(F.lit(_LOW33)) + F.lit(1)
-    return j.withColumn(name, pos.cast("int")).drop("_rk_id", "_rk_pid", "_rk_off")
+    return j.withColumn(name, pos.cast("long")).drop("_rk_id", "_rk_pid", "_rk_off")
 
 
 def discrete_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
