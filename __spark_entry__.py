@@ -379,6 +379,17 @@ def _product_performance(spark, d):
     return S.product_performance(_sales(spark, d), T.products(spark, d))
 
 
+@_register("monthly_latest", _SQL["monthly_mom"].rstrip() + " ORDER BY year_month DESC, region LIMIT 20")
+def _monthly_latest(spark, d):
+    return S.latest_months(S.monthly_mom(_sales(spark, d)), 20)
+
+
+@_register("top_ranked_products", _with(SALES_CTE, PRODUCTS_CTE, _PRODUCT_SALES, _PRODUCT_PERF)
+           + "SELECT * FROM pp WHERE revenue_rank <= 10")
+def _top_ranked_products(spark, d):
+    return S.top_ranked_products(S.product_performance(_sales(spark, d), T.products(spark, d)), 10)
+
+
 @_register("best_worst_products", _with(SALES_CTE, PRODUCTS_CTE, _PRODUCT_SALES) + """,
 x AS (SELECT ps.*, p.product_name, p.category FROM ps LEFT JOIN products p USING (product_id))
 SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY total_revenue DESC, product_id) AS INTEGER) AS position,
