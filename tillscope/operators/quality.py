@@ -14,6 +14,7 @@ sorted in one task.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from tillscope.settings import DEFAULT, Settings
 
+_log = logging.getLogger(__name__)
+
 
 # ---------------------------------------------------------------- profiles
 
@@ -196,6 +199,7 @@ def handle_null_values(df: DataFrame, strategy: str = "drop", fill_values: dict
         return df.na.drop()
     if strategy == "fill" and fill_values:
         return df.na.fill(fill_values)
+    _log.warning("no null handling applied (strategy=%r, fill values given: %s)", strategy, bool(fill_values))
     return df
 
 
