@@ -638,9 +638,10 @@ r AS (
   UNION ALL SELECT 'null_values', column_name, null_fraction, 0.05, passed FROM nr
   UNION ALL SELECT 'duplicates', NULL, duplicate_fraction, 0.01, passed FROM dp
   UNION ALL SELECT 'data_types', NULL, 0.0, 0.0, TRUE)
-SELECT 'sales' AS dataset, * FROM r
+SELECT 'sales' AS dataset, "check", column_name, observed, CAST(threshold AS DOUBLE) AS threshold, passed FROM r
 UNION ALL
-SELECT 'sales', 'overall', NULL, CAST(MIN(CAST(passed AS INTEGER)) AS DOUBLE), 1.0, MIN(CAST(passed AS INTEGER)) = 1 FROM r"""
+SELECT 'sales', 'overall', NULL, CAST(MIN(CAST(passed AS INTEGER)) AS DOUBLE), CAST(1.0 AS DOUBLE),
+       MIN(CAST(passed AS INTEGER)) = 1 FROM r"""
 
 
 @_register("quality_report", _quality_report_sql())

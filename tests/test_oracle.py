@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.check_oracle import TABLES, canon
+from tools.check_oracle import TABLES, canon, type_diff
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver tables not present")
@@ -51,5 +51,6 @@ def test_query_matches_oracle(spark, con, key):
     dcols = [c[0] for c in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    assert not type_diff(df, con.sql(E.oracle_sql()[key]))
     assert len(srows) == len(drows)
     assert canon(df.columns, srows, 12) == canon(dcols, drows, 12)
