@@ -111,3 +111,13 @@ def test_hashed_duplicate_profile(duplicate_rows):
     a = Q.duplicate_profile(duplicate_rows).first().asDict()
     b = Q.duplicate_profile(duplicate_rows, settings=Settings(duplicate_mode="hash")).first().asDict()
     assert a == b and a["duplicate_count"] == 1
+
+
+def test_custom_rules(spark):
+    rules = {**Q.sales_rules(Settings()), "known_region": F.col("region").isin("North", "South")}
+    df = spark.createDataFrame([("T1", "C1", "P1", 1, 5.0, "North"), ("T2", "C1", "P1", 1, 5.0, "Mars")],
+                               "transaction_id string, customer_id string, product_id string, quantity int, "
+                               "total_amount double, region string")
+    clean, bad = Q.split_quarantine(df, rules=rules)
+    assert [r["transaction_id"] for r in clean.collect()] == ["T1"]
+    assert bad.first()["reject_reasons"] == ["known_region"]

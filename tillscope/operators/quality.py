@@ -274,16 +274,20 @@ def silver_sales(df: DataFrame, settings: Settings = DEFAULT, order_by: Sequence
     return flagged.where(F.col("is_valid_amount") & F.col("is_valid_quantity"))
 
 
-def reject_reasons(settings: Settings = DEFAULT) -> Column:
-    """Array of the names of the rules a row breaks (empty when clean)."""
-    rules = sales_rules(settings)
+def reject_reasons(settings: Settings = DEFAULT, rules: dict[str, Column] | None = None) -> Column:
+    """Array of the names of the rules a row breaks (empty when clean).
+
+    ``rules`` maps a rule name to a boolean Column (the extension point: any
+    predicate over the row); default: the sales rules. A NULL outcome fails."""
+    rules = sales_rules(settings) if rules is None else rules
     checks = [F.when(~F.coalesce(pred, F.lit(False)), F.lit(name)) for name, pred in rules.items()]
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
-def split_quarantine(df: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def split_quarantine(df: DataFrame, settings: Settings = DEFAULT,
+                     rules: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(clean rows, rejected rows with ``reject_reasons``) from one rule list."""
-    tagged = df.withColumn("reject_reasons", reject_reasons(settings))
+    tagged = df.withColumn("reject_reasons", reject_reasons(settings, rules))
     clean = tagged.where(F.size("reject_reasons") == 0).drop("reject_reasons")
     bad = tagged.where(F.size("reject_reasons") > 0)
     return clean, bad
