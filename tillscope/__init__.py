@@ -2,10 +2,19 @@
 
 Every public operator is a pure function ``(DataFrame, ...params) -> DataFrame``:
 no action, no wall clock and no Python row function inside, so Catalyst and
-adaptive execution optimise each pipeline as one plan.
+adaptive execution optimise each pipeline as one plan. ``tillscope.api`` offers
+the same operators behind the original class/method names.
 """
 
 from tillscope.settings import Settings
 
-__all__ = ["Settings"]
+__all__ = ["Settings", "DataLoader", "DataValidator", "CustomerAnalytics", "SalesAnalytics"]
 __version__ = "0.1.0"
+
+
+def __getattr__(name):
+    # the class API is imported on first use (keeps ``import tillscope`` light)
+    if name in ("DataLoader", "DataValidator", "CustomerAnalytics", "SalesAnalytics"):
+        from tillscope import api
+        return getattr(api, name)
+    raise AttributeError(name)
