@@ -33,12 +33,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation key -> nation name, region name: 25 rows by the schema's definition (broadcast)."""
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return F.broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey))
+
+
 def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer key -> nation name, region name (nation/region are bounded, broadcast)."""
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    r = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = F.broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey))
+    geo = _nation_region(spark, sf_dir)
     return c.join(geo, c.c_nationkey == geo.n_nationkey).select("c_custkey", "n_name", "r_name")
 
 
@@ -75,9 +80,9 @@ def sales(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    geo = customer_geo(spark, sf_dir)
-    j = c.join(geo.withColumnRenamed("c_custkey", "g_custkey"), c.c_custkey == F.col("g_custkey"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    geo = _nation_region(spark, sf_dir)
+    j = c.join(geo, c.c_nationkey == geo.n_nationkey)
     return j.select(
         F.col("c_custkey").alias("customer_id"),
         F.lit("Customer").alias("first_name"),
