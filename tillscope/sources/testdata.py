@@ -109,22 +109,21 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stock snapshots per part (one warehouse): older and latest."""
+    """Two stock snapshots per part (one warehouse), older and latest, from one scan."""
     p = read(spark, sf_dir, "part").select("p_partkey", "p_size")
-
-    def snap(day: str, factor: int) -> DataFrame:
-        on_hand = F.col("p_size") * F.lit(factor)
-        return p.select(
-            F.col("p_partkey").alias("product_id"),
-            F.lit("W1").alias("warehouse_id"),
-            on_hand.cast("int").alias("quantity_on_hand"),
-            F.col("p_size").cast("int").alias("quantity_reserved"),
-            (on_hand - F.col("p_size")).cast("int").alias("quantity_available"),
-            F.when(F.col("p_size") % 2 == 0, F.lit(None)).otherwise(F.lit(100)).cast("int").alias("reorder_point"),
-            F.to_date(F.lit(day)).alias("snapshot_date"),
-        )
-
-    return snap(INVENTORY_SNAPSHOTS[0], 10).unionByName(snap(INVENTORY_SNAPSHOTS[1], 20))
+    snaps = F.array(*[F.struct(F.lit(factor).alias("factor"), F.to_date(F.lit(day)).alias("day"))
+                      for day, factor in zip(INVENTORY_SNAPSHOTS, (10, 20))])
+    x = p.select("p_partkey", "p_size", F.explode(snaps).alias("snap"))
+    on_hand = F.col("p_size") * F.col("snap.factor")
+    return x.select(
+        F.col("p_partkey").alias("product_id"),
+        F.lit("W1").alias("warehouse_id"),
+        on_hand.cast("int").alias("quantity_on_hand"),
+        F.col("p_size").cast("int").alias("quantity_reserved"),
+        (on_hand - F.col("p_size")).cast("int").alias("quantity_available"),
+        F.when(F.col("p_size") % 2 == 0, F.lit(None)).otherwise(F.lit(100)).cast("int").alias("reorder_point"),
+        F.col("snap.day").alias("snapshot_date"),
+    )
 
 
 def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
