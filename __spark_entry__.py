@@ -704,8 +704,7 @@ SELECT b.n AS bronze_records, s.n AS silver_records, b.n - s.n AS records_filter
 FROM (SELECT COUNT(*) AS n FROM dirty_sales) b,
      (SELECT COUNT(*) AS n FROM silver WHERE is_valid_amount AND is_valid_quantity) s""")
 def _silver_reconciliation(spark, d):
-    bronze = _sales(spark, d, dirty=True)
-    return Q.silver_reconciliation(bronze, Q.silver_sales(bronze))
+    return Q.silver_reconciliation(_sales(spark, d, dirty=True))
 
 
 @_register("quality_metrics", _with(DIRTY_CTE, CUSTOMERS_CTE, PRODUCTS_CTE) + """

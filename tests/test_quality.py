@@ -121,3 +121,10 @@ def test_custom_rules(spark):
     clean, bad = Q.split_quarantine(df, rules=rules)
     assert [r["transaction_id"] for r in clean.collect()] == ["T1"]
     assert bad.first()["reject_reasons"] == ["known_region"]
+
+
+def test_single_pass_reconciliation(spark):
+    bronze = _dirty(spark)
+    a = Q.silver_reconciliation(bronze).first().asDict()
+    b = Q.silver_reconciliation(bronze, Q.silver_sales(bronze)).first().asDict()
+    assert a == b == {"bronze_records": 9, "silver_records": 2, "records_filtered": 7}

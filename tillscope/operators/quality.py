@@ -174,6 +174,20 @@ def validate_dataframe(df: DataFrame, dataset_name: str, required_columns: Seque
 
 # ---------------------------------------------------------------- cleaning
 
+def _keep_one(df: DataFrame, keys: list[str], order_by: Sequence[str] | None, count_col: str | None = None):
+    """Per key, the row with the smallest (order_by..., rest...) tuple (NULLs
+    first), as an aggregate; optionally with the number of rows of the key."""
+    order = [c for c in (order_by or []) if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    fields = order + rest
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(fields)])
+    aggs = [F.min(packed).alias("__best")] + ([F.count(F.lit(1)).alias(count_col)] if count_col else [])
+    g = df.groupBy(*keys).agg(*aggs)
+    extra = [count_col] if count_col else []
+    return g.select(*keys, *[F.col(f"__best.f{i}").alias(c) for i, c in enumerate(fields)], *extra) \
+        .select(*df.columns, *extra)
+
+
 def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
                       order_by: Sequence[str] | None = None) -> DataFrame:
     """Drop duplicates. Whole rows: ``distinct``. By key: keep, per key, the row
@@ -182,14 +196,9 @@ def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
     if not subset:
         return df.distinct()
     keys = list(subset)
-    order = [c for c in (order_by or []) if c not in keys]
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    fields = order + rest
-    if not fields:
+    if not [c for c in df.columns if c not in keys]:
         return df.select(*keys).distinct().select(*df.columns)
-    packed = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(fields)])
-    g = df.groupBy(*keys).agg(F.min(packed).alias("__best"))
-    return g.select(*keys, *[F.col(f"__best.f{i}").alias(c) for i, c in enumerate(fields)]).select(*df.columns)
+    return _keep_one(df, keys, order_by)
 
 
 def handle_null_values(df: DataFrame, strategy: str = "drop", fill_values: dict | None = None) -> DataFrame:
@@ -299,8 +308,23 @@ def reject_summary(rejected: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rejected_records"))
 
 
-def silver_reconciliation(bronze: DataFrame, silver: DataFrame) -> DataFrame:
-    """bronze_records, silver_records and records_filtered."""
+def silver_reconciliation(bronze: DataFrame, silver: DataFrame | None = None, settings: Settings = DEFAULT,
+                          order_by: Sequence[str] | None = None) -> DataFrame:
+    """bronze_records, silver_records and records_filtered.
+
+    Without ``silver`` both counts come from one pass over the bronze rows:
+    the dedup aggregate also counts the rows of each transaction id, and the
+    silver rules are applied to the kept row."""
+    if silver is None:
+        kept = _keep_one(bronze, ["transaction_id"], order_by, "__rows")
+        ok = F.lit(True)
+        for k in SALES_KEYS:
+            ok = ok & F.col(k).isNotNull()
+        flags = flag_sales(kept, settings)
+        ok = ok & F.col("is_valid_amount") & F.col("is_valid_quantity")
+        g = flags.agg(F.coalesce(F.sum("__rows"), F.lit(0)).cast("long").alias("bronze_records"),
+                      F.count_if(F.coalesce(ok, F.lit(False))).alias("silver_records"))
+        return g.withColumn("records_filtered", F.col("bronze_records") - F.col("silver_records"))
     b = bronze.agg(F.count(F.lit(1)).alias("bronze_records"))
     # the silver count enters as a scalar subquery: two one-row aggregates, no join
     sv = silver.agg(F.count(F.lit(1))).scalar()
