@@ -1180,6 +1180,20 @@ def _stream_enriched(spark, d):
                             "stream-enriched")
 
 
+# ----------------------------------------------------------------------------
+# operators for training data: there only if their subpackage is
+
+try:
+    import corpus_pipeline
+    from tillscope.llm import queries as LLM
+except ImportError:
+    LLM = None
+else:
+    _QUERIES.update(LLM.QUERIES)
+    _SQL.update(LLM.SQL)
+    _QUERIES["pipeline"] = corpus_pipeline.run
+
+
 # ----------------------------------------------------------------------------
 # contract
 
