@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the contracts, as a Java / RE2 class and as the characters themselves.
@@ -14,6 +15,14 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = "\t\n\x0b\x0c\r "
 
 
+def visible_to_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (where it is not installed)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text`` with null as the empty string; nothing else."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
-from tillscope.llm import line_quality, shards
+from functools import wraps
 
-QUERIES = {
+from tillscope.llm import (exact_dedup, licenses, line_quality, lm_score, ngram_join, packing, piece_fst, secrets,
+                           shards, token_orc)
+from tillscope.llm.common import visible_to_workers
+
+
+def _ready(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        visible_to_workers(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {name: _ready(query) for name, query in {
+    "op1_piece_fst": piece_fst.op1,
+    "op2_ngram_jaccard": ngram_join.op2,
+    "op3_license_scan": licenses.op3,
+    "op4_exact_dedup": exact_dedup.op4,
     "op5_sampled_shards": shards.op5,
+    "op6_token_orc": token_orc.op6,
+    "op7_lattice_lm": lm_score.op7,
     "op8_line_quality": line_quality.op8,
-}
+    "op9_tier_packing": packing.op9,
+    "op10_secret_novelty": secrets.op10,
+}.items()}
+
+_SPACE = r"[\x20\x09-\x0D]"
 
-_WS = r"[\x20\x09-\x0D]"
-SQL = {}
+SQL = {
+    "op4_exact_dedup": rf"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}+', ' ', 'g')) AS text_sha256,
+                  doc_id <= (SELECT (min(doc_id) + max(doc_id)) // 2 FROM documents) AS from_snapshot FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = min(doc_id) OVER g AS kept, text_sha256, from_snapshot
+FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+}
