@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.operators import churn_model as CM
 from tillscope.operators import customers as C
 from tillscope.operators import inventory as I
 from tillscope.operators import quality as Q
@@ -287,6 +288,12 @@ def _rfm_scores_approx(spark, d):
     return C.rfm_scores(C.rfm_metrics(_sales(spark, d), REF), mode="approx")
 
 
+@_register("churn_model")
+def _churn_model(spark, d):
+    """Logistic regression with a time split: no SQL form (tests check its held-out accuracy)."""
+    return CM.churn_scores(_sales(spark, d), "2000-06-30", "2001-01-31")
+
+
 # ----------------------------------------------------------------------------
 # sales, product, regional and time analytics
 
@@ -583,12 +590,20 @@ DEDUP_CTE = f"""dedup AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY {_ORDER_REST}) AS rn FROM dirty_sales) x
   WHERE rn = 1)"""
-SILVER_CTE = DEDUP_CTE + """,
-silver AS (
-  SELECT *, (total_amount > 0 AND total_amount < 100000) AS is_valid_amount,
-            (quantity > 0 AND quantity <= 1000) AS is_valid_quantity
-  FROM dedup WHERE transaction_id IS NOT NULL AND customer_id IS NOT NULL AND product_id IS NOT NULL
-               AND total_amount IS NOT NULL)"""
+# independent of the dedup CTE: the rules first, so any valid copy keeps its id
+VALID_SALE = ("transaction_id IS NOT NULL AND customer_id IS NOT NULL AND product_id IS NOT NULL "
+              "AND total_amount IS NOT NULL AND total_amount > 0 AND total_amount < 100000 "
+              "AND quantity > 0 AND quantity <= 1000")
+SILVER_CTE = f"""silver AS (
+  SELECT *, TRUE AS is_valid_amount, TRUE AS is_valid_quantity FROM dirty_sales WHERE {VALID_SALE}
+  QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY {_ORDER_REST}) = 1)"""
+RECONCILED = f"""
+SELECT b.n AS bronze_records, s.n AS silver_records, v.n - s.n AS duplicate_records, r.n AS rejected_records,
+       b.n = s.n + (v.n - s.n) + r.n AS balanced, b.n - s.n AS records_filtered
+FROM (SELECT COUNT(*) AS n FROM dirty_sales) b,
+     (SELECT COUNT(DISTINCT transaction_id) AS n FROM dirty_sales WHERE {VALID_SALE}) s,
+     (SELECT COUNT(*) AS n FROM dirty_sales WHERE {VALID_SALE}) v,
+     (SELECT COUNT(*) AS n FROM dirty_sales WHERE NOT COALESCE({VALID_SALE}, FALSE)) r"""
 
 
 def _null_rows(table: str, bound: float) -> str:
@@ -656,6 +671,26 @@ def _quality_report_hashed(spark, d):
                             Settings(duplicate_mode="hash"))
 
 
+_SWAPPED = """swapped AS (
+  SELECT l_orderkey AS k, CAST(NULL AS BIGINT) AS a, l_suppkey AS b FROM lineitem
+  UNION ALL SELECT l_orderkey, l_suppkey, CAST(NULL AS BIGINT) FROM lineitem)"""
+
+
+@_register("duplicates_swapped_nulls", _with(_SWAPPED) + """
+SELECT total_records, distinct_records, total_records - distinct_records AS duplicate_count,
+       CAST(total_records - distinct_records AS DOUBLE) / total_records AS duplicate_fraction,
+       CAST(total_records - distinct_records AS DOUBLE) / total_records <= 0.01 AS passed
+FROM (SELECT COUNT(*) AS total_records, (SELECT COUNT(*) FROM (SELECT DISTINCT k, a, b FROM swapped) u) AS distinct_records
+      FROM swapped) t""")
+def _duplicates_swapped_nulls(spark, d):
+    """The fingerprint mode on rows that differ only in which of two columns is NULL."""
+    from tillscope.settings import Settings
+    li = T.read(spark, d, "lineitem")
+    null, key, value = F.lit(None).cast("long"), F.col("l_orderkey").alias("k"), F.col("l_suppkey")
+    rows = li.select(key, null.alias("a"), value.alias("b")).unionAll(li.select(key, value.alias("a"), null.alias("b")))
+    return Q.duplicate_profile(rows, settings=Settings(duplicate_mode="hash"))
+
+
 @_register("remove_duplicates", _with(DIRTY_CTE, DEDUP_CTE) + "SELECT * FROM dedup")
 def _remove_duplicates(spark, d):
     return Q.remove_duplicates(_sales(spark, d, dirty=True), ["transaction_id"])
@@ -694,15 +729,12 @@ def _date_range_report(spark, d):
     return Q.date_range_report(_sales(spark, d), "transaction_date", _LO, _HI)
 
 
-@_register("silver_sales", _with(DIRTY_CTE, SILVER_CTE) + "SELECT * FROM silver WHERE is_valid_amount AND is_valid_quantity")
+@_register("silver_sales", _with(DIRTY_CTE, SILVER_CTE) + "SELECT * FROM silver")
 def _silver_sales(spark, d):
     return Q.silver_sales(_sales(spark, d, dirty=True))
 
 
-@_register("silver_reconciliation", _with(DIRTY_CTE, SILVER_CTE) + """
-SELECT b.n AS bronze_records, s.n AS silver_records, b.n - s.n AS records_filtered
-FROM (SELECT COUNT(*) AS n FROM dirty_sales) b,
-     (SELECT COUNT(*) AS n FROM silver WHERE is_valid_amount AND is_valid_quantity) s""")
+@_register("silver_reconciliation", _with(DIRTY_CTE) + RECONCILED)
 def _silver_reconciliation(spark, d):
     return Q.silver_reconciliation(_sales(spark, d, dirty=True))
 
@@ -725,11 +757,11 @@ def _quality_metrics(spark, d):
     return Q.quality_metrics(_sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d))
 
 
-@_register("orphan_sales", _with(SALES_CTE, CUSTOMERS_CTE) + """
-SELECT * FROM sales s WHERE NOT EXISTS (
-  SELECT 1 FROM customers c WHERE c.market_segment <> 'AUTOMOBILE' AND c.customer_id = s.customer_id)""")
+@_register("orphan_sales", _with(SALES_CTE) + """
+SELECT * FROM sales WHERE customer_id NOT IN (SELECT user_id FROM events)""")
 def _orphan_sales(spark, d):
-    master = T.customers(spark, d).where(F.col("market_segment") != "AUTOMOBILE")
+    """Sales of customers unknown to the event system: the whole event table is the master."""
+    master = T.read(spark, d, "events").select(F.col("user_id").alias("customer_id"))
     return Q.orphan_sales(_sales(spark, d), master, "customer_id")
 
 
@@ -753,29 +785,33 @@ def _reject_summary(spark, d):
     return Q.reject_summary(bad)
 
 
-@_register("daily_revenue_anomaly", _with(SALES_CTE) + """
+@_register("daily_revenue_anomaly", _with(SALES_CTE) + """,
+t AS (
 SELECT sale_date, CAST(u AS DOUBLE) / 10000.0 AS daily_revenue,
        CAST(SUM(u) OVER w AS DOUBLE) / NULLIF(CAST(COUNT(u) OVER w AS DOUBLE), 0) / 10000.0 AS trailing_mean,
        CASE WHEN COUNT(u) OVER w > 1 THEN sqrt(CAST(COUNT(u) OVER w * SUM(u * u) OVER w - SUM(u) OVER w * SUM(u) OVER w AS DOUBLE)
             / CAST(COUNT(u) OVER w * (COUNT(u) OVER w - 1) AS DOUBLE)) / 10000.0 END AS trailing_stddev
 FROM (SELECT CAST(transaction_date AS DATE) AS sale_date, CAST(SUM(total_amount) * 10000 AS DECIMAL(38,0)) AS u
       FROM sales GROUP BY 1) d
-WINDOW w AS (ORDER BY sale_date RANGE BETWEEN INTERVAL 28 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)""")
+WINDOW w AS (ORDER BY sale_date RANGE BETWEEN INTERVAL 28 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING))
+SELECT *, (daily_revenue - trailing_mean) / NULLIF(trailing_stddev, 0) AS z_score,
+       COALESCE(abs((daily_revenue - trailing_mean) / NULLIF(trailing_stddev, 0)) >= 3.0, FALSE) AS is_anomaly
+FROM t""")
 def _daily_revenue_anomaly(spark, d):
-    return Q.daily_revenue_anomaly(_sales(spark, d)).drop("z_score", "is_anomaly")
+    return Q.daily_revenue_anomaly(_sales(spark, d))
 
 
 # ----------------------------------------------------------------------------
 # SQL dashboard statements over the sales / customers / products views
 
 def _bi(spark, d, views: str = "sales"):
-    """Register only the views a statement reads (the customer view and the
-    product ranking each write an intermediate table when built)."""
+    """Register only the views a statement reads (the customer view writes an
+    intermediate table when built)."""
     sales = _sales(spark, d)
     BI.register_views(
         spark, sales=sales,
         customers=C.customer_360_from_sales(sales, T.customers(spark, d), REF) if "customers" in views else None,
-        products=S.product_performance(sales, T.products(spark, d)) if "products" in views else None)
+        products=S.product_margins(sales, T.products(spark, d)) if "products" in views else None)
 
 
 _C360_CTE = "c360 AS (" + C360_SQL + ")"
@@ -980,7 +1016,7 @@ inv AS (SELECT product_id, AVG(oh) AS avg_units_on_hand FROM (
           WHERE snapshot_date BETWEEN DATE '2001-07-01' AND DATE '2001-08-01' GROUP BY 1, 2) x GROUP BY product_id),
 j AS (SELECT p.product_id, p.unit_cost, i.avg_units_on_hand, s.units_sold,
              p.unit_cost * COALESCE(s.units_sold, 0) AS cogs, p.unit_cost * i.avg_units_on_hand AS avg_stock_value
-      FROM products p JOIN inv i ON p.product_id = i.product_id LEFT JOIN sold s ON p.product_id = s.product_id),
+      FROM products p LEFT JOIN inv i ON p.product_id = i.product_id LEFT JOIN sold s ON p.product_id = s.product_id),
 t AS (SELECT *, cogs / NULLIF(avg_stock_value, 0) AS turnover FROM j)
 SELECT *, 32.0 / CASE WHEN turnover > 0 THEN turnover END AS days_of_inventory FROM t""")
 def _inventory_turnover(spark, d):
@@ -988,6 +1024,15 @@ def _inventory_turnover(spark, d):
                                 "2001-07-01", "2001-08-01")
 
 
+@_register("inventory_turnover_no_snapshot", _SQL["inventory_turnover"].replace(
+    "'2001-07-01'", "'2001-07-02'").replace("'2001-08-01'", "'2001-07-31'").replace("32.0 /", "30.0 /")
+    .replace(INVENTORY_CTE.replace("'2001-07-01'", "'2001-07-02'").replace("'2001-08-01'", "'2001-07-31'"), INVENTORY_CTE))
+def _inventory_turnover_no_snapshot(spark, d):
+    """A period without any snapshot: every product stays, without stock figures."""
+    return I.inventory_turnover(_sales(spark, d), T.products(spark, d), T.inventory(spark, d),
+                                "2001-07-02", "2001-07-31")
+
+
 @_register("stock_cover_days", _with(SALES_CTE, INVENTORY_CTE, _LATEST) + """,
 vel AS (SELECT sale_date, product_id,
                CAST(SUM(daily_quantity) OVER w AS DOUBLE) / NULLIF(COUNT(daily_quantity) OVER w, 0) AS aq
@@ -1004,7 +1049,7 @@ SELECT s.product_id, s.quantity_available, r.avg_daily_quantity, r.last_sale_dat
          AS stock_cover_days
 FROM stock s LEFT JOIN rate r ON s.product_id = r.product_id""")
 def _stock_cover_days(spark, d):
-    return I.stock_cover_days(S.sales_velocity(_sales(spark, d), 30), T.inventory(spark, d), 30)
+    return I.stock_cover(_sales(spark, d), T.inventory(spark, d), 30)
 
 
 # ----------------------------------------------------------------------------
@@ -1028,6 +1073,35 @@ def _load_customers(spark, d):
     return L.load_customers(spark, path, "json")
 
 
+@_register("load_customers_segment", _SQL["load_customers"])
+def _load_customers_segment(spark, d):
+    """JSON whose segment column has the source's own name."""
+    c = T.customers(spark, d).withColumnRenamed("market_segment", "customer_segment")
+    return L.load_customers(spark, K.write_table(c, fresh_path(spark, "customers-json"), "json"), "json")
+
+
+_BAD_TEXT = "CASE WHEN l_linenumber = 2 THEN 'many' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END"
+
+
+@_register("load_malformed", """
+SELECT l_orderkey || '-' || l_linenumber AS transaction_id,
+       CASE WHEN l_linenumber = 2 THEN NULL ELSE CAST(l_quantity AS INTEGER) END AS quantity,
+       CAST(l_partkey AS VARCHAR) AS product_id, l_linenumber = 2 AS is_corrupt, COUNT(*) AS record_count
+FROM lineitem GROUP BY ALL""")
+def _load_malformed(spark, d):
+    """A CSV with its columns in another order and an unreadable quantity: every record is loaded, and the
+    malformed ones are parted with their text."""
+    li = T.read(spark, d, "lineitem")
+    rows = li.select(F.col("l_partkey").alias("product_id"), F.expr(_BAD_TEXT).alias("quantity"),
+                     F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"))
+    path = K.write_table(rows, fresh_path(spark, "sales-malformed"), "csv")
+    good, bad = L.split_corrupt(L.load_sales(spark, path, "csv", keep_corrupt=True))
+    keys = ["transaction_id", "quantity", "product_id"]
+    both = good.select(*keys, F.lit(False).alias("is_corrupt")).unionByName(
+        bad.select(*keys, F.col("_corrupt_record").contains("many").alias("is_corrupt")))
+    return both.groupBy(*keys, "is_corrupt").agg(F.count(F.lit(1)).alias("record_count"))
+
+
 @_register("load_products", _with(PRODUCTS_CTE) + """
 SELECT CAST(product_id AS VARCHAR) AS product_id, product_name, category, subcategory, brand, unit_cost, unit_price,
        CAST(NULL AS DATE) AS launch_date, CAST(NULL AS VARCHAR) AS is_active FROM products""")
@@ -1044,33 +1118,66 @@ def _load_inventory(spark, d):
     return L.load_inventory(spark, path, "csv")
 
 
-@_register("medallion_counts", _with(DIRTY_CTE, CUSTOMERS_CTE, PRODUCTS_CTE, SILVER_CTE) + f""",
-ss AS (SELECT * FROM silver WHERE is_valid_amount AND is_valid_quantity)
+@_register("medallion_counts", _with(DIRTY_CTE, CUSTOMERS_CTE, PRODUCTS_CTE, SILVER_CTE) + """
 SELECT 'bronze' AS layer, 'sales' AS table_name, (SELECT COUNT(*) FROM dirty_sales) AS record_count
 UNION ALL SELECT 'bronze', 'customers', (SELECT COUNT(*) FROM customers)
 UNION ALL SELECT 'bronze', 'products', (SELECT COUNT(*) FROM products)
-UNION ALL SELECT 'silver', 'sales', (SELECT COUNT(*) FROM ss)
+UNION ALL SELECT 'silver', 'sales', (SELECT COUNT(*) FROM silver)
 UNION ALL SELECT 'silver', 'customers', (SELECT COUNT(*) FROM customers)
 UNION ALL SELECT 'silver', 'products', (SELECT COUNT(*) FROM products)
 UNION ALL SELECT 'gold', 'customer_analytics', (SELECT COUNT(*) FROM customers)
 UNION ALL SELECT 'gold', 'product_performance', (SELECT COUNT(*) FROM products)
 UNION ALL SELECT 'gold', 'monthly_trends',
-  (SELECT COUNT(*) FROM (SELECT DISTINCT year(transaction_date), month(transaction_date), region FROM ss) m)
-UNION ALL SELECT 'gold', 'regional_performance', (SELECT COUNT(DISTINCT region) FROM ss)""")
+  (SELECT COUNT(*) FROM (SELECT DISTINCT year(transaction_date), month(transaction_date), region FROM silver) m)
+UNION ALL SELECT 'gold', 'regional_performance', (SELECT COUNT(DISTINCT region) FROM silver)""")
 def _medallion_counts(spark, d):
-    _, counts = M.run(spark, _sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d),
-                      customer_buckets=8)
+    _, counts = _medallion(spark, d, customer_buckets=8)
     return counts
 
 
-@_register("run_metrics", _SQL["medallion_counts"])
+def _medallion(spark, d, **kw):
+    return M.run(spark, _sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d), **kw)
+
+
+@_register("run_metrics", _SQL["medallion_counts"] + f"""
+UNION ALL SELECT 'quarantine', 'rejected_sales',
+  (SELECT COUNT(*) FROM dirty_sales WHERE NOT COALESCE({VALID_SALE}, FALSE))""")
 def _run_metrics(spark, d):
-    lay, _ = M.run(spark, _sales(spark, d, dirty=True), T.customers(spark, d), T.products(spark, d))
+    lay, _ = _medallion(spark, d)
     m = M.metrics_table(spark, lay)
     return m.select(F.split("stage", r"\.")[0].alias("layer"), F.split("stage", r"\.")[1].alias("table_name"),
                     "record_count")
 
 
+@_register("medallion_reconciliation", _with(DIRTY_CTE) + RECONCILED)
+def _medallion_reconciliation(spark, d):
+    """The written bronze, silver and quarantine tables against each other."""
+    lay, _ = _medallion(spark, d)
+    return M.reconciliation(spark, lay)
+
+
+def _gold(table: str):
+    def query(spark, d):
+        lay, _ = _medallion(spark, d)
+        return K.read_table(spark, lay.path("gold", table))
+    return query
+
+
+# the gold tables' contents: the statements of the same operators over the silver rows
+_GOLD_BASE = _with(DIRTY_CTE, CUSTOMERS_CTE, PRODUCTS_CTE, SILVER_CTE, "sales AS (SELECT * FROM silver)")
+for _table, _key, _pick in (("customer_analytics", "customer_clv", "*"), ("product_performance", "product_performance", "*"),
+                            ("monthly_trends", "monthly_mom", "*"),
+                            ("regional_performance", "regional_performance",
+                             "region, total_revenue, transaction_count, unique_customers, avg_order_value, "
+                             "revenue_per_customer")):
+    _body = _SQL[_key]
+    for _cte in (SALES_CTE, CUSTOMERS_CTE, PRODUCTS_CTE):
+        _body = _body.replace(_cte, "").strip()
+    _body = _body.removeprefix("WITH").lstrip(" ,\n")
+    _sep = "" if _body.upper().startswith("SELECT") else ",\n"
+    _register(f"gold_{_table}", f"SELECT {_pick} FROM ({_GOLD_BASE.rstrip()}{_sep}\n{_body}) g")(_gold(_table))
+
+
 @_register("partitioned_scan", _with(SALES_CTE) + f"""
 SELECT region, {_DBL} AS revenue, COUNT(transaction_id) AS transaction_count FROM sales
 WHERE year(transaction_date) = 2000 AND month(transaction_date) = 3 GROUP BY region""")
@@ -1131,27 +1238,30 @@ def _stream_silver(spark, d):
 
 
 @_register("stream_daily_revenue", f"""
-SELECT * FROM (
-  SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
-         event_type AS sales_channel, {_EV_REV} AS revenue, COUNT(*) AS transaction_count
-  FROM events GROUP BY 1, 2, 3) w
-WHERE window_end <= {_EV_MAX} - INTERVAL 1 DAY""")
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+       event_type AS sales_channel, {_EV_REV} AS revenue, COUNT(*) AS transaction_count
+FROM events GROUP BY 1, 2, 3""")
 def _stream_daily_revenue(spark, d):
-    return ST.run_available(ST.stream_revenue(ST.event_sales_stream(spark, d), "1 day", None, "1 day"),
-                            "stream-daily")
+    return ST.run_bounded(ST.stream_revenue(ST.event_sales_stream(spark, d), "1 day", None, "1 day"), "stream-daily")
 
 
 @_register("stream_sliding", f"""
-SELECT * FROM (
-  SELECT ws AS window_start, ws + INTERVAL 2 DAY AS window_end, event_type AS sales_channel,
-         {_EV_REV} AS revenue, COUNT(*) AS transaction_count
-  FROM (SELECT date_trunc('day', ts) AS ws, * FROM events
-        UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY AS ws, * FROM events) e
-  GROUP BY 1, 2, 3) w
-WHERE window_end <= {_EV_MAX} - INTERVAL 1 DAY""")
+SELECT ws AS window_start, ws + INTERVAL 2 DAY AS window_end, event_type AS sales_channel,
+       {_EV_REV} AS revenue, COUNT(*) AS transaction_count
+FROM (SELECT date_trunc('day', ts) AS ws, * FROM events
+      UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY AS ws, * FROM events) e
+GROUP BY 1, 2, 3""")
 def _stream_sliding(spark, d):
-    return ST.run_available(ST.stream_revenue(ST.event_sales_stream(spark, d), "2 days", "1 day", "1 day"),
-                            "stream-sliding")
+    return ST.run_bounded(ST.stream_revenue(ST.event_sales_stream(spark, d), "2 days", "1 day", "1 day"),
+                          "stream-sliding")
+
+
+@_register("stream_daily_closed", f"""
+SELECT * FROM ({_SQL["stream_daily_revenue"]}) w WHERE window_end <= {_EV_MAX} - INTERVAL 1 DAY""")
+def _stream_daily_closed(spark, d):
+    """Append mode, as for an endless feed: the windows that the watermark has closed."""
+    return ST.run_available(ST.stream_revenue(ST.event_sales_stream(spark, d), "1 day", None, "1 day"),
+                            "stream-closed")
 
 
 @_register("stream_sessions", f"""
@@ -1163,11 +1273,10 @@ WITH f AS (
 g AS (SELECT *, SUM(new_s) OVER (PARTITION BY customer_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM f)
 SELECT customer_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end,
        COUNT(*) AS transaction_count, {_EV_REV} AS revenue
-FROM g GROUP BY customer_id, sid
-HAVING MAX(ts) + INTERVAL 30 MINUTE <= {_EV_MAX} - INTERVAL 1 HOUR""")
+FROM g GROUP BY customer_id, sid""")
 def _stream_sessions(spark, d):
-    return ST.run_available(ST.stream_sessions(ST.event_sales_stream(spark, d), "30 minutes", "1 hour"),
-                            "stream-sessions")
+    return ST.run_bounded(ST.stream_sessions(ST.event_sales_stream(spark, d), "30 minutes", "1 hour"),
+                          "stream-sessions")
 
 
 @_register("stream_enriched", _with(CUSTOMERS_CTE) + """

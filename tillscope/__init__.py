@@ -1,9 +1,14 @@
 """tillscope: retail analytics expressed as lazy Spark DataFrame / SQL plans.
 
-Every public operator is a pure function ``(DataFrame, ...params) -> DataFrame``:
-no action, no wall clock and no Python row function inside, so Catalyst and
-adaptive execution optimise each pipeline as one plan. ``tillscope.api`` offers
-the same operators behind the original class/method names.
+Operators are functions ``(DataFrame, ...params) -> DataFrame`` of built-in
+expressions, without wall clock or Python row functions, so Catalyst and
+adaptive execution optimise each pipeline as one plan. Most run no action. The
+ones whose input would otherwise be evaluated several times write it once below
+the shared folder when called (RFM scores and the customer view, full rankings,
+exact quantiles, best and worst products; see the README), and the dictionary
+reports and the churn model collect a few rows. ``tillscope.api`` offers the
+same operators behind the original class/method names; ``tillscope.llm`` has the
+operators for training data.
 """
 
 from tillscope.settings import Settings

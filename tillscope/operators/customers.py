@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.columns import (
+    CHURN_HIGH,
+    CHURN_MEDIUM,
     as_date,
     churn_label,
     money,
@@ -152,9 +154,16 @@ def calculate_clv(sales_df: DataFrame, customer_df: DataFrame, projection_months
 
 
 def top_clv(sales_df: DataFrame, customer_df: DataFrame, n: int = 10, projection_months: int = 12) -> DataFrame:
-    """The n customers with the highest projected CLV (ties by customer id)."""
-    return calculate_clv(sales_df, customer_df, projection_months) \
-        .orderBy(F.col("projected_clv").desc_nulls_last(), F.col(CUSTOMER_KEY)).limit(n)
+    """The n customers with the highest projected CLV (ties by customer id).
+
+    Only ids and measures are joined and ranked; the master's other columns are
+    fetched for the n that remain."""
+    master = _master(customer_df)
+    order = [F.col("projected_clv").desc_nulls_last(), F.col(CUSTOMER_KEY)]
+    clv = clv_metrics(sales_df, projection_months)
+    top = master.select(CUSTOMER_KEY).distinct().join(clv, CUSTOMER_KEY, "left").orderBy(*order).limit(n)
+    return master.join(top, CUSTOMER_KEY).select(
+        *master.columns, *[c for c in clv.columns if c != CUSTOMER_KEY]).orderBy(*order).limit(n)
 
 
 def high_value_customers(clv_df: DataFrame, settings: Settings = DEFAULT, threshold: float | None = None) -> DataFrame:
@@ -165,8 +174,10 @@ def high_value_customers(clv_df: DataFrame, settings: Settings = DEFAULT, thresh
 
 # ---------------------------------------------------------------- churn
 
-def churn_metrics(sales_df: DataFrame, reference_date=None, inactivity_threshold_days: int = 180,
-                  fact: DataFrame | None = None) -> DataFrame:
+def churn_metrics(sales_df: DataFrame, reference_date=None, inactivity_threshold_days: int | None = None,
+                  fact: DataFrame | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    if inactivity_threshold_days is None:
+        inactivity_threshold_days = settings.churn_days
     fact = customer_fact(sales_df) if fact is None else fact
     days = F.datediff(as_date(reference_date), F.col("last_purchase_date"))
     return fact.select(CUSTOMER_KEY, "last_purchase_date", days.alias("days_since_last_purchase")) \
@@ -174,9 +185,9 @@ def churn_metrics(sales_df: DataFrame, reference_date=None, inactivity_threshold
 
 
 def identify_churn_risk(sales_df: DataFrame, customer_df: DataFrame, reference_date=None,
-                        inactivity_threshold_days: int = 180) -> DataFrame:
+                        inactivity_threshold_days: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
     return _master(customer_df).join(
-        churn_metrics(sales_df, reference_date, inactivity_threshold_days), CUSTOMER_KEY, "left")
+        churn_metrics(sales_df, reference_date, inactivity_threshold_days, settings=settings), CUSTOMER_KEY, "left")
 
 
 # ---------------------------------------------------------------- customer 360
@@ -191,7 +202,7 @@ def customer_360(customer_df: DataFrame, rfm_df: DataFrame, clv_df: DataFrame, c
 
 
 def customer_360_from_sales(sales_df: DataFrame, customer_df: DataFrame, reference_date=None,
-                            projection_months: int = 12, inactivity_threshold_days: int = 180,
+                            projection_months: int = 12, inactivity_threshold_days: int | None = None,
                             settings: Settings = DEFAULT, mode: str = "exact",
                             materialize_fact: bool = True) -> DataFrame:
     """The single customer view from one per-customer aggregate and one join.
@@ -200,6 +211,8 @@ def customer_360_from_sales(sales_df: DataFrame, customer_df: DataFrame, referen
     monetary_value, rfm_score, customer_segment, projected_clv, historical_clv,
     churn_risk, days_since_last_purchase.
     """
+    if inactivity_threshold_days is None:
+        inactivity_threshold_days = settings.churn_days
     fact = customer_fact(sales_df)
     if materialize_fact:
         fact = materialize(fact, "customer-fact")
@@ -240,13 +253,9 @@ def customer_health(view_360: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- reports
 
 def top_customers(sales_df: DataFrame, top_n: int = 100) -> DataFrame:
-    """The top_n customers by revenue with their rank (ties broken by customer id).
-
-    ``rank <= n`` over a global order is planned as a per-partition limit
-    followed by one merge of at most n rows per partition.
-    """
-    fact = customer_fact(sales_df)
-    m = fact.select(
+    """The top_n customers by revenue with their rank (ties broken by customer id):
+    a limit per task, one merge, and a window over those top_n rows only."""
+    m = customer_fact(sales_df).select(
         CUSTOMER_KEY,
         money("_revenue").alias("total_revenue"),
         F.col("transaction_count"),
@@ -254,11 +263,31 @@ def top_customers(sales_df: DataFrame, top_n: int = 100) -> DataFrame:
         F.col("first_purchase_date").alias("first_purchase"),
         F.col("last_purchase_date").alias("last_purchase"),
     )
-    w = Window.orderBy(F.col("total_revenue").desc_nulls_last(), F.col(CUSTOMER_KEY))
-    return m.withColumn("revenue_rank", F.row_number().over(w)).where(F.col("revenue_rank") <= top_n) \
+    order = [F.col("total_revenue").desc_nulls_last(), F.col(CUSTOMER_KEY)]
+    return m.orderBy(*order).limit(top_n).withColumn("revenue_rank", F.row_number().over(Window.orderBy(*order))) \
         .orderBy("revenue_rank")
 
 
+def segment_shares(view_360: DataFrame) -> DataFrame:
+    """Per RFM segment: customers, their share in percent, average CLV and average purchases."""
+    g = view_360.where(F.col("customer_segment").isNotNull()).groupBy("customer_segment").agg(
+        F.count(F.lit(1)).alias("customer_count"), F.avg("projected_clv").alias("avg_clv"),
+        F.avg("frequency").alias("avg_purchases"))
+    everyone = F.sum("customer_count").over(Window.partitionBy())  # over the segments, a fixed set
+    share = F.round(safe_div(F.col("customer_count") * 100.0, everyone), 2)
+    return g.select("customer_segment", "customer_count", share.alias("percentage"), "avg_clv", "avg_purchases") \
+        .orderBy(F.col("avg_clv").desc())
+
+
+def valuable_at_risk(view_360: DataFrame, clv_bound: float, n: int = 50) -> DataFrame:
+    """The n customers of highest projected CLV above a bound whose churn risk is not low."""
+    risky = F.col("churn_risk").isin(CHURN_HIGH, CHURN_MEDIUM)
+    return view_360.where((F.col("projected_clv") > F.lit(float(clv_bound))) & risky) \
+        .orderBy(F.col("projected_clv").desc(), F.col(CUSTOMER_KEY)).limit(n) \
+        .select(CUSTOMER_KEY, "first_name", "last_name", "email", "projected_clv", "days_since_last_purchase",
+                "churn_risk")
+
+
 def top_customers_named(sales_df: DataFrame, customer_df: DataFrame, n: int = 20) -> DataFrame:
     spent = sales_df.groupBy(CUSTOMER_KEY).agg(
         F.sum("total_amount").alias("_spent"), F.count("transaction_id").alias("purchase_count"))

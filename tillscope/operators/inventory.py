@@ -9,7 +9,7 @@ snapshot history is reduced map-side rather than sorted in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.columns import day_range, safe_div
@@ -54,7 +54,8 @@ def inventory_turnover(sales_df: DataFrame, product_df: DataFrame, inventory_df:
     """Per product over [period_start, period_end]: cost of goods sold
     (unit_cost x quantity sold), average stock value (unit_cost x on hand,
     averaged over the snapshot dates in the period), turnover = COGS / average
-    stock value and days of inventory = period days / turnover."""
+    stock value and days of inventory = period days / turnover. Every product
+    stays; without a snapshot in the period its stock and turnover are NULL."""
     lo, hi = F.to_date(F.lit(period_start)), F.to_date(F.lit(period_end))
     sold = sales_df.where(day_range(sales_df, "transaction_date", period_start, period_end)).groupBy("product_id") \
         .agg(F.sum("quantity").cast("long").alias("units_sold"))
@@ -62,7 +63,7 @@ def inventory_turnover(sales_df: DataFrame, product_df: DataFrame, inventory_df:
         .groupBy("product_id", "snapshot_date").agg(F.sum("quantity_on_hand").cast("long").alias("__oh")) \
         .groupBy("product_id").agg(F.avg("__oh").alias("avg_units_on_hand"))
     cost = product_df.select("product_id", "unit_cost")
-    j = cost.join(inv, "product_id", "inner").join(sold, "product_id", "left")
+    j = cost.join(inv, "product_id", "left").join(sold, "product_id", "left")
     j = j.withColumns({
         "cogs": F.col("unit_cost") * F.coalesce(F.col("units_sold"), F.lit(0)),
         "avg_stock_value": F.col("unit_cost") * F.col("avg_units_on_hand"),
@@ -73,13 +74,38 @@ def inventory_turnover(sales_df: DataFrame, product_df: DataFrame, inventory_df:
                                                                                        F.col("turnover"))))
 
 
+def recent_daily_quantity(sales_df: DataFrame, window_days: int = 30) -> DataFrame:
+    """Per product: its last sale day and the average daily quantity over the sale
+    days among the ``window_days`` + 1 days that end on it.
+
+    The days of a product are summed first; then only those near its last day
+    are kept and averaged (no running window over every product-day)."""
+    daily = sales_df.groupBy("product_id", F.to_date("transaction_date").alias("sale_date")) \
+        .agg(F.sum("quantity").cast("long").alias("_q"))
+    last = F.max("sale_date").over(Window.partitionBy("product_id"))
+    near = daily.withColumn("last_sale_date", last) \
+        .where(F.col("sale_date") >= F.date_sub("last_sale_date", window_days))
+    return near.groupBy("product_id", "last_sale_date").agg(
+        safe_div(F.sum("_q"), F.count("_q")).alias("avg_daily_quantity"))
+
+
+def stock_cover(sales_df: DataFrame, inventory_df: DataFrame, window_days: int = 30) -> DataFrame:
+    """Days of stock left: latest available stock / recent average daily quantity
+    (``recent_daily_quantity``). NULL when the product has no sales."""
+    return _cover(recent_daily_quantity(sales_df, window_days), inventory_df)
+
+
 def stock_cover_days(velocity_df: DataFrame, inventory_df: DataFrame, window_days: int = 30) -> DataFrame:
-    """Days of stock left: latest available stock / latest trailing average daily
-    quantity (from ``sales_velocity``). NULL when the product has no sales."""
+    """``stock_cover`` from an already computed ``sales_velocity`` table."""
     col = f"avg_daily_quantity_{window_days}d"
     rate = velocity_df.groupBy("product_id").agg(F.max_by(F.col(col), F.col("sale_date")).alias("avg_daily_quantity"),
                                                  F.max("sale_date").alias("last_sale_date"))
+    return _cover(rate, inventory_df)
+
+
+def _cover(rate: DataFrame, inventory_df: DataFrame) -> DataFrame:
     stock = stock_levels(inventory_df).select("product_id", "quantity_available")
     out = stock.join(rate, "product_id", "left")
-    return out.withColumn("stock_cover_days", safe_div("quantity_available", F.when(
-        F.col("avg_daily_quantity") > 0, F.col("avg_daily_quantity"))))
+    cover = safe_div("quantity_available", F.when(F.col("avg_daily_quantity") > 0, F.col("avg_daily_quantity")))
+    return out.select("product_id", "quantity_available", "avg_daily_quantity", "last_sale_date",
+                      cover.alias("stock_cover_days"))

@@ -36,25 +36,43 @@ def null_profile(df: DataFrame, max_null_fraction: float | None = None,
     cols = df.columns
     wide = df.agg(F.count(F.lit(1)).alias("__total"),
                   *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"__n{i}") for i, c in enumerate(cols)])
-    stack = ", ".join(f"'{c}', __n{i}" for i, c in enumerate(cols))
-    long = wide.selectExpr("__total", f"stack({len(cols)}, {stack}) AS (column_name, null_count)")
-    frac = F.when(F.col("__total") > 0, F.col("null_count") / F.col("__total")).otherwise(F.lit(0.0))
-    return long.select("column_name", F.col("null_count").cast("long").alias("null_count"),
-                       frac.alias("null_fraction"), (frac <= F.lit(bound)).alias("passed"))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"__n{i}").cast("long").alias("null_count"),
+                     F.when(F.col("__total") > 0, F.col(f"__n{i}") / F.col("__total")).otherwise(F.lit(0.0))
+                     .alias("null_fraction")) for i, c in enumerate(cols)]
+    return wide.select(F.inline(F.array(*rows))).withColumn("passed", F.col("null_fraction") <= F.lit(bound))
+
+
+def _fingerprint(refs: Sequence[Column]) -> list[Column]:
+    """96 bits of a row; a hash skips NULLs, so which columns are NULL is part of the key."""
+    flags = [r.isNull() for r in refs]
+    return [F.xxhash64(*refs, *flags).alias("__h1"), F.hash(*flags, *refs).alias("__h2")]
+
+
+def _distinct_of_repeated(df: DataFrame, refs: Sequence[Column], groups: DataFrame) -> Column:
+    """Distinct rows among those whose fingerprint (a row of ``groups`` with its count ``__c``) occurs more
+    than once: the only rows that are compared in full."""
+    again = groups.where("__c > 1").select("__h1", "__h2")
+    full = df.select("*", *_fingerprint(refs)).join(again, ["__h1", "__h2"], "left_semi")
+    return full.groupBy(*refs).agg(F.lit(1).alias("__one")).agg(F.count(F.lit(1))).scalar()
 
 
 def duplicate_profile(df: DataFrame, subset: Sequence[str] | None = None,
                       threshold: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """total_records, distinct_records, duplicate_count, duplicate_fraction and
     passed (fraction <= threshold), over whole rows or a key subset, in one job
-    (``settings.duplicate_mode == "hash"`` groups on a 96-bit fingerprint)."""
+    (``settings.duplicate_mode == "hash"`` groups on a 96-bit fingerprint and
+    compares in full only the rows whose fingerprint occurs again: the same
+    exact answer, with few wide rows in a shuffle)."""
     bound = settings.duplicate_threshold if threshold is None else threshold
     keys = [F.col(f"`{k}`") for k in (list(subset) if subset else df.columns)]
-    if settings.duplicate_mode == "hash":
-        keys = [F.xxhash64(*keys).alias("__h1"), F.hash(*keys).alias("__h2")]
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
-    g = groups.agg(F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("total_records"),
-                   F.count(F.lit(1)).alias("distinct_records"))
+    hashed = settings.duplicate_mode == "hash"
+    groups = df.groupBy(*(_fingerprint(keys) if hashed else keys)).agg(F.count(F.lit(1)).alias("__c"))
+    total = F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("total_records")
+    if hashed:
+        g = groups.agg(total, F.count_if(F.col("__c") == 1).alias("__single")).select(
+            "total_records", (F.col("__single") + _distinct_of_repeated(df, keys, groups)).alias("distinct_records"))
+    else:
+        g = groups.agg(total, F.count(F.lit(1)).alias("distinct_records"))
     g = g.withColumn("duplicate_count", F.col("total_records") - F.col("distinct_records"))
     frac = F.when(F.col("total_records") > 0, F.col("duplicate_count") / F.col("total_records")).otherwise(0.0)
     return g.withColumn("duplicate_fraction", frac).withColumn("passed", F.col("duplicate_fraction") <= F.lit(bound))
@@ -94,24 +112,29 @@ def quality_report(df: DataFrame, dataset_name: str, required_columns: Sequence[
     aggregation first), and the record count, distinct count and every
     column's null count are sums over those groups weighted by group size.
     With ``settings.duplicate_mode == "hash"`` the grouping key is a 96-bit
-    row fingerprint instead of the full row (see ``Settings``).
+    row fingerprint instead of the full row, and only rows whose fingerprint
+    occurs again are compared in full (see ``Settings``).
     """
     cols = df.columns
     refs = [F.col(f"`{c}`") for c in cols]
     if settings.duplicate_mode == "hash":
         # group on a 96-bit row fingerprint; per-group null counts travel with
         # it, so the shuffle carries a few numbers per distinct row, not the row
-        groups = df.groupBy(F.xxhash64(*refs).alias("__h1"), F.hash(*refs).alias("__h2")).agg(
+        groups = df.groupBy(*_fingerprint(refs)).agg(
             F.count(F.lit(1)).alias("__c"),
             *[F.count_if(r.isNull()).alias(f"__g{i}") for i, r in enumerate(refs)])
+        distinct = F.count_if(F.col("__c") == 1)
         nulls = [F.coalesce(F.sum(f"__g{i}"), F.lit(0)).alias(f"__n{i}") for i in range(len(cols))]
     else:
         groups = df.groupBy(*refs).agg(F.count(F.lit(1)).alias("__c"))
+        distinct = F.count(F.lit(1))
         nulls = [F.coalesce(F.sum(F.when(r.isNull(), F.col("__c"))), F.lit(0)).alias(f"__n{i}")
                  for i, r in enumerate(refs)]
     wide = groups.agg(
         F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("__total"),
-        F.count(F.lit(1)).alias("__distinct"), *nulls)
+        distinct.alias("__distinct"), *nulls)
+    if settings.duplicate_mode == "hash":
+        wide = wide.withColumn("__distinct", F.col("__distinct") + _distinct_of_repeated(df, refs, groups))
     total = F.col("__total").cast("double")
 
     def row(check, column, observed, threshold, passed):
@@ -174,18 +197,14 @@ def validate_dataframe(df: DataFrame, dataset_name: str, required_columns: Seque
 
 # ---------------------------------------------------------------- cleaning
 
-def _keep_one(df: DataFrame, keys: list[str], order_by: Sequence[str] | None, count_col: str | None = None):
-    """Per key, the row with the smallest (order_by..., rest...) tuple (NULLs
-    first), as an aggregate; optionally with the number of rows of the key."""
+def _keep_one(df: DataFrame, keys: list[str], order_by: Sequence[str] | None):
+    """Per key, the row with the smallest (order_by..., rest...) tuple (NULLs first), as an aggregate."""
     order = [c for c in (order_by or []) if c not in keys]
     rest = [c for c in df.columns if c not in keys and c not in order]
     fields = order + rest
     packed = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(fields)])
-    aggs = [F.min(packed).alias("__best")] + ([F.count(F.lit(1)).alias(count_col)] if count_col else [])
-    g = df.groupBy(*keys).agg(*aggs)
-    extra = [count_col] if count_col else []
-    return g.select(*keys, *[F.col(f"__best.f{i}").alias(c) for i, c in enumerate(fields)], *extra) \
-        .select(*df.columns, *extra)
+    g = df.groupBy(*keys).agg(F.min(packed).alias("__best"))
+    return g.select(*keys, *[F.col(f"__best.f{i}").alias(c) for i, c in enumerate(fields)]).select(*df.columns)
 
 
 def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
@@ -226,6 +245,11 @@ def date_range_filter(df: DataFrame, date_column: str, min_date: str | None = No
     return df.where(day_range(df, date_column, min_date or None, max_date or None))
 
 
+def configured_date_range(df: DataFrame, date_column: str, settings: Settings = DEFAULT) -> DataFrame:
+    """Rows whose day lies in the configured range (``date_range_start`` to ``date_range_end``)."""
+    return date_range_filter(df, date_column, settings.date_range_start, settings.date_range_end)
+
+
 def date_range_report(df: DataFrame, date_column: str, min_date: str | None = None,
                       max_date: str | None = None) -> DataFrame:
     """One row: total, valid, invalid (out of range), null dates, range, passed."""
@@ -263,6 +287,14 @@ def sales_rules(settings: Settings = DEFAULT) -> dict[str, Column]:
     return rules
 
 
+def valid_sale(settings: Settings = DEFAULT) -> Column:
+    """A sale that meets every rule (an unknown outcome is a failure)."""
+    ok = F.lit(True)
+    for rule in sales_rules(settings).values():
+        ok = ok & rule
+    return F.coalesce(ok, F.lit(False))
+
+
 def flag_sales(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     amt, qty = F.col("total_amount"), F.col("quantity")
     return df.withColumns({
@@ -272,15 +304,13 @@ def flag_sales(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def silver_sales(df: DataFrame, settings: Settings = DEFAULT, order_by: Sequence[str] | None = None) -> DataFrame:
-    """Cleaned sales: one row per transaction id (deterministic), non-null keys,
-    valid amount (0 < amount < max) and quantity (0 < qty <= max); the two
-    flags are kept as columns."""
-    d = remove_duplicates(df, ["transaction_id"], order_by)
-    keys = F.lit(True)
-    for k in SALES_KEYS:
-        keys = keys & F.col(k).isNotNull()
-    flagged = flag_sales(d.where(keys), settings)
-    return flagged.where(F.col("is_valid_amount") & F.col("is_valid_quantity"))
+    """Cleaned sales: the rows with non-null keys, a valid amount (0 < amount < max)
+    and a valid quantity (0 < qty <= max), one per transaction id; the two flags
+    are kept as columns.
+
+    The rules come before the choice among the copies of an id, so an id with
+    any valid copy stays (and invalid rows are not shuffled)."""
+    return flag_sales(remove_duplicates(df.where(valid_sale(settings)), ["transaction_id"], order_by), settings)
 
 
 def reject_reasons(settings: Settings = DEFAULT, rules: dict[str, Column] | None = None) -> Column:
@@ -308,28 +338,26 @@ def reject_summary(rejected: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rejected_records"))
 
 
-def silver_reconciliation(bronze: DataFrame, silver: DataFrame | None = None, settings: Settings = DEFAULT,
-                          order_by: Sequence[str] | None = None) -> DataFrame:
-    """bronze_records, silver_records and records_filtered.
-
-    Without ``silver`` both counts come from one pass over the bronze rows:
-    the dedup aggregate also counts the rows of each transaction id, and the
-    silver rules are applied to the kept row."""
-    if silver is None:
-        kept = _keep_one(bronze, ["transaction_id"], order_by, "__rows")
-        ok = F.lit(True)
-        for k in SALES_KEYS:
-            ok = ok & F.col(k).isNotNull()
-        flags = flag_sales(kept, settings)
-        ok = ok & F.col("is_valid_amount") & F.col("is_valid_quantity")
-        g = flags.agg(F.coalesce(F.sum("__rows"), F.lit(0)).cast("long").alias("bronze_records"),
-                      F.count_if(F.coalesce(ok, F.lit(False))).alias("silver_records"))
-        return g.withColumn("records_filtered", F.col("bronze_records") - F.col("silver_records"))
-    b = bronze.agg(F.count(F.lit(1)).alias("bronze_records"))
-    # the silver count enters as a scalar subquery: two one-row aggregates, no join
-    sv = silver.agg(F.count(F.lit(1))).scalar()
-    return b.select("bronze_records", sv.alias("silver_records"),
-                    (F.col("bronze_records") - sv).alias("records_filtered"))
+def silver_reconciliation(bronze: DataFrame, silver: DataFrame | None = None, rejected: DataFrame | None = None,
+                          settings: Settings = DEFAULT) -> DataFrame:
+    """bronze_records = silver_records + duplicate_records + rejected_records, whether
+    they balance, and records_filtered (bronze less silver).
+
+    Without ``silver`` and ``rejected`` the counts come from one narrow pass over
+    the bronze rows (ids and rules). With them, the written tables are counted
+    and compared with what the bronze rows ask for."""
+    ids = bronze.select("transaction_id", valid_sale(settings).alias("__ok")).groupBy("transaction_id") \
+        .agg(F.count(F.lit(1)).alias("__rows"), F.count_if(F.col("__ok")).alias("__valid"))
+    g = ids.agg(F.coalesce(F.sum("__rows"), F.lit(0)).cast("long").alias("bronze_records"),
+                F.count_if(F.col("__valid") > 0).alias("__ids"),
+                F.coalesce(F.sum("__valid"), F.lit(0)).cast("long").alias("__good"))
+    count = lambda df, own: own if df is None else df.agg(F.count(F.lit(1))).scalar()
+    g = g.select("bronze_records", count(silver, F.col("__ids")).alias("silver_records"),
+                 (F.col("__good") - F.col("__ids")).alias("duplicate_records"),
+                 count(rejected, F.col("bronze_records") - F.col("__good")).alias("rejected_records"))
+    parts = F.col("silver_records") + F.col("duplicate_records") + F.col("rejected_records")
+    return g.withColumn("balanced", F.col("bronze_records") == parts) \
+        .withColumn("records_filtered", F.col("bronze_records") - F.col("silver_records"))
 
 
 def orphan_sales(sales_df: DataFrame, master_df: DataFrame, key: str = "customer_id") -> DataFrame:
@@ -343,16 +371,21 @@ def quality_metrics(sales_df: DataFrame, customer_df: DataFrame, product_df: Dat
     transaction ids), validity (% rows passing the value rules) and consistency
     (% rows whose customer and product exist), one row, in percent."""
     rules = sales_rules(settings)
-    valid = rules["valid_amount"] & rules["valid_quantity"]
-    cust = customer_df.select(F.col("customer_id").alias("__c")).distinct().withColumn("__hc", F.lit(1))
-    prod = product_df.select(F.col("product_id").alias("__p")).distinct().withColumn("__hp", F.lit(1))
-    j = sales_df.join(cust, sales_df["customer_id"] == cust["__c"], "left") \
-        .join(prod, sales_df["product_id"] == prod["__p"], "left")
-    nonnull = sum((F.count(F.col(k)) for k in SALES_KEYS), F.lit(0))
-    g = j.agg(F.count(F.lit(1)).alias("__n"), nonnull.alias("__nn"),
-              F.countDistinct("transaction_id").alias("__d"),
-              F.count_if(F.coalesce(valid, F.lit(False))).alias("__v"),
-              F.count_if(F.col("__hc").isNotNull() & F.col("__hp").isNotNull()).alias("__m"))
+    valid = F.coalesce(rules["valid_amount"] & rules["valid_quantity"], F.lit(False))
+    # the rows are reduced to (customer, product) before the masters are joined; ids are counted apart
+    pairs = sales_df.groupBy("customer_id", "product_id").agg(
+        F.count(F.lit(1)).alias("__n"), sum((F.count(F.col(k)) for k in SALES_KEYS), F.lit(0)).alias("__nn"),
+        F.count_if(valid).alias("__v"))
+    cust = customer_df.select(F.col("customer_id").alias("__c")).distinct()
+    prod = product_df.select(F.col("product_id").alias("__p")).distinct()
+    j = pairs.join(cust, pairs["customer_id"] == cust["__c"], "left") \
+        .join(prod, pairs["product_id"] == prod["__p"], "left")
+    both = F.col("__c").isNotNull() & F.col("__p").isNotNull()
+    zero = F.lit(0)
+    g = j.agg(F.coalesce(F.sum("__n"), zero).alias("__n"), F.coalesce(F.sum("__nn"), zero).alias("__nn"),
+              F.coalesce(F.sum("__v"), zero).alias("__v"),
+              F.coalesce(F.sum(F.when(both, F.col("__n"))), zero).alias("__m"))
+    g = g.withColumn("__d", sales_df.agg(F.countDistinct("transaction_id")).scalar())
     n = F.col("__n").cast("double")
     return g.select(
         (F.try_divide(F.col("__nn").cast("double"), n * len(SALES_KEYS)) * 100.0).alias("completeness_pct"),

@@ -54,15 +54,11 @@ def _partition_offsets(cp: DataFrame, weight: Column | None = None) -> DataFrame
     return counts.select("_rk_pid", "_rk_n", F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_off"))
 
 
-def global_row_number(df: DataFrame, order_cols: Sequence[Column], name: str = "row_number",
-                      strategy: str = "distributed") -> DataFrame:
+def global_row_number(df: DataFrame, order_cols: Sequence[Column], name: str = "row_number") -> DataFrame:
     """``row_number() OVER (ORDER BY order_cols)`` without a single-task window.
 
     Give a unique last sort column for a deterministic numbering.
-    ``strategy="window"`` is the plain window for inputs known to be small.
     """
-    if strategy == "window":
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)))
     cp = _sorted_checkpoint(df, order_cols)
     offsets = F.broadcast(_partition_offsets(cp).select("_rk_pid", "_rk_off"))
     j = cp.join(offsets, F.shiftright(cp["_rk_id"], 33) == offsets["_rk_pid"])

@@ -1,9 +1,12 @@
 """Bronze -> silver -> gold batch job.
 
 * bronze: raw copies of sales, customers and products (overwrite, or
-  append-only with ingest metadata);
-* silver: sales cleaned by the rule list (deterministic dedup, non-null
-  keys, valid amount and quantity), master data passed through;
+  append-only with ingest metadata); records that did not parse go to the
+  quarantine with their raw text;
+* silver: sales cleaned by the rule list (non-null keys, valid amount and
+  quantity, one valid row per id), master data passed through; rows that break
+  a rule go to the quarantine with the names of the rules. A reconciliation
+  row compares the written counts: bronze = silver + duplicates + rejects;
 * gold: customer lifetime value, product performance, monthly trends and
   regional performance, computed from the silver tables *read back*: each
   layer is a written table, which cuts the lineage (a lost executor only
@@ -17,6 +20,7 @@ row counts read back from the written layers.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -28,6 +32,7 @@ from tillscope.operators import quality as Q
 from tillscope.operators import sales as S
 from tillscope.session import fresh_path
 from tillscope.settings import DEFAULT, Settings
+from tillscope.sources.loaders import CORRUPT, split_corrupt
 from tillscope.sources.sinks import append_metrics, observed_write, read_table
 
 
@@ -38,6 +43,9 @@ class Layout:
     def path(self, layer: str, table: str) -> str:
         return f"{self.base.rstrip('/')}/{layer}/{table}"
 
+    def quarantine(self, table: str) -> str:
+        return f"{self.base.rstrip('/')}/_quarantine/{table}"
+
     @property
     def metrics(self) -> str:
         return f"{self.base.rstrip('/')}/_metrics"
@@ -46,13 +54,22 @@ class Layout:
 GOLD_TABLES = ("customer_analytics", "product_performance", "monthly_trends", "regional_performance")
 
 
-def regional_summary(sales_df: DataFrame) -> DataFrame:
+def regional_summary(sales_df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Gold regional table (revenue, transactions, customers, average, per customer)."""
-    return S.regional_performance(sales_df).select(
+    return S.regional_performance(sales_df, settings).select(
         "region", "total_revenue", "transaction_count", "unique_customers", "avg_order_value",
         "revenue_per_customer")
 
 
+def gold_tables(sales: DataFrame, customers: DataFrame, products: DataFrame,
+                settings: Settings = DEFAULT) -> dict[str, DataFrame]:
+    """The gold tables over the silver ones."""
+    return {"customer_analytics": C.calculate_clv(sales, customers),
+            "product_performance": S.product_performance(sales, products, settings),
+            "monthly_trends": S.monthly_mom(sales, settings),
+            "regional_performance": regional_summary(sales, settings)}
+
+
 def run(spark: SparkSession, sales: DataFrame, customers: DataFrame, products: DataFrame,
         base: str | None = None, fmt: str = "parquet", settings: Settings = DEFAULT,
         pipeline: str = "retail_medallion", customer_buckets: int | None = None,
@@ -69,7 +86,7 @@ def run(spark: SparkSession, sales: DataFrame, customers: DataFrame, products: D
     layers themselves run in order.
     """
     lay = Layout(base or fresh_path(spark, "medallion"))
-    tag = lay.base.rstrip("/").rsplit("-", 1)[-1].replace("-", "_")
+    tag = uuid.uuid4().hex
     metrics = []
     tables = {}
 
@@ -91,13 +108,23 @@ def run(spark: SparkSession, sales: DataFrame, customers: DataFrame, products: D
             for f in [pool.submit(j) for j in jobs]:
                 f.result()
 
-    layer(lambda: put(sales, "bronze", "sales"),
-          lambda: put(customers, "bronze", "customers"),
-          lambda: put(products, "bronze", "products"))
+    def bronze(df: DataFrame, table: str):
+        good, bad = split_corrupt(df)
+        put(good, "bronze", table)
+        if CORRUPT in df.columns:
+            metrics.append((pipeline, f"quarantine.corrupt_{table}", *reversed(observed_write(
+                bad.withColumn("quarantined_at", F.current_timestamp()), lay.quarantine(f"corrupt_{table}"), fmt))))
+
+    layer(lambda: bronze(sales, "sales"),
+          lambda: bronze(customers, "customers"),
+          lambda: bronze(products, "products"))
 
     bucketed = bool(customer_buckets)
     b_sales = read_table(spark, lay.path("bronze", "sales"), fmt)
+    _, rejects = Q.split_quarantine(b_sales, settings)
     layer(lambda: put(Q.silver_sales(b_sales, settings), "silver", "sales", bucketed=bucketed),
+          lambda: metrics.append((pipeline, "quarantine.rejected_sales", *reversed(observed_write(
+              rejects.withColumn("quarantined_at", F.current_timestamp()), lay.quarantine("rejected_sales"), fmt)))),
           lambda: put(read_table(spark, lay.path("bronze", "customers"), fmt), "silver", "customers",
                       bucketed=bucketed),
           lambda: put(read_table(spark, lay.path("bronze", "products"), fmt), "silver", "products"))
@@ -105,15 +132,20 @@ def run(spark: SparkSession, sales: DataFrame, customers: DataFrame, products: D
     s_sales = get("silver", "sales")
     s_cust = get("silver", "customers")
     s_prod = get("silver", "products")
-    layer(lambda: put(C.calculate_clv(s_sales, s_cust), "gold", "customer_analytics"),
-          lambda: put(S.product_performance(s_sales, s_prod, settings), "gold", "product_performance"),
-          lambda: put(S.monthly_mom(s_sales), "gold", "monthly_trends"),
-          lambda: put(regional_summary(s_sales), "gold", "regional_performance"))
+    gold = gold_tables(s_sales, s_cust, s_prod, settings)
+    layer(*[lambda t=t, df=df: put(df, "gold", t) for t, df in gold.items()])
 
     append_metrics(spark, lay.metrics, metrics)
     return lay, layer_counts(spark, lay, fmt)
 
 
+def reconciliation(spark: SparkSession, lay: Layout, fmt: str = "parquet", settings: Settings = DEFAULT) -> DataFrame:
+    """The written layers compared: bronze rows = silver rows + duplicates + quarantined rejects."""
+    return Q.silver_reconciliation(read_table(spark, lay.path("bronze", "sales"), fmt),
+                                   read_table(spark, lay.path("silver", "sales"), fmt),
+                                   read_table(spark, lay.quarantine("rejected_sales"), fmt), settings)
+
+
 def layer_counts(spark: SparkSession, lay: Layout, fmt: str = "parquet") -> DataFrame:
     """(layer, table_name, record_count) read back from the written tables."""
     parts = []
@@ -154,12 +186,14 @@ def main(argv: list[str] | None = None) -> list[dict]:
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("tillscope-medallion").getOrCreate()
     shared_dir(spark)
-    lay, counts = run(spark, L.load_sales(spark, args.sales, args.format),
-                      L.load_customers(spark, args.customers, args.format),
-                      L.load_products(spark, args.products, args.format),
+    kw = {"keep_corrupt": True}
+    lay, counts = run(spark, L.load_sales(spark, args.sales, args.format, **kw),
+                      L.load_customers(spark, args.customers, args.format, **kw),
+                      L.load_products(spark, args.products, args.format, **kw),
                       base=args.out, customer_buckets=args.customer_buckets)
     rows = [r.asDict() for r in counts.collect()]
-    print(json.dumps({"base": lay.base, "counts": rows}))
+    balance = reconciliation(spark, lay).first().asDict()
+    print(json.dumps({"base": lay.base, "counts": rows, "sales": balance}))
     return rows
 
 

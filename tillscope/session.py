@@ -32,15 +32,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must name shared storage; only when it is unset
-    (tests, a laptop) do we create a private folder and register it, so that
-    ``DataFrame.checkpoint`` and our layer tables land in the same place.
+    On a cluster this setting must name shared storage, and an unset one is an
+    error: executors could not see each other's files in a local folder. Only a
+    local master (tests, a laptop) gets a private folder, which is registered so
+    that ``DataFrame.checkpoint`` and our layer tables land in the same place.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder shared by all executors (master {master})")
         d = tempfile.mkdtemp(prefix="tillscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     jsc = spark.sparkContext._jsc.sc()
@@ -49,17 +53,29 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tillscope/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unique location below the shared folder for one written table."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/tillscope/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unique location below the shared folder (and this application's part of it) for one written table."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_intermediates(spark: SparkSession) -> bool:
+    """Delete every table this application wrote below the shared folder (``fresh_path``).
+
+    For the end of a job: results that still read these tables must be written elsewhere first.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-__all__ = ["build_session", "shared_dir", "fresh_path", "local_path"]
+__all__ = ["build_session", "shared_dir", "fresh_path", "drop_intermediates", "local_path"]
 
 
 def materialize(df, name: str = "stage"):

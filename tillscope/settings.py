@@ -32,17 +32,14 @@ class Settings:
     # RFM
     rfm_probabilities: tuple = (0.2, 0.4, 0.6, 0.8)
     rfm_approx_accuracy: int = 100  # relative error 0.01, as approxQuantile(..., 0.01)
-    # how a full (unbounded) ranking is computed: "distributed" sorts with a
-    # range exchange and prefix-sums partition counts; "window" uses one
-    # un-partitioned window (only for inputs known to be small)
-    rank_strategy: str = "distributed"
     # distinct counts: "exact" (countDistinct, an extra shuffle on the counted
     # column) or "approx" (HyperLogLog++ sketch merged map-side, relative
     # standard deviation approx_distinct_rsd) for very large inputs
     distinct_mode: str = "exact"
     # whole-row duplicate detection in the quality report: "exact" groups on
-    # every column (a full-width shuffle); "hash" groups on two independent
-    # 64/32-bit row hashes (96 bits, collision odds ~n^2 / 2^97)
+    # every column (a full-width shuffle); "hash" groups on a 96-bit row
+    # fingerprint and compares in full only the rows whose fingerprint occurs
+    # again (the same result; the wide rows are filtered before their shuffle)
     duplicate_mode: str = "exact"
     approx_distinct_rsd: float = 0.01
     extra: dict = field(default_factory=dict)

@@ -18,6 +18,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+# fixed values: names, types and nullability of the four source files (the file contract)
 SALES_SCHEMA = StructType([
     StructField("transaction_id", StringType(), False),
     StructField("transaction_date", TimestampType(), False),
@@ -79,18 +80,20 @@ SCHEMAS = {
 }
 
 
-def conform(df: DataFrame, schema: StructType, rename: dict | None = None) -> DataFrame:
+def conform(df: DataFrame, schema: StructType, rename: dict | None = None, extra: list | None = None) -> DataFrame:
     """Cast and order the columns of ``df`` to ``schema``; missing columns become NULL.
 
     ``rename`` maps source names to schema names (e.g. a master-data
-    ``customer_segment`` to ``market_segment``). Extra columns are dropped.
+    ``customer_segment`` to ``market_segment``); where the source has both, the
+    schema's own name goes first and the other fills its NULLs. Columns outside
+    the schema are dropped, except the ``extra`` expressions.
     """
     rename = rename or {}
-    src = {rename.get(c, c): c for c in df.columns}
+    have = set(df.columns)
     cols = []
     for f in schema.fields:
-        if f.name in src:
-            cols.append(F.col(f"`{src[f.name]}`").cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+        sources = [f.name] + [src for src, to in rename.items() if to == f.name and src != f.name]
+        found = [F.col(f"`{c}`").cast(f.dataType) for c in sources if c in have]
+        value = F.coalesce(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast(f.dataType)
+        cols.append(value.alias(f.name))
+    return df.select(*cols, *(extra or []))

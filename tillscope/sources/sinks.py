@@ -9,6 +9,7 @@ lost executor retries its task without duplicating output.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ METRICS_SCHEMA = StructType([
 def observed_write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                    partition_by: list[str] | None = None, **kw) -> tuple[int, float]:
     """Write ``df`` and count its rows in the same job (``observe``), return (rows, seconds)."""
-    obs = Observation(f"rows_{int(time.time() * 1e6)}")
+    obs = Observation(f"rows_{uuid.uuid4().hex}")
     t0 = time.time()
     write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, fmt, mode, partition_by, **kw)
     return int(obs.get["rows"]), time.time() - t0

@@ -11,8 +11,13 @@
   checkpoint below the shared folder (exactly-once file commit; a restarted
   or failed run resumes from the checkpoint), ``availableNow`` trigger.
 
-Append output mode everywhere: a window is emitted once, when the watermark
-passes its end, so the state holds only the windows that can still change.
+* ``run_bounded``       runs an aggregation over a feed that ends and returns
+  all of its windows, also those still open when the feed ends.
+
+An endless feed uses append mode: a window is emitted once, when the watermark
+passes its end, so the state holds only the windows that can still change. The
+windows after the last watermark are then not in the sink yet; for a feed that
+ends, use ``run_bounded``.
 """
 
 from __future__ import annotations
@@ -100,3 +105,31 @@ def run_available(df: DataFrame, name: str = "stream", path: str | None = None,
     if q.exception() is not None:
         raise q.exception()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def run_bounded(df: DataFrame, name: str = "stream", path: str | None = None,
+                checkpoint: str | None = None) -> DataFrame:
+    """All windows of an aggregation over a feed that ends, as a batch DataFrame.
+
+    Complete mode: every micro-batch writes the whole result table as of its
+    end to a folder of its own (written anew if the batch is retried), and the
+    last one is returned. The state is the result, one row per window and key.
+    A feed without any row gives an empty result."""
+    spark = df.sparkSession
+    path = path or fresh_path(spark, f"{name}-out")
+    checkpoint = checkpoint or fresh_path(spark, f"{name}-ckpt")
+    last: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        out = f"{path}/batch={number}"
+        batch.write.mode("overwrite").parquet(out)
+        last[:] = [out]
+
+    q = (df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(last[0])
