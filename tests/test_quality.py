@@ -12,7 +12,7 @@ def test_validate_dataframe_report(sample_sales):
     df, rep = Q.validate_dataframe(sample_sales, "sales", ["transaction_id", "customer_id"], CFG)
     assert df is sample_sales
     assert set(rep["checks"]) == {"record_count", "required_columns", "null_values", "duplicates", "data_types"}
-    assert rep["checks"]["record_count"]["total_records"] == 5
+    assert rep["checks"]["record_count"]["total_records"] == 6
     assert rep["overall_status"] == "PASSED"
     _, rep2 = Q.validate_dataframe(sample_sales, "sales", ["nope"], CFG)
     assert rep2["overall_status"] == "FAILED"
@@ -42,10 +42,10 @@ def test_dedup_is_deterministic(spark):
 
 
 def test_date_range(sample_sales):
-    kept = Q.date_range_filter(sample_sales, "transaction_date", "2024-01-01", "2024-01-31")
+    kept = Q.date_range_filter(sample_sales, "transaction_date", "2023-03-01", "2023-03-31")
     assert kept.count() == 3
-    rep = Q.date_range_report(sample_sales, "transaction_date", "2024-01-01", "2024-01-31").first()
-    assert (rep["valid_records"], rep["invalid_records"], rep["passed"]) == (3, 2, False)
+    rep = Q.date_range_report(sample_sales, "transaction_date", "2023-03-01", "2023-03-31").first()
+    assert (rep["valid_records"], rep["invalid_records"], rep["passed"]) == (3, 3, False)
 
 
 def test_date_range_keeps_whole_last_day_and_reports_nulls(spark):
@@ -99,7 +99,7 @@ def test_anomaly_flags_spike(spark):
 
 
 def test_hashed_report_equals_exact(spark, duplicate_rows):
-    df = duplicate_rows.unionByName(spark.createDataFrame([("TXN003", None, None)], duplicate_rows.schema))
+    df = duplicate_rows.unionByName(spark.createDataFrame([("d3", None, None)], duplicate_rows.schema))
     exact = {(r["check"], r["column_name"]): (r["observed"], r["passed"]) for r in Q.quality_report(df, "d").collect()}
     hashed = {(r["check"], r["column_name"]): (r["observed"], r["passed"])
               for r in Q.quality_report(df, "d", settings=Settings(duplicate_mode="hash")).collect()}
@@ -126,5 +126,40 @@ def test_custom_rules(spark):
 def test_single_pass_reconciliation(spark):
     bronze = _dirty(spark)
     a = Q.silver_reconciliation(bronze).first().asDict()
-    b = Q.silver_reconciliation(bronze, Q.silver_sales(bronze)).first().asDict()
-    assert a == b == {"bronze_records": 9, "silver_records": 2, "records_filtered": 7}
+    silver, (_, bad) = Q.silver_sales(bronze), Q.split_quarantine(bronze)
+    b = Q.silver_reconciliation(bronze, silver, bad).first().asDict()
+    assert a == b == {"bronze_records": 9, "silver_records": 2, "duplicate_records": 1, "rejected_records": 6,
+                      "balanced": True, "records_filtered": 7}
+    assert not Q.silver_reconciliation(bronze, silver.limit(1), bad).first()["balanced"]
+
+
+def test_an_id_with_a_valid_copy_stays(spark):
+    rows = [("T1", None, "P1", 1, 10.0), ("T1", "C1", "P1", 1, 10.0), ("T2", "C1", "P1", 1, 0.0),
+            ("T2", "C1", "P1", 1, 80.0), ("T3", "C1", "P1", 0, 5.0), (None, "C1", "P1", 1, 5.0)]
+    df = spark.createDataFrame(rows, "transaction_id string, customer_id string, product_id string, "
+                                     "quantity int, total_amount double")
+    got = {r["transaction_id"]: (r["customer_id"], r["total_amount"]) for r in Q.silver_sales(df).collect()}
+    assert got == {"T1": ("C1", 10.0), "T2": ("C1", 80.0)}
+    r = Q.silver_reconciliation(df).first()
+    assert (r["silver_records"], r["duplicate_records"], r["rejected_records"]) == (2, 0, 4)
+
+
+def test_fingerprint_tells_swapped_nulls_apart(spark):
+    df = spark.createDataFrame([(None, "x"), ("x", None), ("x", None)], "a string, b string")
+    for mode in ("exact", "hash"):
+        d = Q.duplicate_profile(df, settings=Settings(duplicate_mode=mode)).first()
+        assert (d["distinct_records"], d["duplicate_count"]) == (2, 1)
+        rep = {r["check"]: r["observed"] for r in Q.quality_report(df, "d", settings=Settings(duplicate_mode=mode))
+               .collect() if r["column_name"] is None}
+        assert abs(rep["duplicates"] - 1 / 3) < 1e-12
+
+
+def test_null_profile_takes_any_column_name(spark):
+    df = spark.createDataFrame([(None, 1), ("b", None)], "`it's` string, `a.b` int")
+    assert {r["column_name"]: r["null_count"] for r in Q.null_profile(df).collect()} == {"it's": 1, "a.b": 1}
+
+
+def test_configured_date_range(spark):
+    df = spark.createDataFrame([(dt.datetime(2022, 12, 31),), (dt.datetime(2023, 1, 1),)], "d timestamp")
+    assert Q.configured_date_range(df, "d").count() == 1
+    assert Q.configured_date_range(df, "d", Settings(date_range_start="2022-01-01")).count() == 2

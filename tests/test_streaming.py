@@ -68,3 +68,15 @@ def test_stream_static_enrichment(spark, sample_customers):
                                               cust), "t-enrich")
     got = {r["transaction_id"]: r["market_segment"] for r in out.collect()}
     assert got == {"a": "Retail", "b": None}
+
+
+def test_bounded_run_returns_open_windows_too(spark):
+    from decimal import Decimal as D
+    b1 = [("a", t(1, 1), 1, D("10.00"), "web"), ("b", t(3, 1), 1, D("5.00"), "web")]
+    b2 = [("c", t(1, 2), 2, D("99.00"), "web"), ("d", t(6, 1), 2, D("1.00"), "web")]
+    feed = _batch_files(spark, [b1, b2])
+    out = ST.run_bounded(ST.stream_revenue(_stream(spark, feed), "1 day", None, "1 day"), "t-bounded")
+    assert {r["window_start"].day: (r["revenue"], r["transaction_count"]) for r in out.collect()} == {
+        1: (109.0, 2), 3: (5.0, 1), 6: (1.0, 1)}
+    s = ST.run_bounded(ST.stream_sessions(_stream(spark, feed), "2 hours", "1 hour"), "t-bounded-s").collect()
+    assert sorted((r["customer_id"], r["revenue"]) for r in s) == [(1, 5.0), (1, 10.0), (2, 1.0), (2, 99.0)]

@@ -22,21 +22,24 @@ from tillscope.functions.columns import as_date, day_range, safe_div
 from tillscope.operators.customers import CUSTOMER_KEY, customer_fact
 from tillscope.settings import DEFAULT, Settings
 
-FEATURES = ("recency_days", "tenure_days", "frequency", "monetary_value", "avg_amount", "days_between")
+#: None of them grows just because the cut-off is later: a model of one window holds for the next.
+FEATURES = ("recency_days", "days_between", "overdue", "purchase_rate", "avg_amount")
 
 
 def churn_features(sales_df: DataFrame, cutoff) -> DataFrame:
-    """Per customer with sales up to the cut-off day: recency, tenure, frequency, revenue, average, spacing."""
+    """Per customer with sales up to the cut-off day: days since the last sale, mean days between sales, the one
+    relative to the other, sales a day since the first, and the average amount."""
     past = sales_df.where(day_range(sales_df, "transaction_date", None, cutoff))
     day = as_date(cutoff)
     f = customer_fact(past).where(F.col(CUSTOMER_KEY).isNotNull())
-    tenure = F.datediff(day, "first_purchase_date").cast("double")
+    n = F.col("transaction_count").cast("double")
+    recency = F.datediff(day, "last_purchase_date").cast("double")
+    between = F.datediff("last_purchase_date", "first_purchase_date") / F.greatest(n - 1, F.lit(1.0))
+    since_first = F.datediff(day, "first_purchase_date").cast("double")
     return f.select(
-        CUSTOMER_KEY, F.datediff(day, "last_purchase_date").cast("double").alias("recency_days"),
-        tenure.alias("tenure_days"), F.col("transaction_count").cast("double").alias("frequency"),
-        F.coalesce(F.col("_revenue").cast("double"), F.lit(0.0)).alias("monetary_value"),
-        F.coalesce(safe_div("_revenue", "_amount_count"), F.lit(0.0)).alias("avg_amount"),
-        F.coalesce(safe_div(tenure, "transaction_count"), F.lit(0.0)).alias("days_between"))
+        CUSTOMER_KEY, recency.alias("recency_days"), between.alias("days_between"),
+        (recency / (between + 1)).alias("overdue"), (n / (since_first + 1)).alias("purchase_rate"),
+        F.coalesce(safe_div("_revenue", "_amount_count"), F.lit(0.0)).alias("avg_amount"))
 
 
 def churn_labels(sales_df: DataFrame, cutoff, horizon_days: int | None = None,
