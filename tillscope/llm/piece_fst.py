@@ -37,7 +37,7 @@ from tillscope.llm.lattice import MARK
 from tillscope.llm.lm_score import piece_model
 
 #: Chunks kept at most; the memo then starts anew.
-MEMO = 400_000
+MEMO = 800_000
 CHUNK = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
