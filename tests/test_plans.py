@@ -81,7 +81,11 @@ def test_fingerprint_mode_shuffles_hashes_not_rows(spark):
     mode = df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     txt = df._jdf.queryExecution().explainString(mode)
     parts = re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", txt)
-    assert parts and all("transaction_id" not in p for p in parts)
+    assert any("__h1" in p for p in parts)
+    # whole rows are shuffled only behind the semi join with repeated fingerprints (the subquery)
+    main, _, sub = txt.partition("===== Subqueries =====")
+    assert all("transaction_id" not in p for p in re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", main))
+    assert "LeftSemi" in sub
 
 
 def _final_plan(df):
