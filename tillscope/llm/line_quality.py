@@ -23,6 +23,9 @@ from tillscope.llm.common import SPACE_CHARS, SPACE_CLASS, free_name
 MAX_LOSS = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
+#: A line is noise with so many marks, if they are a tenth of it; and short below so many words.
+LEAST_MARKS = 3
+SHORT_LINE = 8
 SYMBOLS = "#*$%&|<>"
 #: Sentence ends, and closing marks that may follow them.
 SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
@@ -57,11 +60,15 @@ def _count_of(line: Column, chars: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """True for a line that is navigation, boilerplate or not punctuated as prose."""
-    navigation = (_count_of(line, "|»›•") >= 2)
+    """True for a line that is navigation, boilerplate or not punctuated as prose.
+
+    A long line without a sentence end stays (a cut-off paragraph); a short one
+    is a heading, a button or a list entry.
+    """
+    navigation = _count_of(line, "|»›•") >= 2
     marks = _count_of(line, SYMBOLS + "!^~=_")
-    noisy = marks * 10 > F.length(line)
-    unfinished = ~line.rlike(SENTENCE_END)
+    noisy = (marks >= LEAST_MARKS) & (marks * 10 > F.length(line))
+    unfinished = ~line.rlike(SENTENCE_END) & (_n_words(line) < SHORT_LINE)
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
     return navigation | noisy | unfinished | boilerplate
 
@@ -91,41 +98,46 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 5, F.lit(0)).otherwise(_bound(hashes, covered))
 
 
-def _judged(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with one struct column ``name``: counts, verdicts and the cleaned text."""
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: _trim(x) != "")
-    good = F.filter(lines, lambda x: ~line_fails(x))
-
-    def measures(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"),
-                        _repeat_words(w).cast("long").alias("n_repeat_words"))
+def _judgement() -> Column:
+    """One struct for a row: counts, verdicts and the cleaned text.
 
-    def per_line(x: Column) -> Column:
-        return F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-                        F.size(x).cast("long").alias("n_lines"))
-
-    step = docs.withColumn(name, F.struct(
-        _bound(_words(t), measures).alias("w"), _bound(lines, per_line).alias("l"),
-        F.array_join(good, "\n").alias("clean"),
+    Every part that is used more than once is bound by a one-element transform,
+    so a row's words, lines and windows are worked out once.
+    """
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = F.transform(F.filter(F.split(t, "\n"), lambda x: _trim(x) != ""),
+                        lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails")))
+
+    def of_words(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"))
+
+    def of_lines(x: Column) -> Column:
+        lost = F.aggregate(F.filter(x, lambda y: y["fails"]), F.lit(0), lambda a, y: a + _n_words(y["line"]))
+        distinct = F.size(F.array_distinct(F.transform(x, lambda y: y["line"])))
+        return F.struct((F.size(x) - distinct).cast("long").alias("n_dup_lines"), lost.cast("long").alias("lost_words"),
+                        F.array_join(F.transform(F.filter(x, lambda y: ~y["fails"]), lambda y: y["line"]), "\n")
+                        .alias("clean"))
+
+    def verdict(q: Column) -> Column:
+        n, repeated = q["w"]["n_words"], q["w"]["n_repeat_words"]
+        base_failed = (n < MIN_WORDS) | (repeated * 100 > n * MAX_REPEAT_PCT)
+        return F.struct(
+            n.alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
+            q["l"]["n_dup_lines"].alias("n_dup_lines"), repeated.alias("n_repeat_words"),
+            base_failed.alias("base_failed"),
+            (~base_failed & (q["l"]["lost_words"] <= n * MAX_LOSS)).alias("kept"),
+            (n - q["l"]["lost_words"]).alias("clean_words"), q["l"]["clean"].alias("clean"))
+
+    return _bound(F.struct(
+        _bound(_words(t), of_words).alias("w"), _bound(lines, of_lines).alias("l"),
         F.length(F.translate(t, SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols")))
-    q = F.col(name)
-    n, rep = q["w"]["n_words"], q["w"]["n_repeat_words"]
-    base_failed = (n < MIN_WORDS) | (rep * 100 > n * MAX_REPEAT_PCT)
-    kept_words = _n_words(q["clean"]).cast("long")
-    kept = ~base_failed & (kept_words >= n * (1 - MAX_LOSS))
-    return step.withColumn(name, F.struct(
-        n.alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
-        q["l"]["n_dup_lines"].alias("n_dup_lines"), rep.alias("n_repeat_words"), base_failed.alias("base_failed"),
-        kept.alias("kept"), kept_words.alias("clean_words"), q["clean"].alias("clean")))
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols")), verdict)
 
 
 def line_quality(docs: DataFrame) -> DataFrame:
     """One row per document: the base counts, base_failed, kept and clean_words."""
-    return _judged(docs.select("doc_id", "text"), "q").select(
-        "doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words",
-        "q.base_failed", "q.kept", "q.clean_words")
+    # a generator is evaluated once for a row, whatever columns and filters stand above it
+    return docs.select("doc_id", F.inline(F.array(_judgement()))).drop("clean")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
@@ -134,12 +146,12 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     ``n_chars``, where the input has it, is set to the length of the cleaned text.
     """
     q = free_name(docs, "_quality")
+    kept = docs.select("*", F.explode(F.filter(F.array(_judgement()), lambda x: x["kept"])).alias(q))
     clean = F.col(f"{q}.clean")
     out = {"text": clean}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length(clean).cast(docs.schema["n_chars"].dataType)
-    return _judged(docs, q).where(F.col(f"{q}.kept")) \
-        .select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
