@@ -1,21 +1,37 @@
 """Ids of whole texts by a public BPE tokenizer that drops white space, in Arrow batches.
 
-The tokenizer treats what stands between white space independently, so a chunk
-is encoded by the library once and its ids are kept in a bounded memo; a text's
-ids are then gathered by numpy. The ids equal those of encoding the whole text.
+The tokenizer treats what stands between white space independently, so a chunk's
+ids are kept in a bounded memo and a text's ids are gathered by numpy. A chunk of
+plain characters (ASCII and Latin-1 letters, for which the file's normaliser and
+splitter are a lower-casing and one pattern) is cut into the tokenizer's words,
+and the library's model encodes each distinct word once; any other chunk goes
+through the whole library. The ids equal those of encoding the whole text.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 
 from tillscope.llm.common import runs
 
-#: Chunks kept at most; the memo then starts anew.
-MEMO = 300_000
+#: Chunks, and words, kept at most; a memo then starts anew.
+MEMO, WORD_MEMO = 700_000, 400_000
 END = b"\n"  # cannot be a chunk: stands for the end id
+#: Chunks that the two patterns cover, and the tokenizer's words in them once lower-cased.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|"
+                  "[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies use for each byte: itself if printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
 class ChunkEncoder:
@@ -23,7 +39,10 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id, self.memo = end_id, memo
+        self.words: dict[str, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -31,12 +50,35 @@ class ChunkEncoder:
         self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.flat = np.array([self.end_id], np.uint32)
 
+    def of_word(self, word: str) -> list[int]:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > WORD_MEMO:
+                self.words.clear()
+            letters = "".join(map(self.letters.__getitem__, word.encode()))
+            found = self.words[word] = [t.id for t in self.model.tokenize(letters)]
+        return found
+
     def learn(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks],
-                                                 add_special_tokens=False)
-        ids = [e.ids for e in found]
+        ids: list[list[int]] = []
+        other: list[tuple[int, str]] = []
+        together = b" ".join(chunks)
+        added = [t for t in self.added if t.encode() in together]  # hardly ever any
+        for c in chunks:
+            s = c.decode("utf-8", "replace")
+            if PLAIN.fullmatch(s) and not (added and any(t in s for t in added)):
+                words = WORD.findall(s.lower())
+                ids.append(self.of_word(words[0]) if len(words) == 1 else
+                           list(chain.from_iterable(map(self.of_word, words))))
+            else:
+                other.append((len(ids), s))
+                ids.append([])
+        if other:
+            found = self.tokenizer.encode_batch_fast([s for _, s in other], add_special_tokens=False)
+            for (k, _), e in zip(other, found):
+                ids[k] = e.ids
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         self.place.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
