@@ -91,7 +91,8 @@ def same_bytes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.col("first.doc_id").alias("doc_id")),
         F.struct(F.lit(1).alias("side"), F.col("other.doc_id").alias("doc_id")))).alias("x")) \
         .select("digest", "x.side", F.col("x.doc_id").alias("wanted"))
-    texts = id_text(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted"))) \
+    # a merge join at every size: the wanted ids grow with the corpus
+    texts = id_text(docs).join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted"))) \
         .where(text_digest(F.col("text")) == F.col("digest")) \
         .select("digest", "side", normal_text(F.col("text")).cast("binary").alias("bytes"))
     equal = texts.groupBy("digest").agg(
