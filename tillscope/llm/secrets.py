@@ -4,7 +4,7 @@ The base patterns give assignments, access keys and hex runs. Beyond them, a
 string near a sensitive word is a candidate; its novelty is the number of bytes
 by which it lengthens the compressed form of the code around it, with a
 compressor primed by a dictionary of the identifiers that are most frequent in
-the corpus's sensitive documents. Words and names compress to little; a random
+the corpus's sensitive documents, counted outside candidates and base values. Words and names compress to little; a random
 string costs nearly its own length and is reported (kind ``novel``).
 
 Spans are code points, end exclusive, of the whole match.
@@ -61,23 +61,40 @@ def _sensitive_text(low: bytes) -> bool:
     return any(h in low for h in _SENSITIVE_HINTS)
 
 
+def _without_spans(raw: bytes, low: bytes, text: str) -> str:
+    """The text with every candidate-like run and base value left out: a secret must not prime its own test."""
+    parts, done = [], 0
+    for start, end in sorted([(v, e) for _, _, e, v in base_spans(raw, low, text)]
+                             + [m.span() for m in CANDIDATE.finditer(text)]):
+        if start > done:
+            parts.append(text[done:start])
+        done = max(done, end)
+    return " ".join([*parts, text[done:]])
+
+
 def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        df: Counter = Counter()
+        words: dict[bytes, list[str]] = {}
         for t in text_bytes(b.column(0)):
-            if _sensitive_text(t.lower()) and SENSITIVE.search(t.decode("utf-8", "replace")):
-                df.update(set(IDENTIFIER.findall(t)))
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in df], pa.string()),
-                                          "df": pa.array(df.values(), pa.int64())})
+            low = t.lower()
+            if not _sensitive_text(low):
+                continue
+            text, digest = t.decode("utf-8", "replace"), hashlib.sha256(t).digest()
+            if digest not in words and SENSITIVE.search(text):
+                words[digest] = [w.decode() for w in set(IDENTIFIER.findall(_without_spans(t, low, text).encode()))]
+        yield pa.RecordBatch.from_pydict({"digest": pa.array(words, pa.binary()),
+                                          "words": pa.array(words.values(), pa.list_(pa.string()))})
 
 
 def identifier_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> bytes:
     """The most frequent identifiers of all documents with a sensitive word, the most frequent last.
 
-    Counted over the whole corpus; ``words`` bounds what reaches the driver.
+    Counted over the whole corpus, once for each distinct text, outside candidates
+    and base values; ``words`` bounds what reaches the driver.
     """
-    top = id_text(docs).select("text").mapInArrow(_identifiers, "word string, df long") \
-        .groupBy("word").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "word").limit(words).collect()
+    top = id_text(docs).select("text").mapInArrow(_identifiers, "digest binary, words array<string>") \
+        .groupBy("digest").agg(F.first("words").alias("words")).select(F.explode("words").alias("word")) \
+        .groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(words).collect()
     return " ".join(r["word"] for r in reversed(top)).encode()
 
 
