@@ -58,6 +58,21 @@ def test_novel_strings_are_reported_and_words_are_not():
         assert X.find_spans(plain.encode(), novelty)[1] == []
 
 
+def test_a_repeated_secret_is_reported_and_redacted_everywhere(spark):
+    secret, apart = "zX9vQ2kL8mN4pR7tW1yB6cD3fG5hJ0aS", "some words between the lines "
+    texts = [f"Authorization: Bearer {secret}\nAuthorization: Bearer {secret}\n" * 2,
+             f"auth_key={secret}\nbearer {secret} and signature ={secret}/",
+             *[f"auth {secret} {(apart * 9)[:n]} auth {secret} end" for n in range(140, 201, 4)]]
+    novelty = X.Novelty(b"authorization bearer signature " * 20)
+    for text in texts:
+        spans = X.find_spans(text.encode(), novelty)[1]
+        assert [secret in text[s:e] for s, _, e, _ in spans] == [True] * text.count(secret)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = X.redact(docs)
+    assert out.count() == len(texts) and out.where(F.col("text").contains(secret)).count() == 0
+    assert X._without_copies(f"a {secret} {secret[:20]}! {secret[:15]}", secret) == f"a {' ' * 32} {' ' * 20}! {secret[:15]}"
+
+
 def test_a_secret_is_reported_whatever_the_table(spark, odd):
     secret = "qWmZrTkLpXvBnHsGdJfCyRtQwZxKmPvL"
     text = f"Authorization: Bearer {secret} then words"

@@ -2,10 +2,11 @@
 
 The base patterns give assignments, access keys and hex runs. Beyond them, a
 string near a sensitive word is a candidate; its novelty is the number of bytes
-by which it lengthens the compressed form of the code around it, with a
-compressor primed by a dictionary of the identifiers that are most frequent in
-the corpus's sensitive documents, counted outside candidates and base values. Words and names compress to little; a random
-string costs nearly its own length and is reported (kind ``novel``).
+by which it lengthens the compressed form of the code around it (copies of
+itself left out), with a compressor primed by a dictionary of the identifiers
+that are most frequent in the corpus's sensitive documents, counted outside
+candidates and base values. Words and names compress to little; a random string
+costs nearly its own length and is reported (kind ``novel``).
 
 Spans are code points, end exclusive, of the whole match.
 
@@ -49,6 +50,8 @@ _SENSITIVE_HINTS = (b"key", b"auth", b"bearer", b"credential", b"passphrase", b"
 #: Candidates begin within REACH characters after the word; CONTEXT characters around it prime the compressor.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH, CONTEXT = 48, 200
+#: So many characters of a candidate are a copy of it when they stand in its context too (a candidate's least length).
+COPY = 16
 #: A candidate is reported when it adds so many compressed bytes, and so many for each of its own.
 LEAST_BYTES, LEAST_SHARE = 10, 0.55
 #: The identifier dictionary: the most frequent identifiers, so many at most.
@@ -135,6 +138,29 @@ def base_spans(raw: bytes, low: bytes, text: str) -> list[tuple[int, int, int, i
     return spans
 
 
+def _without_copies(around: str, candidate: str) -> str:
+    """``around`` with each stretch of COPY or more characters of ``candidate`` blanked, at the same length."""
+    parts, done = [], 0
+    for m in CANDIDATE.finditer(around):
+        for i in range(m.start(), m.end() - COPY + 1):
+            if around[i:i + COPY] in candidate:
+                if i > done:
+                    parts.append(around[done:i])
+                parts.append(" " * (i + COPY - max(i, done)))
+                done = i + COPY
+    return "".join([*parts, around[done:]])
+
+
+def _context(text: str, start: int, end: int) -> str:
+    """CONTEXT characters on both sides of a candidate, without copies of it or of parts of it.
+
+    Copies that reach over the far ends are seen too: COPY - 1 characters more are looked at.
+    """
+    reach, candidate = CONTEXT + COPY - 1, text[start:end]
+    return _without_copies(text[max(0, start - reach):start], candidate)[-CONTEXT:] + " " \
+        + _without_copies(text[end:end + reach], candidate)[:CONTEXT]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], novelty: Novelty) -> list[tuple[int, int, int, int]]:
     """Incompressible candidates that no base span touches."""
     found: dict[tuple[int, int], int] = {}
@@ -145,8 +171,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], novelty: Novel
             at = c.span()
             if at in found or not _varied(c[0]) or any(s < at[1] and at[0] < e for s, _, e, _ in base):
                 continue
-            around = text[max(0, at[0] - CONTEXT):at[0]] + " " + text[at[1]:at[1] + CONTEXT]
-            found[at] = novelty(around, c[0])
+            found[at] = novelty(_context(text, *at), c[0])
     return [(s, 3, e, s) for (s, e), n in found.items() if n >= LEAST_BYTES and n >= LEAST_SHARE * (e - s)]
 
 
