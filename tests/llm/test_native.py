@@ -65,6 +65,23 @@ def test_lines_go_first_then_documents(spark):
     assert out[1]["n_chars"] == len(good.strip())
 
 
+def test_long_lines_stay_whatever_they_name(spark):
+    prose = ("The paper wrote at length about what the town had seen that year, and people read it with care. "
+             "A second part told how the mill by the river was sold, who bought it and why nobody spoke of the price. ")
+    french = "Le maire a dit « oui » au projet, puis « non » à la suite, et chacun est parti chez soi le soir venu."
+    stay = [prose + "Its privacy policy and its terms of use were new, so readers had to click here.",
+            prose + "In the shell one writes a | b | c for it, with • and » and › as marks.",
+            french, "Er sagte »ja« und sie »nein«, dann ›ja‹ und ›nein‹, und alle gingen am Abend nach Hause."]
+    go = ["Home | News | Sport | About us | Contact.", "Home » News » Sport.", "Start › Office › Chairs and tables.",
+          "• one • two • three words here.", "« Previous | 1 | 2 | 3 | Next ».", "All rights reserved.",
+          "We use cookies on this site.", "Privacy policy. Terms of use."]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(stay + go)], "doc_id long, text string")
+    fails = lines.select("doc_id", L.line_fails(F.col("text")).alias("fails")).collect()
+    assert {r["doc_id"] for r in fails if r["fails"]} == set(range(len(stay), len(stay + go)))
+    docs = L.clean_documents(lines).collect()
+    assert sorted(r["text"] for r in docs) == sorted(stay)  # single-line documents, kept as they are
+
+
 def test_clean_documents_keep_the_columns(odd):
     out = L.clean_documents(odd)
     assert out.columns == odd.columns and out.dtypes == odd.dtypes and out.where("kept != 'x'").count() == 0

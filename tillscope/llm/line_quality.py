@@ -1,7 +1,8 @@
 """Line-first quality rules (built-in functions only).
 
-Each line is judged first: navigation (several separators), boilerplate (fixed
-phrases of web pages) and punctuation (no sentence end, or mostly symbols and
+Each line is judged first: navigation (several separators, one for every few
+words), boilerplate (fixed phrases of web pages that make up half of the line or
+more) and punctuation (no sentence end, or mostly symbols and
 shouting marks). Failing lines are removed; a document that loses more than
 ``MAX_LOSS`` of its words to removed lines, or fails the base rules (too few
 words, too many repeated 5-word windows), is rejected. All of it is one
@@ -27,6 +28,9 @@ MAX_REPEAT_PCT = 20
 LEAST_MARKS = 3
 SHORT_LINE = 8
 SYMBOLS = "#*$%&|<>"
+#: A line is navigation with so many separators, if no more than so many words come to each.
+LEAST_SEPARATORS = 2
+WORDS_PER_SEPARATOR = 6
 #: Sentence ends, and closing marks that may follow them.
 SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 #: Fixed phrases of web page furniture, in lower case.
@@ -63,13 +67,19 @@ def line_fails(line: Column) -> Column:
     """True for a line that is navigation, boilerplate or not punctuated as prose.
 
     A long line without a sentence end stays (a cut-off paragraph); a short one
-    is a heading, a button or a list entry.
+    is a heading, a button or a list entry. Separators and phrases are held
+    against the length of the line, so a paragraph that quotes or names them stays.
     """
-    navigation = _count_of(line, "|»›•") >= 2
+    # a closing quotation mark is no separator: « » and » « (and the single ones) are counted off in pairs
+    separators = (_count_of(line, "|•") + F.greatest(F.lit(0), _count_of(line, "»") - _count_of(line, "«"))
+                  + F.greatest(F.lit(0), _count_of(line, "›") - _count_of(line, "‹")))
+    navigation = (_count_of(line, "|»›•") >= LEAST_SEPARATORS) & (separators >= LEAST_SEPARATORS) \
+        & (_n_words(line) <= separators * WORDS_PER_SEPARATOR)
     marks = _count_of(line, SYMBOLS + "!^~=_")
     noisy = (marks >= LEAST_MARKS) & (marks * 10 > F.length(line))
     unfinished = ~line.rlike(SENTENCE_END) & (_n_words(line) < SHORT_LINE)
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
+    phrases, low = "|".join(BOILERPLATE), F.lower(_trim(line))
+    boilerplate = low.rlike(phrases) & (F.length(F.regexp_replace(low, phrases, "")) * 2 <= F.length(low))
     return navigation | noisy | unfinished | boilerplate
 
 
