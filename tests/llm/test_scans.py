@@ -58,6 +58,18 @@ def test_novel_strings_are_reported_and_words_are_not():
         assert X.find_spans(plain.encode(), novelty)[1] == []
 
 
+def test_one_case_strings_and_capitals_as_word_starts():
+    novelty = X.Novelty(b"authorization bearer configuration manager connection settings " * 20)
+    for text, secret in (("password is qhzkvwmtxbjrlpfd here", "qhzkvwmtxbjrlpfd"),
+                         ("auth QHZKVWMTXBJRLPFDGYCN then", "QHZKVWMTXBJRLPFDGYCN"),
+                         ("clientSecret => 'zX9vQ2kL8mN4pR7tW1yB6cD3'", "zX9vQ2kL8mN4pR7tW1yB6cD3"),
+                         ("accessToken zX9vQ2kL8mN4pR7tW1yB6cD3", "zX9vQ2kL8mN4pR7tW1yB6cD3")):
+        assert [(k, text[s:e]) for s, k, e, _ in X.find_spans(text.encode(), novelty)[1]] == [(3, secret)]
+    for plain in ("auth configurationmanagerconnection", "auth 2024-01-15/2024-02-17", "auth ----------------",
+                  "unsecret zX9vQ2kL8mN4pR7tW1yB6cD3", "BROKEN zX9vQ2kL8mN4pR7tW1yB6cD3"):
+        assert X.find_spans(plain.encode(), novelty)[1] == []
+
+
 def test_a_repeated_secret_is_reported_and_redacted_everywhere(spark):
     secret, apart = "zX9vQ2kL8mN4pR7tW1yB6cD3fG5hJ0aS", "some words between the lines "
     texts = [f"Authorization: Bearer {secret}\nAuthorization: Bearer {secret}\n" * 2,

@@ -41,8 +41,8 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _LONG_HEX = re.compile(rb"[0-9a-f]{%d}" % LEAST_HEX)
 
-#: Words that make a context sensitive, as whole words in either case.
-SENSITIVE = re.compile(r"(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|bearer|"
+#: Words that make a context sensitive, as whole words in either case; a capital after a small letter begins a word.
+SENSITIVE = re.compile(r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|bearer|"
                        r"credentials?|passphrase|passwords?|passwd|pwd|secrets?|signature|tokens?)(?![A-Za-z])",
                        re.IGNORECASE | re.ASCII)
 _SENSITIVE_HINTS = (b"key", b"auth", b"bearer", b"credential", b"passphrase", b"passw", b"pwd", b"secret",
@@ -50,6 +50,8 @@ _SENSITIVE_HINTS = (b"key", b"auth", b"bearer", b"credential", b"passphrase", b"
 #: Candidates begin within REACH characters after the word; CONTEXT characters around it prime the compressor.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH, CONTEXT = 48, 200
+#: A candidate has a letter: numbers, dates and rules of dashes are none.
+_LETTER = re.compile(r"[A-Za-z]")
 #: So many characters of a candidate are a copy of it when they stand in its context too (a candidate's least length).
 COPY = 16
 #: A candidate is reported when it adds so many compressed bytes, and so many for each of its own.
@@ -117,12 +119,6 @@ class Novelty:
         return len(self.compressor.compress(c + b" " + candidate.encode())) - len(self.compressor.compress(c))
 
 
-def _varied(s: str) -> bool:
-    """Digits and letters, or both cases after the first letter: not a plain word or number."""
-    digit, letter = any(c.isdigit() for c in s), any(c.isalpha() for c in s)
-    return letter and (digit or (not s[1:].islower() and not s.isupper() and not s.istitle()))
-
-
 def base_spans(raw: bytes, low: bytes, text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) of each base match."""
     spans = []
@@ -169,7 +165,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], novelty: Novel
             if c.start() > m.end() + REACH:
                 break
             at = c.span()
-            if at in found or not _varied(c[0]) or any(s < at[1] and at[0] < e for s, _, e, _ in base):
+            if at in found or not _LETTER.search(c[0]) or any(s < at[1] and at[0] < e for s, _, e, _ in base):
                 continue
             found[at] = novelty(_context(text, *at), c[0])
     return [(s, 3, e, s) for (s, e), n in found.items() if n >= LEAST_BYTES and n >= LEAST_SHARE * (e - s)]
