@@ -39,6 +39,20 @@ def test_rare_words_decide_the_index_entries():
     assert index.scan(C.words_of(b"under the mit license under the mit license"))[0] == [0, 4]
 
 
+def test_a_notice_whose_rarest_words_are_altered_is_found():
+    for label, at in (("gpl-2", 3), ("bsd", 2), ("mpl-2", 8)):
+        _, notice, keys = C.NOTICES[at]
+        assert C.NOTICES[at][0] == label
+        outside = [w for w in dict.fromkeys(notice.split()) if w not in " ".join(keys).split()][:3]
+        df = {w: 90 for w in notice.split()} | {w: 80 for w in outside}  # a little rarer than the others
+        index = C.Index(df, 100)
+        rare = sorted(set(notice.split()), key=lambda w: -index.idf[w.encode()])[:C.ENTRIES]
+        assert set(rare) == set(outside)
+        altered = " ".join("altered" if w in rare else w for w in notice.split())
+        _, _, labels, score = index.scan(C.words_of(altered.encode()))
+        assert label in labels and C.LEAST_SCORE <= score < 1
+
+
 def test_secret_base_matches_brute_force(odd, rows):
     got = X.scan_secrets(odd).collect()
     assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == Counter(

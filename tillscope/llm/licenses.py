@@ -1,8 +1,10 @@
 """Licence scans by a positional index of rare words.
 
 Templates are short licence notices. Document frequencies of their words over
-the whole corpus give each word's IDF, and the rarest words of each template
-are its entries in the index: (template, position in it). A file is looked up
+the whole corpus give each word's IDF, and the rarest words of each template and
+of each of its mandatory key phrases are its entries in the index: (template,
+position in it). A notice without a key phrase cannot count, so none that can is
+missed for altered words elsewhere. A file is looked up
 by those words only; each hit proposes a start for its template, and the other
 template words are intersected by their positions relative to that start.
 Proposals of one template whose starts lie close together (a few inserted or
@@ -67,7 +69,7 @@ NOTICES = [
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license",
      ["creative commons attribution sharealike"]),
 ]
-#: Index entries of a notice: its rarest distinct words, at most so many.
+#: Index entries of a notice: so many of its rarest distinct words, besides the rarest of each key phrase.
 ENTRIES = 3
 #: Least share of a notice's IDF weight in place, and words by which starts of one copy may differ.
 LEAST_SCORE = 0.6
@@ -106,7 +108,10 @@ class Index:
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.weights = []
         for k, t in enumerate(self.templates):
-            rare = sorted(set(t.words), key=lambda w: (-self.idf[w], w))[:1 if t.base else ENTRIES]
+            order = sorted(set(t.words), key=lambda w: (-self.idf[w], w))
+            rare = set(order[:1 if t.base else ENTRIES])
+            if not t.base:
+                rare.update(next(w for w in order if w in key) for key in t.keys)
             for p, w in enumerate(t.words):
                 if w in rare and not (t.base and t.words.index(w) != p):
                     self.postings.setdefault(w, []).append((k, p))
