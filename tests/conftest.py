@@ -88,7 +88,3 @@ def sample_products(spark):
 def duplicate_rows(spark):
     return spark.createDataFrame([("d1", "K-ada", 7.5), ("d2", "K-cy", 20.0), ("d1", "K-ada", 7.5)],
                                  "transaction_id string, customer_id string, amount double")
-
-
-def rows_by(df, key):
-    return {r[key]: r.asDict() for r in df.collect()}
