@@ -1,37 +1,107 @@
 """Ids of whole texts by a public BPE tokenizer that drops white space, in Arrow batches.
 
-The tokenizer treats what stands between white space independently, so a chunk's
-ids are kept in a bounded memo and a text's ids are gathered by numpy. A chunk of
-plain characters (ASCII and Latin-1 letters, for which the file's normaliser and
-splitter are a lower-casing and one pattern) is cut into the tokenizer's words,
-and the library's model encodes each distinct word once; any other chunk goes
-through the whole library. The ids equal those of encoding the whole text.
+The tokenizer treats what stands between white space (a chunk) independently.
+Chunks of plain characters (ASCII and Latin-1 letters, for which the file's
+normaliser and splitter are a lower-casing and one pattern) are cut into the
+tokenizer's words by numpy over the bytes of a block of texts; any other chunk is
+one segment and goes through the whole library. Arrow's dictionary encoding finds
+a block's distinct segments, each is looked up once, and only new ones are
+tokenized; a text's ids are gathered by numpy. The ids equal those of encoding
+the whole text.
+
+The segments' ids are kept in a memo bounded by its bytes; long segments, which
+hardly come again, are not kept.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from tillscope.llm.common import runs
-
-#: Chunks, and words, kept at most; a memo then starts anew.
-MEMO, WORD_MEMO = 700_000, 400_000
-END = b"\n"  # cannot be a chunk: stands for the end id
-#: Chunks that the two patterns cover, and the tokenizer's words in them once lower-cased.
-PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|"
-                  "[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
-
-
-def _byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies use for each byte: itself if printable, else one from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+from tillscope.llm.shingles import is_space
+
+#: Bytes of segments and ids kept at most, about; the memo then starts anew. Longer segments are not kept.
+MEMO, LONGEST = 96 << 20, 64
+#: What an entry of the memo takes besides its bytes and ids, about.
+ENTRY = 150
+#: Bytes of text encoded at once, about (a longer text is encoded alone).
+ENCODED = 4 << 20
+#: Words given to the library at once.
+AT_ONCE = 4096
+
+# classes of bytes: a letter run and a run of other characters are words, a digit is one by itself
+_SPACE, _LETTER, _DIGIT, _OTHER, _LEAD, _ODD = range(6)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[33:127] = _OTHER
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[np.flatnonzero(is_space(np.arange(256, dtype=np.uint8)))] = _SPACE
+_CLASS[0xC3] = _LEAD
+#: Second bytes of the Latin-1 letters (after C3): all but the signs of multiplication and division.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: What the splitter takes after an apostrophe that begins a run of other characters. Fixed values.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def segments(data: bytes, added: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with plain chunks lower-cased, where segments start (white space is one too), and which are odd chunks."""
+    raw = np.frombuffer(data, np.uint8)
+    kind = _CLASS[raw]
+    odd = kind == _ODD
+    lead = np.flatnonzero(kind == _LEAD)
+    low = _LOWER[raw]
+    if len(lead):
+        second = lead + 1
+        fine = (second < len(raw)) & _SECOND[raw[np.minimum(second, len(raw) - 1)]]
+        kind[lead] = _LETTER
+        kind[second[fine]] = _LETTER
+        odd[lead[~fine]] = True
+        odd[second[fine]] = False
+        capital = second[fine][raw[second[fine]] < 0x9F]  # C3 80 to C3 9E, without the sign
+        low[capital] += 32
+    start = np.empty(len(raw), bool)
+    start[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == _DIGIT
+    # a lone apostrophe before a letter: some endings belong to it
+    mark = np.flatnonzero(raw == 39)
+    mark = mark[start[mark] & (mark + 1 < len(raw))]
+    mark = mark[kind[mark + 1] == _LETTER]
+    for end in ENDINGS if len(mark) else ():
+        at = mark[mark + len(end) < len(raw)]
+        for k, c in enumerate(end.encode(), 1):
+            at = at[low[at + k] == c]
+        start[at + 1] = False
+        past = at + 1 + len(end)
+        start[past[past < len(raw)]] = True
+    for token in added:
+        i = data.find(token)
+        while i >= 0:
+            odd[i] = True
+            i = data.find(token, i + 1)
+    odd_at = np.flatnonzero(odd)
+    if not len(odd_at):
+        return low, np.flatnonzero(start), np.zeros(0, np.int64)
+    # chunks with an odd byte stay as they are, whole
+    space = kind == _SPACE
+    edge = np.flatnonzero(np.diff(space, prepend=True))  # starts of chunks and of the space after each
+    first = edge[::2]
+    last = np.append(edge[1::2], len(raw))[:len(first)]
+    which = np.unique(np.searchsorted(first, odd_at, "right") - 1)
+    inside = runs(first[which], last[which] - first[which])
+    low[inside] = raw[inside]
+    start[inside] = False
+    start[first[which]] = True
+    starts = np.flatnonzero(start)
+    return low, starts, np.searchsorted(starts, first[which])
 
 
 class ChunkEncoder:
@@ -39,68 +109,83 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.end_id, self.memo = end_id, memo
-        self.words: dict[str, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.place = {END: 0}
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.place: dict[bytes, int] = {}
+        # the end id, then no ids (white space)
+        self.starts, self.lengths = np.zeros(2, np.int64), np.array([1, 0])
         self.flat = np.array([self.end_id], np.uint32)
-
-    def of_word(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > WORD_MEMO:
-                self.words.clear()
-            letters = "".join(map(self.letters.__getitem__, word.encode()))
-            found = self.words[word] = [t.id for t in self.model.tokenize(letters)]
-        return found
-
-    def learn(self, chunks: list[bytes]) -> None:
-        ids: list[list[int]] = []
-        other: list[tuple[int, str]] = []
-        together = b" ".join(chunks)
-        added = [t for t in self.added if t.encode() in together]  # hardly ever any
-        for c in chunks:
-            s = c.decode("utf-8", "replace")
-            if PLAIN.fullmatch(s) and not (added and any(t in s for t in added)):
-                words = WORD.findall(s.lower())
-                ids.append(self.of_word(words[0]) if len(words) == 1 else
-                           list(chain.from_iterable(map(self.of_word, words))))
-            else:
-                other.append((len(ids), s))
-                ids.append([])
-        if other:
-            found = self.tokenizer.encode_batch_fast([s for _, s in other], add_special_tokens=False)
-            for (k, _), e in zip(other, found):
-                ids[k] = e.ids
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        self.place.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, new])
+        self.held = 0
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of plain words: joined by spaces, a word ends where a token does that can end one."""
+        flat = []
+        for i in range(0, len(words), AT_ONCE):
+            together = b" ".join(words[i:i + AT_ONCE]).decode()
+            flat.append(np.array(self.tokenizer.encode_batch_fast([together], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(flat or [np.zeros(0, np.uint32)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not end every word with a token of its own")
+        return ids, np.diff(ends, prepend=0)
+
+    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of other chunks, each through the whole library."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks],
+                                                                 add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _learn(self, new: list[bytes], odd: set[bytes]) -> None:
+        """Ids of new segments, put behind those known."""
+        blank = [w for w in new if w.isspace()]
+        self.place.update(dict.fromkeys(blank, 1))
+        new = [w for w in new if not w.isspace()] if blank else new
+        words, chunks = ([w for w in new if w not in odd], [w for w in new if w in odd]) if odd else (new, [])
+        (a, na), (b, nb) = self._words(words), self._chunks(chunks)
+        lengths = np.concatenate([na, nb])
+        begin = len(self.flat) + np.cumsum(lengths) - lengths
+        self.place.update(zip(words + chunks, range(len(self.starts), len(self.starts) + len(new))))
+        self.starts, self.lengths = np.concatenate([self.starts, begin]), np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, a, b])
+        self.held += sum(map(len, new)) + 4 * (len(a) + len(b)) + ENTRY * len(new)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the offsets of the texts in them."""
-        chunks: list[bytes] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            chunks += t.split()
-            chunks.append(END)
-            ends[i + 1] = len(chunks)
-        if len(self.place) > self.memo:
+        data = b"\n".join(texts)
+        added = [t for t in self.added if t in data]  # hardly ever any
+        low, starts, odd_at = segments(data, added)
+        offsets = np.append(starts, len(low)).astype(np.int32 if len(low) < 2**31 else np.int64)
+        kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
+        listed = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low)])
+        coded = listed.dictionary_encode()
+        code, values = coded.indices.to_numpy(), coded.dictionary
+        distinct = values.to_numpy(zero_copy_only=False).tolist()
+        odd = {distinct[k] for k in np.unique(code[odd_at]).tolist()}
+        if self.held > self.memo:
             self.reset()
-        new = list(set(chunks).difference(self.place))
+        known = list(map(self.place.get, distinct))
+        new = [s for s, k in zip(distinct, known) if k is None]
         if new:
-            self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+            self._learn(new, odd)
+            known = [self.place[s] if k is None else k for s, k in zip(distinct, known)]
+        place = np.array(known, np.int64)
+        for s in new:
+            if len(s) > LONGEST:
+                del self.place[s]
+        # the end id stands behind each text, where the next one's separator is
+        edges = np.cumsum([len(t) + 1 for t in texts]) - 1
+        at = np.insert(place[code], np.searchsorted(starts, edges), 0) if len(texts) else np.zeros(0, np.int64)
         lengths = self.lengths[at]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[runs(self.starts[at], lengths)], upto[ends]
+        ends = np.flatnonzero(at == 0) + 1
+        return self.flat[runs(self.starts[at], lengths)], upto[np.append(0, ends)]
 
 
 _ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}

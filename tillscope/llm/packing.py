@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tillscope.llm.common import blocks, id_text, text_bytes
-from tillscope.llm.encode import encoder, word_bpe
+from tillscope.llm.encode import ENCODED, encoder, word_bpe
 
 TIERS = (2048, 1024, 512, 256)
 WINDOW = TIERS[0]
@@ -168,7 +168,7 @@ def _pieces(path: str, end_id: int):
 
         for b in batches:
             ids_of, texts = b.column(0).to_pylist(), text_bytes(b.column(1))
-            for i, j in blocks(texts):
+            for i, j in blocks(texts, ENCODED):
                 ids, offsets = enc.encode(texts[i:j])
                 ids = ids.astype("<u4", copy=False)
                 doc_ids += ids_of[i:j]

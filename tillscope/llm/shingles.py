@@ -19,6 +19,11 @@ _BYTE[65:91] = _BYTE[97:123]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space of the contracts."""
+    return _SPACE[data]
+
+
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word (white space separated, A-Z lower-cased) and the byte where it starts."""
     b = np.frombuffer(text, np.uint8)

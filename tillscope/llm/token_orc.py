@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillscope.llm.common import blocks, id_text, text_bytes
-from tillscope.llm.encode import encoder, word_bpe
+from tillscope.llm.encode import ENCODED, encoder, word_bpe
 from tillscope.session import fresh_path
 
 END_ID = 1
@@ -44,7 +44,7 @@ def _encode_rows(path: str, end_id: int):
         part, start, enc = TaskContext.get().partitionId(), 0, encoder(path, end_id)
         for b in batches:
             texts = text_bytes(b.column(1))
-            for i, j in blocks(texts):
+            for i, j in blocks(texts, ENCODED):
                 ids, offsets = enc.encode(texts[i:j])
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
