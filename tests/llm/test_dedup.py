@@ -119,3 +119,35 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + k] == 1000 for k in range(50))
     assert got[5000] == got[4999] == 4999 and len(got) == 201 + 50 + 2
+
+
+def test_texts_of_one_id_are_dropped_each_by_its_own(spark):
+    a = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, a), (2, a + " more"), (2, "a text unlike any other one here"), (3, a + " more words"), (4, None),
+            (5, "five different words are here"), (5, None), (None, a)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _gone string, tag string")
+    out = N.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(
+        [rows[0], rows[2], rows[4], rows[5], rows[6], rows[7]])
+
+
+def test_fragments_larger_than_a_task_takes(spark, unique, unique_rows, monkeypatch):
+    """Every fragment is dealt out by shingle, and some."""
+    want = brute.components(unique_rows)
+    for largest in (0, 1500):
+        monkeypatch.setattr(N, "LARGEST", largest)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_classes(unique).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("fragments", [32, 1000, 65536, 65537, 1_000_003, 2**31 - 1])
+def test_shingles_come_back_from_their_fragments(fragments):
+    h = np.random.default_rng(4).integers(0, 2**64 - 1, 3000, dtype=np.uint64, endpoint=True)
+    h[:3] = 0, 2**64 - 1, 2**63
+    f = N._fragment(h, fragments)
+    low = N._unpack(np.frombuffer(N._pack(h), np.uint8))
+    back = np.array([N._whole(low[i:i + 1], int(f[i]), fragments)[0] for i in range(len(h))])
+    assert len(set(back.tolist())) == len(set(h.tolist()))
+    if fragments > 65536:
+        assert (back == h).all()
