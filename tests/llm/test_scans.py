@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import brute
@@ -123,6 +124,47 @@ def test_identifiers_are_counted_once_for_each_distinct_text(spark):
     assert set(X.identifier_dictionary(value).split()) == {b"token", b"and", b"end"}
 
 
+def test_long_texts_take_time_in_proportion():
+    novelty = X.Novelty(b"authorization bearer configuration manager connection settings " * 20)
+    rng = random.Random(1)
+    alnum = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=1 << 20))
+    for text in ("token word and " * 350_000, "token=" * 800_000, "secret=\n" * 600_000, "auth " + alnum * 5):
+        began = time.process_time()
+        X.find_spans(text.encode(), novelty)
+        X._without_spans(text.encode(), text.lower().encode(), text)
+        assert time.process_time() - began < 30
+
+
+def test_candidates_of_a_run_with_sensitive_words_in_it():
+    a, b = "zX9vQ2kL8mN4pR7tW1yB6cD3", "qWmZrTkLpXvBnHsGdJfCyRtQ"
+    text = f"auth x/token={a}/secret={b} {a[::-1]}"
+    assert [text[s:e] for s, e in X.candidates(text)] == [f"={a}/", f"={b}", a[::-1]]
+    assert X.candidates("x" * 40) == [] and X.candidates("auth " + " " * 60 + a) == []
+
+
+def test_planted_secrets_are_found_and_names_are_not():
+    """Random strings of several alphabets among identifiers, paths and versions, all beside sensitive words."""
+    rng = random.Random(11)
+    names = ["config", "manager", "session", "handler", "request", "local", "service", "update", "value", "module",
+             "client", "server", "default", "account", "provider", "settings", "internal", "validate", "header", "store"]
+    novelty = X.Novelty(" ".join(names * 3).encode())
+    alphabets = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+                 "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    leads = ["Authorization: Bearer {}", "the passphrase is {}", "auth {}", "signature {} sent", "our credentials: {}"]
+    secrets = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 48))) for _ in range(500)]
+    plain = ["_".join(rng.choices(names, k=rng.randint(3, 5))) for _ in range(250)] \
+        + ["/" + "/".join(rng.choices(names, k=rng.randint(3, 5))) for _ in range(150)] \
+        + ["".join(w.capitalize() for w in rng.choices(names, k=rng.randint(3, 4))) for _ in range(100)]
+    plain = [p for p in plain if len(p) >= 16]
+
+    def reported(s):
+        text = "some words before " + rng.choice(leads).format(s) + " and more words behind it"
+        return any(k == 3 for _, k, _, _ in X.find_spans(text.encode(), novelty)[1])
+    recall = sum(map(reported, secrets)) / len(secrets)
+    false = sum(map(reported, plain)) / len(plain)
+    assert recall >= 0.98 and false <= 0.02, (recall, false)
+
+
 def test_redaction(odd, rows):
     out = X.redact(odd)
     assert out.columns == odd.columns

@@ -2,11 +2,11 @@
 
 The base patterns give assignments, access keys and hex runs. Beyond them, a
 string near a sensitive word is a candidate; its novelty is the number of bytes
-by which it lengthens the compressed form of the code around it (copies of
-itself left out), with a compressor primed by a dictionary of the identifiers
-that are most frequent in the corpus's sensitive documents, counted outside
-candidates and base values. Words and names compress to little; a random string
-costs nearly its own length and is reported (kind ``novel``).
+that it costs, as words, a compressor primed by the code around it (copies of
+itself left out) and by a dictionary of the identifiers that are most frequent
+in the corpus's sensitive documents, counted outside candidates and base values.
+Names made of known words compress; a random string costs its own length and is
+reported (kind ``novel``).
 
 Spans are code points, end exclusive, of the whole match.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +43,8 @@ _ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 _LONG_HEX = re.compile(rb"[0-9a-f]{%d}" % LEAST_HEX)
 
 #: Words that make a context sensitive, as whole words in either case; a capital after a small letter begins a word.
-SENSITIVE = re.compile(r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|bearer|"
+SENSITIVE = re.compile(r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:api[_-]?key|access[_-]?key|private[_-]?key|"
+                       r"auth|authorization|bearer|"
                        r"credentials?|passphrase|passwords?|passwd|pwd|secrets?|signature|tokens?)(?![A-Za-z])",
                        re.IGNORECASE | re.ASCII)
 _SENSITIVE_HINTS = (b"key", b"auth", b"bearer", b"credential", b"passphrase", b"passw", b"pwd", b"secret",
@@ -55,11 +57,13 @@ _LETTER = re.compile(r"[A-Za-z]")
 #: So many characters of a candidate are a copy of it when they stand in its context too (a candidate's least length).
 COPY = 16
 #: A candidate is reported when it adds so many compressed bytes, and so many for each of its own.
-LEAST_BYTES, LEAST_SHARE = 10, 0.55
+LEAST_BYTES, LEAST_SHARE = 10, 0.95
 #: The identifier dictionary: the most frequent identifiers, so many at most.
 DICTIONARY_WORDS = 4096
 IDENTIFIER = re.compile(rb"[A-Za-z_]{3,24}")
-LEVEL = 3
+#: Log of the bytes of the compressor's tables and window: the dictionary fits.
+WINDOW = 17
+_SIGNS, _HUMP = re.compile("[^a-z0-9]+"), re.compile("(?<=[a-z])(?=[A-Z])")
 
 
 def _sensitive_text(low: bytes) -> bool:
@@ -103,20 +107,35 @@ def identifier_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> byt
     return " ".join(r["word"] for r in reversed(top)).encode()
 
 
+def word_form(candidate: str) -> str:
+    """A candidate as the dictionary has words: small letters, parted at signs and at capitals after small ones."""
+    return _SIGNS.sub(" ", _HUMP.sub(" ", candidate).lower())
+
+
 class Novelty:
-    """Marginal compressed bytes of a string after its surroundings, with the identifier dictionary."""
+    """Compressed bytes that a string costs beside its surroundings or the identifier dictionary, whichever is less.
+
+    Each primes a zstandard compressor, and the string is compressed alone in its
+    word form: its cost does not depend on how well the surroundings compress.
+    """
 
     def __init__(self, dictionary: bytes):
         import zstandard
-        primed = None
-        if len(dictionary) >= 8:
-            primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False,
-                                                   write_checksum=False, write_dict_id=False)
+        self.zstd = zstandard
+        self.search = zstandard.ZstdCompressionParameters(
+            window_log=WINDOW, hash_log=WINDOW, chain_log=WINDOW, search_log=5, min_match=4,
+            strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.known = self._primed(dictionary)
+
+    def _primed(self, dictionary: bytes):
+        z = self.zstd
+        data = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
+        return z.ZstdCompressor(compression_params=self.search, dict_data=data)
 
     def __call__(self, context: str, candidate: str) -> int:
-        c = context.encode()
-        return len(self.compressor.compress(c + b" " + candidate.encode())) - len(self.compressor.compress(c))
+        word = word_form(candidate).encode()
+        return min(len(c.compress(word)) - len(c.compress(b"")) for c in
+                   (self.known, self._primed(word_form(context).encode())))
 
 
 def base_spans(raw: bytes, low: bytes, text: str) -> list[tuple[int, int, int, int]]:
@@ -157,18 +176,49 @@ def _context(text: str, start: int, end: int) -> str:
         + _without_copies(text[end:end + reach], candidate)[:CONTEXT]
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Candidates near sensitive words, in the order of the text; the work is linear in its length.
+
+    A candidate begins where a run of its characters does, or at the end of a
+    sensitive word within one, and ends before the next sensitive word.
+    """
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    starts = [s for s, _ in words]
+    found: set[tuple[int, int]] = set()
+    k = 0  # the first run that ends behind the word
+    for _, end in words:
+        while k < len(runs) and runs[k][1] <= end:
+            k += 1
+        for j in range(k, len(runs)):  # few: each run has COPY characters, and all begin within REACH
+            start, last = max(runs[j][0], end), runs[j][1]
+            if start > end + REACH:
+                break
+            w = bisect_left(starts, start)
+            if w < len(starts):
+                last = min(last, starts[w])
+            if last - start >= COPY:
+                found.add((start, last))
+    return sorted(found)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], novelty: Novelty) -> list[tuple[int, int, int, int]]:
     """Incompressible candidates that no base span touches."""
-    found: dict[tuple[int, int], int] = {}
-    for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, m.end(), len(text)):
-            if c.start() > m.end() + REACH:
-                break
-            at = c.span()
-            if at in found or not _LETTER.search(c[0]) or any(s < at[1] and at[0] < e for s, _, e, _ in base):
-                continue
-            found[at] = novelty(_context(text, *at), c[0])
-    return [(s, 3, e, s) for (s, e), n in found.items() if n >= LEAST_BYTES and n >= LEAST_SHARE * (e - s)]
+    found, k, taken = [], 0, []  # base spans in one line, those that meet made one
+    for s, _, e, _ in sorted(base):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    for start, end in candidates(text):
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if k < len(taken) and taken[k][0] < end or not _LETTER.search(text, start, end):
+            continue
+        n = novelty(_context(text, start, end), text[start:end])
+        if n >= LEAST_BYTES and n >= LEAST_SHARE * (end - start):
+            found.append((start, 3, end, start))
+    return found
 
 
 def find_spans(raw: bytes, novelty: Novelty) -> tuple[list, list]:
