@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.operators import baskets as B
 from tillscope.operators import churn_model as CM
 from tillscope.operators import customers as C
 from tillscope.operators import inventory as I
@@ -577,6 +578,22 @@ def _demand_forecast(spark, d):
     return S.demand_forecast(_sales(spark, d), 30)
 
 
+@_register("cross_sell_rules", _with(SALES_CTE) + """,
+l AS (SELECT DISTINCT split_part(transaction_id, '-', 1) AS basket, product_id FROM sales),
+t AS (SELECT COUNT(DISTINCT basket) AS n FROM l),
+i AS (SELECT product_id, COUNT(*) AS n FROM l GROUP BY product_id),
+p AS (SELECT a.product_id AS antecedent, b.product_id AS consequent, COUNT(*) AS pair_count
+      FROM l a JOIN l b ON a.basket = b.basket AND a.product_id <> b.product_id GROUP BY 1, 2
+      HAVING COUNT(*) >= (SELECT greatest(1, ceil(round(0.0001 * n, 6))) FROM t))
+SELECT antecedent, consequent, pair_count, pair_count / CAST(t.n AS DOUBLE) AS support,
+       pair_count / CAST(a.n AS DOUBLE) AS confidence,
+       pair_count * CAST(t.n AS DOUBLE) / (a.n * CAST(c.n AS DOUBLE)) AS lift
+FROM p, t, i a, i c WHERE a.product_id = antecedent AND c.product_id = consequent""")
+def _cross_sell_rules(spark, d):
+    baskets = _sales(spark, d).withColumn("basket_id", F.split("transaction_id", "-")[0])
+    return B.cross_sell_rules(baskets, min_support=0.0001)
+
+
 # ----------------------------------------------------------------------------
 # data quality and cleaning
 

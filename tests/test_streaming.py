@@ -80,3 +80,27 @@ def test_bounded_run_returns_open_windows_too(spark):
         1: (109.0, 2), 3: (5.0, 1), 6: (1.0, 1)}
     s = ST.run_bounded(ST.stream_sessions(_stream(spark, feed), "2 hours", "1 hour"), "t-bounded-s").collect()
     assert sorted((r["customer_id"], r["revenue"]) for r in s) == [(1, 5.0), (1, 10.0), (2, 1.0), (2, 99.0)]
+
+
+def test_bounded_run_keeps_its_windows_over_restarts(spark):
+    from decimal import Decimal as D
+    feed = _batch_files(spark, [[("a", t(1, 1), 1, D("10.00"), "web"), ("b", t(3, 1), 1, D("5.00"), "web")]])
+    path, checkpoint = fresh_path(spark, "t-restart"), fresh_path(spark, "t-restart-ckpt")
+    run = lambda: {r["window_start"].day: r["revenue"] for r in ST.run_bounded(
+        ST.stream_revenue(_stream(spark, feed), "1 day", None, "1 day"), "t-restart", path, checkpoint).collect()}
+    assert run() == {1: 10.0, 3: 5.0}
+    assert run() == {1: 10.0, 3: 5.0}  # nothing new
+    spark.createDataFrame([("c", t(3, 2), 2, D("2.50"), "web"), ("d", t(9), 2, D("1.00"), "web")], SCHEMA) \
+        .coalesce(1).write.mode("append").parquet(feed)
+    assert run() == {1: 10.0, 3: 7.5, 9: 1.0}
+    # a write that did not end is passed over
+    spark.range(1).write.parquet(f"{path}/batch=99")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=99/_SUCCESS"), False)
+    assert run() == {1: 10.0, 3: 7.5, 9: 1.0}
+
+
+def test_a_restart_needs_path_and_checkpoint(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        ST.run_bounded(_stream(spark, _batch_files(spark, [[]])), "t", path="/nowhere")

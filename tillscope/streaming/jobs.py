@@ -107,29 +107,45 @@ def run_available(df: DataFrame, name: str = "stream", path: str | None = None,
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _last_complete(spark: SparkSession, path: str) -> str | None:
+    """The folder of the highest batch below ``path`` whose write was finished."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(top) if f.isDirectory()]
+    numbers = sorted((int(n[len("batch="):]) for n in names if n.startswith("batch=")), reverse=True)
+    return next((f"{path}/batch={n}" for n in numbers if fs.exists(hadoop.Path(f"{path}/batch={n}/_SUCCESS"))), None)
+
+
 def run_bounded(df: DataFrame, name: str = "stream", path: str | None = None,
                 checkpoint: str | None = None) -> DataFrame:
     """All windows of an aggregation over a feed that ends, as a batch DataFrame.
 
     Complete mode: every micro-batch writes the whole result table as of its
     end to a folder of its own (written anew if the batch is retried), and the
-    last one is returned. The state is the result, one row per window and key.
-    A feed without any row gives an empty result."""
+    last complete one is returned. The state is the result, one row per window
+    and key. A feed without any row gives an empty result.
+
+    Called again with the same ``path`` and ``checkpoint`` it goes on where it
+    was: the windows of rows that came meanwhile are added, and without such rows
+    the result of the last run is returned."""
+    if (path is None) != (checkpoint is None):
+        raise ValueError("path and checkpoint belong together: a restart needs both")
     spark = df.sparkSession
     path = path or fresh_path(spark, f"{name}-out")
     checkpoint = checkpoint or fresh_path(spark, f"{name}-ckpt")
-    last: list[str] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        out = f"{path}/batch={number}"
-        batch.write.mode("overwrite").parquet(out)
-        last[:] = [out]
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     q = (df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    if not last:
+    last = _last_complete(spark, path)
+    if last is None:
         return spark.createDataFrame([], df.schema)
-    return spark.read.schema(df.schema).parquet(last[0])
+    return spark.read.schema(df.schema).parquet(last)
