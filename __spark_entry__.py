@@ -23,7 +23,9 @@ from tillscope.operators import churn_model as CM
 from tillscope.operators import customers as C
 from tillscope.operators import inventory as I
 from tillscope.operators import quality as Q
+from tillscope.operators import recommend as RC
 from tillscope.operators import sales as S
+from tillscope.operators import series as SE
 from tillscope.operators import skew as SK
 from tillscope.plans import bi as BI
 from tillscope.plans import medallion as M
@@ -594,6 +596,108 @@ def _cross_sell_rules(spark, d):
     return B.cross_sell_rules(baskets, min_support=0.0001)
 
 
+@_register("popular_recommendations", _with(SALES_CTE) + """,
+b AS (SELECT DISTINCT customer_id, product_id FROM sales),
+n AS (SELECT product_id, COUNT(*) AS n FROM b GROUP BY product_id),
+c AS (SELECT DISTINCT customer_id FROM b),
+f AS (SELECT c.customer_id, n.product_id, n.n FROM c CROSS JOIN n
+      ANTI JOIN b ON b.customer_id = c.customer_id AND b.product_id = n.product_id)
+SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, product_id) AS INTEGER) AS rank,
+       product_id, CAST(n AS DOUBLE) AS score
+FROM f QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, product_id) <= 10""")
+def _popular_recommendations(spark, d):
+    return RC.popular_recommendations(_sales(spark, d), 10)
+
+
+@_register("product_recommendations")
+def _product_recommendations(spark, d):
+    """Alternating least squares: no SQL form (tests check its held-out recall against popularity)."""
+    return RC.product_recommendations(_sales(spark, d), 10, rank=8, iterations=5)
+
+
+@_register("seasonal_forecast", "WITH RECURSIVE " + SALES_CTE + """,
+m AS (SELECT product_id, date_trunc('month', transaction_date) AS m, CAST(SUM(quantity) AS DOUBLE) AS q
+      FROM sales GROUP BY 1, 2),
+f AS (SELECT product_id, MIN(m) AS first_month FROM m GROUP BY product_id),
+g AS (SELECT product_id, first_month,
+             unnest(generate_series(first_month, (SELECT MAX(m) FROM m), INTERVAL 1 MONTH)) AS m FROM f),
+s AS (SELECT g.product_id, g.first_month, list(coalesce(m.q, 0.0) ORDER BY g.m) AS y
+      FROM g LEFT JOIN m ON m.product_id = g.product_id AND m.m = g.m GROUP BY 1, 2),
+r(product_id, i, level, trend, season, error, line_error, sy, sty) AS (
+  SELECT product_id, 13, list_sum(y[1:12]) / 12.0, CAST(0 AS DOUBLE),
+         list_transform(y[1:12], lambda v: v - list_sum(y[1:12]) / 12.0), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE),
+         list_sum(y[1:12]), list_sum(list_transform(y[1:12], lambda v, k: v * k))
+  FROM s WHERE len(y) > 12
+  UNION ALL
+  SELECT product_id, i + 1, new_level, 0.05 * (new_level - level) + (1.0 - 0.05) * trend,
+         list_transform(season, lambda v, k: CASE WHEN k = pos THEN 0.2 * (v1 - new_level) + (1.0 - 0.2) * v ELSE v END),
+         error + abs(v1 - (level + trend + season[pos])),
+         line_error + abs(v1 - ((sy - slope * sx) / n + slope * (n + 1.0))), sy + v1, sty + i * v1
+  FROM (SELECT *, (n * sty - sx * sy) / (n * sxx - sx * sx) AS slope,
+               0.3 * (v1 - season[pos]) + (1.0 - 0.3) * (level + trend) AS new_level
+        FROM (SELECT r.*, s.y[i] AS v1, (i - 1) % 12 + 1 AS pos, CAST(i - 1 AS DOUBLE) AS n,
+                     CAST(i - 1 AS DOUBLE) * i / 2.0 AS sx,
+                     CAST(i - 1 AS DOUBLE) * i * (2.0 * (i - 1) + 1.0) / 6.0 AS sxx
+              FROM r JOIN s ON s.product_id = r.product_id WHERE i <= len(s.y))))
+SELECT s.product_id, CAST(s.first_month AS DATE) AS first_month, CAST(len(s.y) AS INTEGER) AS periods, r.level, r.trend,
+       greatest(0.0, r.level + 1.0 * r.trend + r.season[(len(s.y) + 0) % 12 + 1]) AS forecast_1,
+       greatest(0.0, r.level + 2.0 * r.trend + r.season[(len(s.y) + 1) % 12 + 1]) AS forecast_2,
+       greatest(0.0, r.level + 3.0 * r.trend + r.season[(len(s.y) + 2) % 12 + 1]) AS forecast_3,
+       r.error / (len(s.y) - 12) AS mae, r.line_error / (len(s.y) - 12) AS line_mae
+FROM s LEFT JOIN r ON r.product_id = s.product_id AND r.i = len(s.y) + 1""")
+def _seasonal_forecast(spark, d):
+    out = SE.seasonal_forecast(_sales(spark, d))
+    return out.select("product_id", "first_month", "periods", "level", "trend",
+                      *[F.col("forecast")[k].alias(f"forecast_{k + 1}") for k in range(3)], "mae", "line_mae")
+
+
+@_register("revenue_change_points", "WITH RECURSIVE " + SALES_CTE + """,
+x AS (SELECT region, CAST(transaction_date AS DATE) AS day, CAST(SUM(total_amount) AS DOUBLE) AS x
+      FROM sales GROUP BY 1, 2),
+c AS (SELECT region, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(CAST(round(x * 100) AS HUGEINT)) AS DOUBLE) AS s,
+             CAST(SUM(CAST(round(x * 100) AS HUGEINT) * CAST(round(x * 100) AS HUGEINT)) AS DOUBLE) AS ss
+      FROM x GROUP BY region),
+p AS (SELECT region, s / n / 100.0 AS mean, sqrt(greatest(0.0, ss / n - (s / n) * (s / n))) / 100.0 AS sd FROM c),
+d AS (SELECT x.region, day, (x - mean) / sd AS z, row_number() OVER (PARTITION BY x.region ORDER BY day) AS i
+      FROM x JOIN p ON p.region = x.region WHERE sd > 0),
+r(region, i, up, down, up_since, down_since, change_day, direction, shift_began, score) AS (
+  SELECT DISTINCT region, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DATE), CAST(NULL AS DATE),
+         CAST(NULL AS DATE), CAST(NULL AS VARCHAR), CAST(NULL AS DATE), CAST(NULL AS DOUBLE) FROM d
+  UNION ALL
+  SELECT region, i, CASE WHEN hit THEN 0 ELSE u END, CASE WHEN hit THEN 0 ELSE w END,
+         CASE WHEN NOT hit THEN us END, CASE WHEN NOT hit THEN ws END,
+         CASE WHEN hit THEN day END, CASE WHEN hit THEN CASE WHEN u > 5.0 THEN 'up' ELSE 'down' END END,
+         CASE WHEN hit THEN CASE WHEN u > 5.0 THEN us ELSE ws END END,
+         CASE WHEN hit THEN CASE WHEN u > 5.0 THEN u ELSE w END END
+  FROM (SELECT *, CASE WHEN u > 0 THEN coalesce(up_since, day) END AS us,
+               CASE WHEN w > 0 THEN coalesce(down_since, day) END AS ws, u > 5.0 OR w > 5.0 AS hit
+        FROM (SELECT r.region, d.i, d.day, r.up_since, r.down_since, greatest(0.0, r.up + d.z - 0.5) AS u,
+                     greatest(0.0, r.down - d.z - 0.5) AS w
+              FROM r JOIN d ON d.region = r.region AND d.i = r.i + 1)))
+SELECT region, change_day, direction, shift_began, score FROM r WHERE change_day IS NOT NULL""")
+def _revenue_change_points(spark, d):
+    return SE.change_points(_sales(spark, d))
+
+
+@_register("retention_curve", "WITH RECURSIVE " + SALES_CTE + """,
+f AS (SELECT customer_id, region, CAST(MIN(transaction_date) AS DATE) AS a, CAST(MAX(transaction_date) AS DATE) AS z
+      FROM sales WHERE CAST(transaction_date AS DATE) <= DATE '2001-06-30' GROUP BY 1, 2),
+s AS (SELECT region, CAST(floor(datediff('day', a, z) / 30.0) AS INTEGER) AS step, COUNT(*) AS n,
+             SUM(CASE WHEN datediff('day', z, DATE '2001-06-30') >= 180 THEN 1 ELSE 0 END) AS lapsed FROM f GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY step) AS i,
+             SUM(n) OVER (PARTITION BY region ORDER BY step DESC) AS at_risk FROM s),
+r(region, i, survival) AS (
+  SELECT DISTINCT region, CAST(0 AS BIGINT), CAST(1 AS DOUBLE) FROM o
+  UNION ALL
+  SELECT r.region, o.i, r.survival * (1.0 - CAST(o.lapsed AS DOUBLE) / CAST(o.at_risk AS DOUBLE))
+  FROM r JOIN o ON o.region = r.region AND o.i = r.i + 1)
+SELECT o.region, o.step, CAST(o.at_risk AS BIGINT) AS at_risk, CAST(o.lapsed AS BIGINT) AS lapsed,
+       CAST(o.n - o.lapsed AS BIGINT) AS censored, r.survival
+FROM o JOIN r ON r.region = o.region AND r.i = o.i""")
+def _retention_curve(spark, d):
+    return SE.retention_curve(_sales(spark, d), "2001-06-30", by="region")
+
+
 # ----------------------------------------------------------------------------
 # data quality and cleaning
 
