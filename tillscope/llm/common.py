@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -23,6 +25,25 @@ def visible_to_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+#: Bytes of a batch of rows sent to a Python worker, about: rows are counted too, but a row may be long.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch; a batch is held several times on its way."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(name)).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text`` with null as the empty string; nothing else."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

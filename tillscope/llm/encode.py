@@ -25,7 +25,7 @@ from tillscope.llm.common import runs
 from tillscope.llm.shingles import is_space
 
 #: Bytes of segments and ids kept at most, about; the memo then starts anew. Longer segments are not kept.
-MEMO, LONGEST = 96 << 20, 64
+MEMO, LONGEST = 64 << 20, 64
 #: What an entry of the memo takes besides its bytes and ids, about.
 ENTRY = 150
 #: Bytes of text encoded at once, about (a longer text is encoded alone).

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm.common import blocks, id_text, text_bytes
+from tillscope.llm.common import blocks, give_back, id_text, text_bytes
 from tillscope.llm.encode import ENCODED, encoder, word_bpe
 
 TIERS = (2048, 1024, 512, 256)
@@ -178,6 +178,7 @@ def _pieces(path: str, end_id: int):
                     yield flush()
         if held:
             yield flush()
+        give_back()
     return run
 
 

@@ -6,13 +6,14 @@ from functools import wraps
 
 from tillscope.llm import (exact_dedup, hard_negatives, hash_search, licenses, line_quality, lm_score, ngram_join, packing,
                            piece_fst, secrets, shards, spelling, token_orc)
-from tillscope.llm.common import visible_to_workers
+from tillscope.llm.common import bounded_batches, visible_to_workers
 
 
 def _ready(query):
     @wraps(query)
     def run(spark, sf_dir):
         visible_to_workers(spark)
+        bounded_batches(spark)
         return query(spark, sf_dir)
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import blocks, id_text, text_bytes
+from tillscope.llm.common import blocks, give_back, id_text, text_bytes
 from tillscope.llm.encode import ENCODED, encoder, word_bpe
 from tillscope.session import fresh_path
 
@@ -53,6 +53,7 @@ def _encode_rows(path: str, end_id: int):
                      pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))],
                     schema=schema)
                 start += int(offsets[-1])
+        give_back()
     return run
 
 
