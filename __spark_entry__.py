@@ -27,6 +27,7 @@ from tillscope.operators import recommend as RC
 from tillscope.operators import sales as S
 from tillscope.operators import series as SE
 from tillscope.operators import skew as SK
+from tillscope.operators import temporal as TP
 from tillscope.plans import bi as BI
 from tillscope.plans import medallion as M
 from tillscope.session import fresh_path
@@ -698,6 +699,45 @@ def _retention_curve(spark, d):
     return SE.retention_curve(_sales(spark, d), "2001-06-30", by="region")
 
 
+_PRICES = """prices AS (
+  SELECT product_id, date_trunc('month', transaction_date) + INTERVAL 1 MONTH AS valid_from,
+         MAX(unit_price) AS list_price
+  FROM sales GROUP BY 1, 2)"""
+_PROMOTIONS = """promotions AS (
+  SELECT s_suppkey AS promotion_id, CAST(DATE '1995-01-01' + CAST(s_suppkey * 97 % 2400 AS INTEGER) AS TIMESTAMP) AS starts,
+         CAST(DATE '1995-01-01' + CAST(s_suppkey * 97 % 2400 + s_suppkey % 14 + 1 AS INTEGER) AS TIMESTAMP) AS ends
+  FROM supplier)"""
+
+
+@_register("price_in_force", _with(SALES_CTE, _PRICES) + """
+SELECT s.transaction_id, s.product_id, CAST(s.transaction_date AS DATE) AS sale_date, s.unit_price, p.list_price
+FROM sales s ASOF LEFT JOIN prices p ON s.product_id = p.product_id AND s.transaction_date >= p.valid_from""")
+def _price_in_force(spark, d):
+    """The highest price of the product's last earlier month with sales, as of each sale."""
+    sales = _sales(spark, d)
+    month = F.trunc("transaction_date", "month")
+    prices = sales.groupBy("product_id", F.add_months(month, 1).cast("timestamp").alias("valid_from")) \
+        .agg(F.max("unit_price").alias("list_price"))
+    rows = sales.select("transaction_id", "product_id", "transaction_date", "unit_price")
+    return TP.asof_join(rows, prices, "product_id", "transaction_date", "valid_from", ["list_price"], "365 days") \
+        .withColumn("sale_date", F.to_date("transaction_date")).drop("transaction_date")
+
+
+@_register("promotion_revenue", _with(SALES_CTE, _PROMOTIONS) + f"""
+SELECT promotion_id, CAST(starts AS DATE) AS first_day, COUNT(*) AS transaction_count, {_DBL} AS revenue
+FROM promotions JOIN sales ON transaction_date >= starts AND transaction_date < ends GROUP BY 1, 2""")
+def _promotion_revenue(spark, d):
+    """Sales in the windows of promotions of 1 to 14 days, one for each supplier."""
+    key = F.col("s_suppkey")
+    day = lambda n: F.date_add(F.to_date(F.lit("1995-01-01")), n.cast("int")).cast("timestamp")
+    promotions = T.read(spark, d, "supplier").select(
+        key.alias("promotion_id"), day(key * 97 % 2400).alias("starts"), day(key * 97 % 2400 + key % 14 + 1).alias("ends"))
+    sales = _sales(spark, d).select("transaction_date", "total_amount")
+    return TP.interval_join(sales, promotions, "transaction_date", "starts", "ends") \
+        .groupBy("promotion_id", F.to_date("starts").alias("first_day")) \
+        .agg(F.count("*").alias("transaction_count"), F.sum("total_amount").cast("double").alias("revenue"))
+
+
 # ----------------------------------------------------------------------------
 # data quality and cleaning
 
