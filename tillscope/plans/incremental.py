@@ -3,7 +3,7 @@
 Bronze keeps every batch in a folder of its own. Silver is partitioned by sale
 month. A batch touches the months of its valid sales and, where it brings an
 earlier copy of an id that silver has, the month of that copy. Only those months
-are read, rebuilt and overwritten (dynamic partition overwrite); the others stay
+are read, rebuilt and replaced; the others stay
 as files. The row that silver keeps of an id is the least of all its copies, and
 the least of (the kept one, the batch's copies) is the same row, so the result
 equals a rebuild from all of bronze.
@@ -13,9 +13,9 @@ region and month. A batch rebuilds the touched months of both; totals are sums
 over the months.
 
 Every step can be repeated. The new contents of the touched months are written
-beside the table first; when a run dies while they are put in place, the next one
-puts the same contents in place again and does not compute them from a table in
-the making. A batch that is done has a mark, and to load it again does nothing.
+beside the table first, with the list of the months; then their folders are moved
+into place. When a run dies meanwhile, the next one moves the rest and does not
+compute them from a table in the making. A batch that is done has a mark, and to load it again does nothing.
 One batch is loaded at a time.
 """
 
@@ -79,11 +79,15 @@ class IncrementalTables:
             with_ingest_metadata(batch, source_system, batch_id).write.mode("overwrite").parquet(bronze)
         columns = batch.columns
         rows = self.spark.read.schema(batch.schema).parquet(bronze).select(*columns)
-        staged, touched_at = self.path("_staged", batch_id), self.path("_touched", batch_id)
-        if not self._written(staged):
-            self._stage(rows, staged, touched_at)
-        touched = [r[0] for r in self.spark.read.parquet(touched_at).collect()]  # months
-        self._put(staged, "silver", touched)
+        staged, plan = self.path("_staged", batch_id), self.path("_plan", batch_id)
+        if not self._written(plan):
+            touched = self._stage(rows, staged)
+            held = set(self._months(staged))
+            self.spark.createDataFrame([(m, m in held) for m in touched], f"{MONTH} string, held boolean") \
+                .coalesce(1).write.mode("overwrite").parquet(plan)
+        months = self.spark.read.parquet(plan).collect()
+        touched, held = [r[0] for r in months], [r[0] for r in months if r[1]]
+        self._put(staged, "silver", touched, held)
         self._gold(touched)
         _, rejects = Q.split_quarantine(rows, self.settings)
         rejected = self.path("quarantine", batch_id)
@@ -98,34 +102,45 @@ class IncrementalTables:
     def _month(self) -> F.Column:
         return F.date_format("transaction_date", "yyyy-MM")
 
-    def _stage(self, rows: DataFrame, staged: str, touched_at: str) -> None:
-        """Write the new contents of the touched months, and which those are."""
+    def _stage(self, rows: DataFrame, staged: str) -> list[str]:
+        """Write the new contents of the touched months, and tell which those are."""
         new = Q.silver_sales(rows, self.settings).withColumn(MONTH, F.coalesce(self._month(), F.lit("none")))
         columns = [c for c in new.columns if c != MONTH]
         months = new.select(MONTH)
-        has = self._exists(self.path("silver"))
+        has = bool(self._months(self.path("silver")))
         if has:
             silver = self.table("silver")
             ids = new.select("transaction_id")
             months = months.unionByName(silver.join(ids, "transaction_id", "left_semi").select(MONTH))
-        months.distinct().write.mode("overwrite").parquet(touched_at)
+        touched = sorted(r[0] for r in months.distinct().collect())
         if has:
-            touched = [r[0] for r in self.spark.read.parquet(touched_at).collect()]
             held = silver.where(F.col(MONTH).isin(touched))  # only these partitions are read
             both = held.select(*columns).unionByName(new.select(*columns))
             new = Q.flag_sales(Q.remove_duplicates(both.drop("is_valid_amount", "is_valid_quantity"), ["transaction_id"]),
                                self.settings).select(*columns).withColumn(MONTH, F.coalesce(self._month(), F.lit("none")))
         _by_month(new).write.mode("overwrite").partitionBy(MONTH).parquet(staged)
+        return touched
 
-    def _put(self, staged: str, table: str, touched: list[str]) -> None:
-        """The staged months in place of the table's; months that were emptied go."""
-        new = self.spark.read.parquet(staged) if touched else None
-        have = {r[0] for r in new.select(MONTH).distinct().collect()} if touched else set()
-        if have:
-            _by_month(new.withColumn(MONTH, F.col(MONTH).cast("string"))).write.mode("overwrite") \
-                .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(self.path(table))
-        for month in set(touched) - have:
-            self._remove(self.path(table, f"{MONTH}={month}"))
+    def _months(self, path: str) -> list[str]:
+        """The months that have a folder below ``path``."""
+        fs, at = self._fs(path)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{MONTH}="))
+
+    def _put(self, staged: str, table: str, touched: list[str], held: list[str]) -> None:
+        """The staged months in place of the table's; touched months that hold nothing any more go.
+
+        A staged month that is not there was put in place by an earlier, broken run.
+        """
+        fs, top = self._fs(self.path(table))
+        fs.mkdirs(top)
+        there = set(self._months(staged))
+        for month in touched:
+            source, target = (self._fs(f"{p}/{MONTH}={month}")[1] for p in (staged, self.path(table)))
+            if month in there or month not in held:
+                fs.delete(target, True)
+            if month in there and not fs.rename(source, target):
+                raise OSError(f"{source} could not be moved to {target}")
 
     def _gold(self, touched: list[str]) -> None:
         if not touched:
@@ -138,7 +153,7 @@ class IncrementalTables:
         for name, key in (("customer_months", "customer_id"), ("region_months", "region")):
             staged = self.path("_staged_gold", name)
             _by_month(silver.groupBy(MONTH, key).agg(*measures)).write.mode("overwrite").partitionBy(MONTH).parquet(staged)
-            self._put(staged, name, touched)
+            self._put(staged, name, touched, self._months(staged))
 
     # ------------------------------------------------------------ reading
 
