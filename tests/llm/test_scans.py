@@ -1,4 +1,5 @@
 import random
+import re
 import time
 from collections import Counter
 
@@ -40,6 +41,26 @@ def test_rare_words_decide_the_index_entries():
     assert index.scan(C.words_of(b"under the mit license under the mit license"))[0] == [0, 4]
 
 
+def test_a_notice_in_another_order_is_none():
+    """Its words shuffled on each side of its key phrase, eight times in a row."""
+    _, notice, keys = next(x for x in C.NOTICES if x[0] == "bsd")
+    rng, index = random.Random(2), C.Index({}, 100)
+    words = C.words_of(notice.encode())
+    key = C.words_of(keys[0].encode())
+    at = next(i for i in range(len(words)) if tuple(words[i:i + len(key)]) == tuple(key))
+    found = 0
+    for _ in range(50):
+        text = []
+        for _ in range(8):
+            before, behind = words[:at], words[at + len(key):]
+            rng.shuffle(before)
+            rng.shuffle(behind)
+            text += [*before, *key, *behind]
+        found += "bsd" in index.scan(text)[2]
+    assert found <= 1  # of 400 shuffles; a third of the words is the key phrase, which stands whole
+    assert "bsd" in index.scan(words[:20] + [b"really"] * 3 + words[20:])[2]
+
+
 def test_a_notice_whose_rarest_words_are_altered_is_found():
     for label, at in (("gpl-2", 3), ("bsd", 2), ("mpl-2", 8)):
         _, notice, keys = C.NOTICES[at]

@@ -23,6 +23,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -74,6 +75,8 @@ ENTRIES = 3
 #: Least share of a notice's IDF weight in place, and words by which starts of one copy may differ.
 LEAST_SCORE = 0.6
 SLACK = 6
+#: What a change of place within a notice costs, in words.
+SHIFT = 3
 
 #: Upper case to lower, and what is neither digit, letter nor non-ASCII to a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -141,25 +144,42 @@ class Index:
                     labels.add(t.label)
                     best = 1.0
                 continue
-            run: list[int] = []
-            for s in [*sorted(found), None]:
-                if run and (s is None or s - run[-1] > SLACK):
-                    score = self._score(k, t, words, run)
+            at, last = sorted(found), 0
+            for first, s in enumerate(at):  # every stretch of starts that lie within SLACK, but no part of another
+                end = bisect_right(at, s + SLACK)
+                if end > last:
+                    last = end
+                    score = self._score(k, t, words, at[first:end])
                     if score >= LEAST_SCORE:
                         labels.add(t.label)
                         best = max(best, score)
-                    run = []
-                if s is not None:
-                    run.append(s)
         return places, base, labels, best
 
     def _score(self, k: int, t: Template, words: list[bytes], starts: list[int]) -> float:
-        """Share of the template's weight in place at these starts; 0 without a mandatory key phrase."""
-        there = set().union(*(self._in_place(t, words, s) for s in starts))
-        score = sum(self.idf[t.words[p]] for p in there) / self.weights[k]
+        """Share of the template's weight that stands in the file in the template's order; 0 without a key phrase.
+
+        The matches of all starts of a run, as (place in the file, place in the
+        template), form the heaviest chain that ascends in both. A chain may pass
+        from one start to another, where words were put in or left out, at the
+        price of ``SHIFT`` mean words: words in no order share few places.
+        """
+        matches = sorted((s + p, p) for s in starts for p in self._in_place(t, words, s))
+        price = SHIFT * self.weights[k] / len(t.words)
+        best: dict[int, tuple[float, int]] = {}  # by start: the heaviest chain's weight and its last template place
+        total = 0.0
+        for f, p in matches:
+            held = best.get(f - p, (0.0, 0))[0]
+            for other, (weight, last) in best.items():
+                if last < p and other + last < f:
+                    held = max(held, weight - price if other != f - p else weight)
+            best[f - p] = held + self.idf[t.words[p]], p
+            total = max(total, best[f - p][0])
+        score = total / self.weights[k]
         lo, hi = max(0, starts[0] - SLACK), starts[-1] + len(t.words) + SLACK
+        if score < LEAST_SCORE:
+            return 0.0
         stretch = b" " + b" ".join(words[lo:hi]) + b" "
-        if score < LEAST_SCORE or not all(b" " + b" ".join(key) + b" " in stretch for key in t.keys):
+        if not all(b" " + b" ".join(key) + b" " in stretch for key in t.keys):
             return 0.0
         return min(1.0, score)
 
