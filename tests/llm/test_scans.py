@@ -57,7 +57,7 @@ def test_a_notice_in_another_order_is_none():
             rng.shuffle(behind)
             text += [*before, *key, *behind]
         found += "bsd" in index.scan(text)[2]
-    assert found <= 1  # of 400 shuffles; a third of the words is the key phrase, which stands whole
+    assert found <= 5  # of 400 shuffles: beside the key phrase, five words in place by chance are enough
     assert "bsd" in index.scan(words[:20] + [b"really"] * 3 + words[20:])[2]
 
 
