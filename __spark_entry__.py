@@ -31,7 +31,8 @@ from tillscope.operators import temporal as TP
 from tillscope.plans import bi as BI
 from tillscope.plans import incremental as IN
 from tillscope.plans import medallion as M
-from tillscope.session import fresh_path
+from tillscope.plans import sketches as SH
+from tillscope.session import fresh_path, materialize
 from tillscope.sources import loaders as L
 from tillscope.sources import sinks as K
 from tillscope.sources import testdata as T
@@ -739,6 +740,37 @@ def _promotion_revenue(spark, d):
         .agg(F.count("*").alias("transaction_count"), F.sum("total_amount").cast("double").alias("revenue"))
 
 
+@_register("sketch_periods", _with(SALES_CTE) + f"""
+SELECT region, CAST(year(transaction_date) AS INTEGER) AS sale_year, COUNT(transaction_id) AS transaction_count, {_DBL} AS revenue,
+       COUNT(DISTINCT customer_id) AS exact_customers, TRUE AS customers_within_5_percent, TRUE AS median_within_5_percent
+FROM sales GROUP BY 1, 2""")
+def _sketch_periods(spark, d):
+    """Yearly measures from stored daily sketches, held against exact counts and ranks."""
+    sales = _sales(spark, d)
+    stored = materialize(SH.daily_sketches(sales), "daily-sketches").withColumn("sale_year", F.year("sale_date"))
+    years = SH.period_measures(stored, by=["region", "sale_year"])
+    rows = sales.select("region", F.year("transaction_date").alias("sale_year"), "customer_id", "total_amount")
+    both = rows.join(years.select("region", "sale_year", "q50"), ["region", "sale_year"])
+    exact = both.groupBy("region", "sale_year").agg(
+        F.countDistinct("customer_id").alias("exact_customers"),
+        F.avg((F.col("total_amount").cast("double") <= F.col("q50")).cast("double")).alias("rank"))
+    near = F.abs(F.col("customers") - F.col("exact_customers")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact_customers"))
+    return years.join(exact, ["region", "sale_year"]).select(
+        "region", "sale_year", "transaction_count", "revenue", "exact_customers",
+        near.alias("customers_within_5_percent"), (F.abs(F.col("rank") - 0.5) <= 0.05).alias("median_within_5_percent"))
+
+
+@_register("records_per_file", _with(SALES_CTE) + """
+SELECT COUNT(*) AS records, TRUE AS every_file_within_limit, TRUE AS more_than_one_file FROM sales""")
+def _records_per_file(spark, d):
+    """Sales written with at most 5,000 records a file, counted by file."""
+    path = fresh_path(spark, "records-per-file")
+    K.write_table(_sales(spark, d), path, max_records_per_file=5000)
+    files = K.read_table(spark, path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    return files.agg(F.sum("n").alias("records"), (F.max("n") <= 5000).alias("every_file_within_limit"),
+                     (F.count("*") > 1).alias("more_than_one_file"))
+
+
 # ----------------------------------------------------------------------------
 # data quality and cleaning
 
