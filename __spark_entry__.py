@@ -1507,6 +1507,17 @@ def _stream_sessions(spark, d):
                           "stream-sessions")
 
 
+@_register("stream_view_to_purchase", """
+SELECT v.user_id AS customer_id, CAST(v.event_id AS VARCHAR) AS first_id, CAST(v.ts AS TIMESTAMP) AS first_at,
+       CAST(p.event_id AS VARCHAR) AS second_id, CAST(p.ts AS TIMESTAMP) AS second_at,
+       CAST(floor(epoch(CAST(p.ts AS TIMESTAMP))) - floor(epoch(CAST(v.ts AS TIMESTAMP))) AS BIGINT) AS seconds_between
+FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts > v.ts AND p.ts <= v.ts + INTERVAL 6 HOUR
+WHERE v.event_type = 'view' AND p.event_type = 'purchase'""")
+def _stream_view_to_purchase(spark, d):
+    of = lambda kind: ST.event_sales_stream(spark, d).where(F.col("sales_channel") == kind)
+    return ST.run_available(ST.stream_followed_by(of("view"), of("purchase"), "6 hours"), "stream-view-to-purchase")
+
+
 @_register("stream_enriched", _with(CUSTOMERS_CTE) + """
 SELECT e.user_id AS customer_id, CAST(e.event_id AS VARCHAR) AS transaction_id,
        CAST(e.ts AS TIMESTAMP) AS transaction_date, CAST(e.value AS DECIMAL(12,2)) AS total_amount,

@@ -104,3 +104,29 @@ def test_a_restart_needs_path_and_checkpoint(spark):
     import pytest
     with pytest.raises(ValueError):
         ST.run_bounded(_stream(spark, _batch_files(spark, [[]])), "t", path="/nowhere")
+
+
+def test_pairs_of_two_streams_late_rows_and_restarts(spark):
+    from decimal import Decimal as D
+
+    def at(day, hour, minute=0):
+        return dt.datetime(2024, 1, day, hour, minute)
+    row = lambda i, when, c=1: (i, when, c, D("1.00"), "web")
+    views = _batch_files(spark, [[row("v1", at(1, 10)), row("v2", at(1, 10, 50)), row("v3", at(1, 10), 2), row("v0", at(1, 9), None)]])
+    buys = _batch_files(spark, [[row("p1", at(1, 11)), row("p2", at(1, 12, 30)), row("p3", at(1, 10), 2)]])
+    path, checkpoint = fresh_path(spark, "t-pairs"), fresh_path(spark, "t-pairs-ckpt")
+
+    def run():
+        out = ST.run_available(ST.stream_followed_by(_stream(spark, views), _stream(spark, buys), "1 hour", "2 hours"),
+                               "t-pairs", path, checkpoint)
+        return sorted((r["first_id"], r["second_id"], r["seconds_between"]) for r in out.collect())
+    first = [("v1", "p1", 3600), ("v2", "p1", 600)]  # p3 is not later than v3
+    assert run() == first and run() == first
+    # one batch moves both watermarks to the third day
+    for feed, rows in ((views, [row("v4", at(3, 10), 3)]), (buys, [row("p4", at(3, 10, 30), 3)])):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    assert run() == sorted([*first, ("v4", "p4", 1800)])
+    # late rows meet nothing, a row in time meets what the state kept over the restart
+    for feed, rows in ((views, [row("late", at(1, 10, 30))]), (buys, [row("p5", at(1, 11, 10)), row("p6", at(3, 11), 3)])):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+    assert run() == sorted([*first, ("v4", "p4", 1800), ("v4", "p6", 3600)])

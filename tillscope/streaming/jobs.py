@@ -7,6 +7,7 @@
 * ``stream_revenue``    tumbling or sliding event-time windows per channel;
 * ``stream_sessions``   session windows per customer;
 * ``stream_enriched``   stream-static join with the customer master;
+* ``stream_followed_by`` pairs of two streams within an interval (view, then purchase);
 * ``run_available``     runs a streaming DataFrame to a Parquet sink with its
   checkpoint below the shared folder (exactly-once file commit; a restarted
   or failed run resumes from the checkpoint), ``availableNow`` trigger.
@@ -149,3 +150,25 @@ def run_bounded(df: DataFrame, name: str = "stream", path: str | None = None,
     if last is None:
         return spark.createDataFrame([], df.schema)
     return spark.read.schema(df.schema).parquet(last)
+
+
+def stream_followed_by(first: DataFrame, second: DataFrame, within: str = "1 hour", watermark: str = "1 hour",
+                       key: str = "customer_id") -> DataFrame:
+    """Pairs of a row of ``first`` and a later row of ``second`` of the same key, at most ``within`` apart.
+
+    Both sides are streams with ``transaction_id``, ``transaction_date`` and the
+    key. Each has a watermark, and with the interval they bound the state: a row is
+    kept until no partner can come any more, and rows later than the watermark are
+    dropped. Pairs are given out when their later row comes (inner join), so
+    nothing is left open when a feed ends.
+
+    Result: key, first_id, first_at, second_id, second_at, seconds_between.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(key).alias(f"{name}_key"), F.col("transaction_id").alias(f"{name}_id"),
+                         F.col("transaction_date").alias(f"{name}_at")).where(f"{name}_key IS NOT NULL") \
+            .withWatermark(f"{name}_at", watermark)
+    pairs = side(first, "first").join(side(second, "second"), F.expr(
+        f"first_key = second_key AND second_at > first_at AND second_at <= first_at + INTERVAL {within}"))
+    return pairs.select(F.col("first_key").alias(key), "first_id", "first_at", "second_id", "second_at",
+                        (F.unix_seconds("second_at") - F.unix_seconds("first_at")).alias("seconds_between"))
