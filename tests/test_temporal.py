@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from decimal import Decimal as D
 
 import pytest
 
@@ -67,3 +68,35 @@ def test_no_intervals(spark):
     left = spark.createDataFrame([(1, T0)], "id int, at timestamp")
     right = spark.createDataFrame([(1, T0, T0)], "promo int, a timestamp, z timestamp")
     assert TP.interval_join(left, right, "at", "a", "z").count() == 0
+
+
+@pytest.mark.parametrize("whole_days", [True, False])
+def test_totals_of_intervals_do_not_pair_rows(spark, monkeypatch, whole_days):
+    rng = random.Random(9)
+    rows = [(t, D(rng.randrange(1, 900)) / 100) for t in moments(rng, 400, days=40)] * 3 + [(None, D(1)), (T0, None)]
+    spans = []
+    for n in range(60):
+        a = T0 + (dt.timedelta(days=rng.randrange(40)) if whole_days else dt.timedelta(minutes=rng.randrange(40 * 1440)))
+        spans.append((n, a, a + (dt.timedelta(days=rng.choice([0, 1, 5, 14, -1])) if whole_days
+                                 else dt.timedelta(minutes=rng.choice([0, 7, 600, 1440, 9000, -60])))))
+    spans += [spans[0], (500, None, T0), (501, T0, None)]
+    left = spark.createDataFrame(rows, "at timestamp, v decimal(12,2)").repartition(4)
+    right = spark.createDataFrame(spans, "promo int, a timestamp, z timestamp")
+    met, join = [], TP.interval_join
+
+    def spy(side, *args):
+        met.append(side.count())
+        return join(side, *args)
+    monkeypatch.setattr(TP, "interval_join", spy)
+    got = {r["promo"]: (r["transaction_count"], r["v"])
+           for r in TP.interval_totals(left, right, "at", "a", "z", ["promo"], "v").collect()}
+    want = {}
+    for p, a, z in spans:
+        held = [v for t, v in rows if None not in (t, a, z) and a <= t < z]
+        n, v = want.get(p, (0, None))
+        if held:
+            some = [x for x in held if x is not None]
+            want[p] = (n + len(held), sum(some, v or D(0)) if some else v)
+    assert got == want and want
+    # days, and moments only where an interval does not end at midnight
+    assert met[0] <= 160 and (len(met) == 1) == whole_days

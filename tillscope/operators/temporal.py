@@ -10,6 +10,7 @@ window on one small row a key and bucket.
 every row with every interval: intervals are filed in bins as wide as they are
 long at least (a power of two), so each lies in two bins at most; a moment looks
 in one bin of each width that occurs, and the equal bins are compared in full.
+``interval_totals`` joins days and moments already added up where only totals are asked.
 """
 
 from __future__ import annotations
@@ -92,3 +93,27 @@ def interval_join(rows: DataFrame, intervals: DataFrame, time: str, start: str,
         if levels else F.array().cast("array<struct<_level:int,_bin:bigint>>")
     asked = rows.where(F.col(time).isNotNull()).select("*", F.inline(looks))
     return asked.join(binned, ["_level", "_bin", *on]).where((t >= a) & (t < z)).drop("_level", "_bin")
+
+
+def interval_totals(rows: DataFrame, intervals: DataFrame, time: str, start: str, end: str, by: Sequence,
+                    amount: str) -> DataFrame:
+    """Per ``by`` of the intervals: transaction_count and the exact sum of ``amount`` of the rows they hold.
+
+    The whole days within an interval are met by the totals of days; only what an
+    interval has before its first and after its last midnight is met by the totals
+    of moments. No row is paired with an interval.
+    """
+    def totals(at: Column) -> DataFrame:
+        return rows.groupBy(at.alias("_at")).agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_sum"))
+
+    def pieces(*spans) -> DataFrame:
+        cut = F.array(*[F.struct(a.alias("_a"), z.alias("_z")) for a, z in spans])
+        return intervals.where(F.col(end) > F.col(start)).select("*", F.inline(cut)).where("_a < _z")
+    a, z = F.col(start).cast("timestamp"), F.col(end).cast("timestamp")
+    midnight, last = F.date_trunc("day", a), F.date_trunc("day", z)
+    first = F.when(midnight == a, a).otherwise(F.date_add(midnight.cast("date"), 1).cast("timestamp"))
+    met = interval_join(totals(F.date_trunc("day", time)), pieces((first, last)), "_at", "_a", "_z")
+    edges = pieces((a, F.least(first, z)), (F.greatest(last, first), z))
+    if not edges.isEmpty():
+        met = met.unionByName(interval_join(totals(F.col(time).cast("timestamp")), edges, "_at", "_a", "_z"))
+    return met.groupBy(*by).agg(F.sum("_n").alias("transaction_count"), F.sum("_sum").alias(amount))
