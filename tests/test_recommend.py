@@ -67,3 +67,28 @@ def test_few_products_and_null_rows(spark):
     sales = spark.createDataFrame(rows, "customer_id string, product_id string")
     got = {(r["customer_id"], r["product_id"]) for r in R.product_recommendations(sales, k=5, rank=2, iterations=2).collect()}
     assert got == {("b", "y")}
+
+
+def test_customers_go_only_to_blocks_that_can_hold_a_recommendation(spark, monkeypatch):
+    monkeypatch.setattr(R, "CUSTOMERS_AT_ONCE", 16)
+    monkeypatch.setattr(R, "PRODUCTS_AT_ONCE", 8)
+    monkeypatch.setattr(R, "SCORES_AT_ONCE", 24)
+    sent, cells = [], R._in_cells
+
+    def spy(left, *args):
+        sent.append(left.count())
+        return cells(left, *args)
+    monkeypatch.setattr(R, "_in_cells", spy)
+    rng = random.Random(8)
+    # 200 products in 25 blocks: the first is bought most, all others equally often; ties go to the smaller product
+    rows = [(f"c{c:02}", f"p{p:03}") for c in range(40) for p in rng.sample(range(1, 200), 3)]
+    rows += [(f"c{c:02}", f"p{p:03}") for c in range(36) for p in (0, 1, 2, 3)]
+    sales = spark.createDataFrame(rows, "customer_id string, product_id string")
+    n, seen = defaultdict(set), defaultdict(set)
+    for c, p in rows:
+        n[p].add(c)
+        seen[c].add(p)
+    want = {(c, i + 1, p, float(len(n[p]))) for c in seen for i, p in enumerate(
+        sorted((p for p in n if p not in seen[c]), key=lambda p: (-len(n[p]), p))[:2])}
+    assert set(map(tuple, R.popular_recommendations(sales, 2).collect())) == want
+    assert sent[0] == 40 and sent[1] <= 40  # of 40 x 24

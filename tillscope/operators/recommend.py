@@ -6,9 +6,13 @@ blocks (each half-step solves one side with the other side's factors sent to the
 blocks that need them). A customer's recommendations are the products with the
 largest products of factors among those not bought yet.
 
-Scoring compares a block of customers with a block of products at a time: cells
-of bounded size, of which only a customer's best ``k`` leave a task, and these
-meet by customer. Neither factor table is gathered anywhere.
+Products are put in order of the length of their factors and cut into blocks.
+Every customer is scored against the first block. The k-th best score found there
+bounds the rest: a block whose longest product, in the customer's own direction,
+would score less holds no recommendation, and the customer is not sent to it. So
+the customers that go on to a block, not all pairs, are what is scored. Cells of
+customers and products are of bounded size, scored some rows at a time; only a
+customer's best ``k`` leave a task. Neither factor table is gathered anywhere.
 
 ``evaluate`` splits in time: factors and popularity come from the sales up to a
 day, and the shares of what each customer first bought after it that are among
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +36,9 @@ from tillscope.functions.columns import day_range
 from tillscope.operators.ranking import global_row_number
 from tillscope.session import materialize
 
-CUSTOMERS_AT_ONCE, PRODUCTS_AT_ONCE = 4096, 8192
+CUSTOMERS_AT_ONCE, PRODUCTS_AT_ONCE = 32768, 8192
+#: Scores held at once in a task.
+SCORES_AT_ONCE = 1 << 22
 
 
 def purchases(sales_df: DataFrame) -> DataFrame:
@@ -62,39 +69,88 @@ def fit_factors(bought: DataFrame, rank: int = 16, iterations: int = 8, regulari
 
 
 def _best_of_cell(k: int):
+    """Of a cell, the k best products of each customer that are not below ``least``, as (user, item, score)."""
     def run(customers: pa.Table, products: pa.Table) -> pa.Table:
+        none = pa.table({"user": pa.array([], pa.int32()), "item": pa.array([], pa.int32()), "score": pa.array([], pa.float64())})
+        if not customers.num_rows or not products.num_rows:
+            return none
         products = products.sort_by("item")
-        matrix = lambda t: np.array(t["features"].to_pylist(), np.float32)
-        items = products["item"].to_numpy()
-        scores = matrix(customers) @ matrix(products).T
-        for i, seen in enumerate(customers["seen"].to_pylist()):
-            if seen:
-                at = np.searchsorted(items, seen)
-                at = at[(at < len(items)) & (items[np.minimum(at, len(items) - 1)] == seen)]
-                scores[i, at] = -np.inf
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        user = np.repeat(customers["user"].to_numpy(), best.shape[1])
-        score = np.take_along_axis(scores, best, 1).ravel()
-        taken = np.isfinite(score)
-        return pa.table({"user": user[taken], "item": items[best.ravel()][taken], "score": score[taken].astype(np.float64)})
+        of = lambda t: np.asarray(pc.list_flatten(t["features"].combine_chunks()), np.float32).reshape(t.num_rows, -1)
+        items, right, left = products["item"].to_numpy(), np.ascontiguousarray(of(products).T), of(customers)
+        users, least = customers["user"].to_numpy(), customers["least"].to_numpy().astype(np.float32)
+        seen = customers["seen"].combine_chunks()
+        whose, which = np.asarray(pc.list_parent_indices(seen)), np.asarray(pc.list_flatten(seen))
+        at = np.minimum(np.searchsorted(items, which), len(items) - 1)
+        here = items[at] == which
+        whose, at = whose[here], at[here]
+        out, step = [none], max(1, SCORES_AT_ONCE // len(items))
+        for lo in range(0, len(users), step):
+            scores = left[lo:lo + step] @ right
+            a, z = np.searchsorted(whose, [lo, lo + step])
+            scores[whose[a:z] - lo, at[a:z]] = -np.inf
+            bound = least[lo:lo + step].copy()
+            open_ = np.flatnonzero(bound == -np.inf)
+            if len(open_) and len(items) > k:
+                bound[open_] = np.partition(scores[open_], len(items) - k, axis=1)[:, len(items) - k]
+            row, col = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
+            score = scores[row, col]
+            order = np.lexsort((col, -score, row))  # ties: the smaller item
+            row, col, score = row[order], col[order], score[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pa.table({"user": users[lo + row[best]].astype(np.int32), "item": items[col[best]].astype(np.int32),
+                                 "score": score[best].astype(np.float64)}))
+        return pa.concat_tables(out)
     return run
 
 
-def recommend(users: DataFrame, items: DataFrame, bought: DataFrame, k: int = 10) -> DataFrame:
-    """customer_id, rank, product_id, score: the k best products that each customer has not bought."""
-    n_users, n_items = max(1, -(-users.count() // CUSTOMERS_AT_ONCE)), max(1, -(-items.count() // PRODUCTS_AT_ONCE))
-    seen = bought.join(items.select("product_id", "item"), "product_id").groupBy("customer_id") \
-        .agg(F.sort_array(F.collect_set("item")).alias("seen"))
-    asked = users.select("customer_id", "user", "features").join(seen, "customer_id", "left")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("user", "features", "seen", F.pmod(F.xxhash64("user"), F.lit(n_users)).cast("int").alias("u"),
-                        every(n_items).alias("i"))
-    right = items.select("item", "features", F.pmod(F.xxhash64("item"), F.lit(n_items)).cast("int").alias("i"),
-                         every(n_users).alias("u"))
-    found = left.groupBy("u", "i").cogroup(right.groupBy("u", "i")) \
+def _in_cells(left: DataFrame, right: DataFrame, n_users: int, k: int) -> DataFrame:
+    """user, item, score: each row of ``left`` (user, features, seen, least, i) against the products of its block i."""
+    group = lambda x: F.pmod(F.xxhash64(x), F.lit(n_users)).cast("int").alias("u")
+    left = left.select("user", "features", "seen", "least", "i", group("user"))
+    right = right.select("item", "features", "i", F.explode(F.sequence(F.lit(0), F.lit(n_users - 1))).alias("u"))
+    return left.groupBy("u", "i").cogroup(right.groupBy("u", "i")) \
         .applyInArrow(_best_of_cell(k), "user int, item int, score double")
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """user, rank, item, score: the k best of the found ones of every user."""
     by_customer = Window.partitionBy("user").orderBy(F.desc("score"), "item")
-    best = found.withColumn("rank", F.row_number().over(by_customer)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(by_customer)).where(F.col("rank") <= k)
+
+
+def recommend(users: DataFrame, items: DataFrame, bought: DataFrame, k: int = 10) -> DataFrame:
+    """customer_id, rank, product_id, score: the k best products that each customer has not bought."""
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    by_size = global_row_number(items.withColumn("size", size(F.col("features"))), [F.desc("size"), F.asc("item")], "place")
+    block = F.floor((F.col("place") - 1) / PRODUCTS_AT_ONCE).cast("int")
+    placed = materialize(by_size.select("product_id", "item", "features", "size", block.alias("i")), "recommend-placed")
+    # one row a block: its longest product, and the smallest item among those of that length
+    blocks = placed.groupBy("i").agg(F.max(F.struct("size", (-F.col("item")).alias("item"))).alias("top"))
+    blocks = blocks.agg(F.sort_array(F.collect_list(F.struct(
+        "i", F.col("top.size").alias("size"), (-F.col("top.item")).alias("item")))).alias("blocks"))
+    n_users = max(1, -(-users.count() // CUSTOMERS_AT_ONCE))
+    seen = bought.join(placed.select("product_id", "item", "i"), "product_id").groupBy("customer_id") \
+        .agg(F.collect_set(F.struct("i", "item")).alias("seen"))
+    asked = users.select("customer_id", "user", "features").join(seen, "customer_id", "left") \
+        .select("user", "features", size(F.col("features")).alias("size"), "seen")
+    asked = materialize(asked, "recommend-asked")
+    # a cell is told what a customer bought of its block only
+    of_block = lambda i: F.transform(F.filter("seen", lambda x: x["i"] == i), lambda x: x["item"]).alias("seen")
+    first = _in_cells(asked.select("user", "features", of_block(F.lit(0)), F.lit(float("-inf")).alias("least"),
+                                   F.lit(0).alias("i")), placed.where("i = 0"), n_users, k)
+    first = materialize(_kth(first, k), "recommend-first")
+    kth = first.where(F.col("rank") == k).select("user", F.col("score").alias("least"), F.col("item").alias("last"))
+    # rounding: sums of several products may come out a little above the bound, a single one does not
+    bound = lambda b: F.when(F.size("features") > 1, F.col("size") * b["size"] * (1 + 1e-5)) \
+        .otherwise((F.col("size") * b["size"]).cast("float").cast("double"))
+    ahead = F.filter("blocks", lambda b: (b["i"] > 0) & (F.col("least").isNull() | (bound(b) > F.col("least"))
+                                                        | ((bound(b) == F.col("least")) & (b["item"] < F.col("last")))))
+    more = asked.join(kth, "user", "left").crossJoin(F.broadcast(blocks)) \
+        .select("user", "features", "seen", "least", F.explode(F.transform(ahead, lambda b: b["i"])).alias("i")) \
+        .select("user", "features", of_block(F.col("i")), F.coalesce("least", F.lit(float("-inf"))).alias("floor"), "i") \
+        .withColumnRenamed("floor", "least")
+    rest = _in_cells(more, placed.where("i > 0"), n_users, k)
+    best = _kth(first.drop("rank").unionByName(rest), k)
     return best.join(users.select("user", "customer_id"), "user").join(items.select("item", "product_id"), "item") \
         .select("customer_id", "rank", "product_id", "score")
 
