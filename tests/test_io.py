@@ -101,6 +101,21 @@ def test_partitioned_write_and_prune(spark, sample_sales):
     assert feb.count() == 2
 
 
+def test_customer_buckets_grow_with_the_sales(spark, monkeypatch, sample_sales, sample_customers, sample_products):
+    monkeypatch.setattr(M, "ROWS_A_BUCKET", 1)
+    made = []
+    write = M.observed_write
+
+    def spy(df, path, *args, **kw):
+        made.append(kw.get("bucket_by"))
+        return write(df, path, *args, **kw)
+    monkeypatch.setattr(M, "observed_write", spy)
+    _, counts = M.run(spark, sample_sales, sample_customers, sample_products, customer_buckets=2)
+    got = {(r["layer"], r["table_name"]): r["record_count"] for r in counts.collect()}
+    assert got[("silver", "sales")] == 6 and got[("gold", "customer_analytics")] == 3
+    assert [b for b in made if b] == [(6, ["customer_id"])] * 2  # six sales, one a bucket
+
+
 def test_medallion_on_fixtures(spark, sample_sales, sample_customers, sample_products):
     lay, counts = M.run(spark, sample_sales, sample_customers, sample_products)
     got = {(r["layer"], r["table_name"]): r["record_count"] for r in counts.collect()}

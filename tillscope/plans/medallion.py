@@ -51,6 +51,9 @@ class Layout:
         return f"{self.base.rstrip('/')}/_metrics"
 
 
+#: Sales of a customer bucket, on average, at most.
+ROWS_A_BUCKET = 1_000_000
+
 GOLD_TABLES = ("customer_analytics", "product_performance", "monthly_trends", "regional_performance")
 
 
@@ -77,9 +80,10 @@ def run(spark: SparkSession, sales: DataFrame, customers: DataFrame, products: D
     """Run the three layers; returns (layout, row counts per layer table).
 
     ``customer_buckets=n`` writes silver sales and silver customers bucketed
-    (and sorted) by customer_id into n buckets: the gold per-customer
-    aggregate then runs without an exchange and its join to the customers is
-    co-located (no shuffle on either side).
+    (and sorted) by customer_id into n buckets, or more where a bucket would
+    hold over ``ROWS_A_BUCKET`` sales (a bucket is read by one task): the gold
+    per-customer aggregate then runs without an exchange and its join to the
+    customers is co-located (no shuffle on either side).
 
     The tables of one layer do not depend on each other, so their writes are
     submitted as concurrent Spark jobs (``parallel_writes`` at a time); the
@@ -94,7 +98,9 @@ def run(spark: SparkSession, sales: DataFrame, customers: DataFrame, products: D
         kw = {"max_records_per_file": settings.max_records_per_file}
         if bucketed:
             tables[(layer, table)] = f"{layer}_{table}_{tag}"
-            kw.update(bucket_by=(customer_buckets, ["customer_id"]), table_name=tables[(layer, table)])
+            # dealt like the buckets: a task writes one bucket, not a piece of each
+            df = df.repartition(buckets, "customer_id")
+            kw.update(bucket_by=(buckets, ["customer_id"]), table_name=tables[(layer, table)])
         n, sec = observed_write(df, lay.path(layer, table), fmt, "overwrite", partition_by, **kw)
         metrics.append((pipeline, f"{layer}.{table}", sec, n))
 
@@ -120,6 +126,8 @@ def run(spark: SparkSession, sales: DataFrame, customers: DataFrame, products: D
           lambda: bronze(products, "products"))
 
     bucketed = bool(customer_buckets)
+    ingested = next(n for _, stage, _, n in metrics if stage == "bronze.sales")
+    buckets = max(customer_buckets or 1, -(-ingested // ROWS_A_BUCKET))
     b_sales = read_table(spark, lay.path("bronze", "sales"), fmt)
     _, rejects = Q.split_quarantine(b_sales, settings)
     layer(lambda: put(Q.silver_sales(b_sales, settings), "silver", "sales", bucketed=bucketed),
