@@ -107,3 +107,37 @@ def test_batch_ids_and_empty_batches(spark):
     before = now(tables)
     assert tables.load(spark.createDataFrame([], SCHEMA), "none") and now(tables) == before
     assert spark.read.parquet(tables.path("quarantine", "b0")).where("size(reject_reasons) > 0").count() > 0
+
+
+def test_landed_batches_are_written_once_and_loaded_as_they_are(spark):
+    tables = IncrementalTables(spark, fresh_path(spark, "t-landed"))
+    rows = [r for b in batches() for r in b]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(part):
+        for r in part:
+            reads.add(1)
+            yield r
+    sales = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).mapPartitions(counted), SCHEMA)
+    part = F.pmod(F.coalesce(F.crc32("transaction_id"), F.lit(0)), F.lit(3))
+    tables.land(sales, F.concat(F.lit("b"), part))
+    assert reads.value == len(rows)
+    landed = files(tables, "bronze")
+    for n in range(3):
+        assert tables.load(sales.where(part == n), f"b{n}")
+    assert reads.value == len(rows) and files(tables, "bronze") == landed
+    assert spark.read.parquet(tables.path("bronze", "*")).select("batch_id").distinct().count() == 3
+    assert now(tables) == silver_of(spark, rows)
+
+
+def test_months_in_several_parts_equal_a_rebuild(spark, monkeypatch):
+    from tillscope.plans import incremental
+    monkeypatch.setattr(incremental, "ROWS_A_PART", 6)
+    tables = IncrementalTables(spark, fresh_path(spark, "t-parts"))
+    rows = [r for b in batches() for r in b]
+    tables.load(spark.createDataFrame(rows[:200], SCHEMA), "b0")
+    tables.load(spark.createDataFrame(rows[200:], SCHEMA), "b1")
+    assert now(tables) == silver_of(spark, rows)
+    assert len(files(tables, "silver")) > len(tables._months(tables.path("silver")))
+    gold = tables.totals("customer_months", "customer_id").agg(F.sum("transaction_count")).first()[0]
+    assert gold == len(silver_of(spark, rows))

@@ -8,6 +8,11 @@ as files. The row that silver keeps of an id is the least of all its copies, and
 the least of (the kept one, the batch's copies) is the same row, so the result
 equals a rebuild from all of bronze.
 
+A month's rows are dealt to parts by their ids, as many as its rows ask for. The
+copies of an id lie in one month mostly: those are reduced within their part, and
+the parts are the files, so a row is moved once. Ids with copies in several months
+are found on ids and months alone, and only their rows are put together by id.
+
 Gold holds what can be added up by month: measures by customer and month, and by
 region and month. A batch rebuilds the touched months of both; totals are sums
 over the months.
@@ -27,10 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.operators import quality as Q
+from tillscope.session import materialize
 from tillscope.settings import DEFAULT, Settings
 from tillscope.sources.sinks import with_ingest_metadata, write_quarantine
 
 MONTH = "sale_month"
+#: Rows of a month that one task takes.
+ROWS_A_PART = 1_000_000
 
 
 def _by_month(df: DataFrame) -> DataFrame:
@@ -38,6 +46,14 @@ def _by_month(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", MONTH)
 
 
+def _deal(df: DataFrame, key: str, sizes: dict[str, int]) -> DataFrame:
+    """The rows of each month dealt by ``key`` to one or more parts (``_part``), a task each."""
+    parts = {m: 1 + n // ROWS_A_PART for m, n in sizes.items()} or {"none": 1}
+    of_month = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+    part = F.pmod(F.xxhash64(key), F.coalesce(F.element_at(of_month, F.col(MONTH)), F.lit(1)))
+    return df.withColumn("_part", part).repartition(sum(parts.values()), MONTH, "_part")
+
+
 @dataclass(frozen=True)
 class IncrementalTables:
     """The tables below one folder of the shared storage."""
@@ -68,6 +84,26 @@ class IncrementalTables:
 
     # ------------------------------------------------------------ loading
 
+    def land(self, sales: DataFrame, batch_of: F.Column, source_system: str = "sales") -> None:
+        """Write the bronze of several batches in one pass over their source; ``load`` takes them on from there.
+
+        ``batch_of`` is the batch id of a row. Batches that have their bronze keep it.
+        """
+        landing = self.path("_landing")
+        with_ingest_metadata(sales, source_system).withColumn("batch_id", batch_of).withColumn("_batch", batch_of) \
+            .write.mode("overwrite").partitionBy("_batch").parquet(landing)
+        fs, top = self._fs(landing)
+        for at in [f.getPath() for f in fs.listStatus(top) if f.getPath().getName().startswith("_batch=")]:
+            bronze = self.path("bronze", at.getName().split("=", 1)[1])
+            if self._written(bronze):
+                continue
+            self._remove(bronze)
+            fs.mkdirs(self._fs(self.path("bronze"))[1])
+            if not fs.rename(at, self._fs(bronze)[1]):
+                raise OSError(f"{at} could not be moved to {bronze}")
+            fs.create(self._fs(f"{bronze}/_SUCCESS")[1]).close()
+        self._remove(landing)
+
     def load(self, batch: DataFrame, batch_id: str, source_system: str = "sales") -> bool:
         """Take one batch of sales through the layers; False when it was loaded before."""
         if not batch_id or any(c in batch_id for c in "/\\ ="):
@@ -104,22 +140,35 @@ class IncrementalTables:
 
     def _stage(self, rows: DataFrame, staged: str) -> list[str]:
         """Write the new contents of the touched months, and tell which those are."""
-        new = Q.silver_sales(rows, self.settings).withColumn(MONTH, F.coalesce(self._month(), F.lit("none")))
-        columns = [c for c in new.columns if c != MONTH]
-        months = new.select(MONTH)
-        has = bool(self._months(self.path("silver")))
-        if has:
-            silver = self.table("silver")
-            ids = new.select("transaction_id")
-            months = months.unionByName(silver.join(ids, "transaction_id", "left_semi").select(MONTH))
-        touched = sorted(r[0] for r in months.distinct().collect())
-        if has:
-            held = silver.where(F.col(MONTH).isin(touched))  # only these partitions are read
-            both = held.select(*columns).unionByName(new.select(*columns))
-            new = Q.flag_sales(Q.remove_duplicates(both.drop("is_valid_amount", "is_valid_quantity"), ["transaction_id"]),
-                               self.settings).select(*columns).withColumn(MONTH, F.coalesce(self._month(), F.lit("none")))
-        _by_month(new).write.mode("overwrite").partitionBy(MONTH).parquet(staged)
-        return touched
+        month = F.coalesce(self._month(), F.lit("none"))
+        both = rows.where(Q.valid_sale(self.settings))
+        columns = both.columns
+        # months as numbers: their least and greatest by id are found without sorting
+        number = F.coalesce(F.year("transaction_date") * 12 + F.month("transaction_date"), F.lit(-1)).alias("m")
+        places = both.select("transaction_id", number)
+        sizes = {r[0]: r[1] for r in both.groupBy(month).count().collect()}
+        silver = self.table("silver") if self._months(self.path("silver")) else None
+        if silver is not None:
+            places = places.unionByName(silver.select("transaction_id", number))
+        moved = materialize(places.groupBy("transaction_id").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+                            .where("lo <> hi").select("transaction_id"), "incremental-moved")
+        some = not moved.isEmpty()
+        touched = set(sizes)
+        if silver is not None:
+            if some:
+                touched |= {r[0] for r in silver.join(moved, "transaction_id", "left_semi").select(MONTH).distinct().collect()}
+            held = silver.where(F.col(MONTH).isin(sorted(touched)))  # only these partitions are read
+            for r in held.groupBy(MONTH).count().collect():
+                sizes[r[0]] = sizes.get(r[0], 0) + r[1]
+            both = held.select(*columns).unionByName(both)
+        stays = both.join(moved, "transaction_id", "left_anti") if some else both
+        dealt = _deal(stays.withColumn(MONTH, month), "transaction_id", sizes)
+        new = Q.remove_duplicates(dealt, [MONTH, "_part", "transaction_id"]).select(*columns)
+        if some:
+            goes = both.join(moved, "transaction_id", "left_semi").select(*columns)
+            new = new.unionByName(Q.remove_duplicates(goes, ["transaction_id"]))
+        Q.flag_sales(new, self.settings).withColumn(MONTH, month).write.mode("overwrite").partitionBy(MONTH).parquet(staged)
+        return sorted(touched)
 
     def _months(self, path: str) -> list[str]:
         """The months that have a folder below ``path``."""
@@ -150,9 +199,14 @@ class IncrementalTables:
                     F.sum(F.col("quantity").cast("long")).alias("units"),
                     F.min("transaction_date").alias("first_purchase_date"),
                     F.max("transaction_date").alias("last_purchase_date")]
-        for name, key in (("customer_months", "customer_id"), ("region_months", "region")):
+        sizes = {r[0]: r[1] for r in silver.groupBy(MONTH).count().collect()}
+        sold = silver.select(MONTH, "customer_id", "total_amount", "quantity", "transaction_date")
+        customers = _deal(sold, "customer_id", sizes).groupBy(MONTH, "_part", "customer_id").agg(*measures).drop("_part")
+        # a month's regions are few: they are reduced where they lie
+        regions = _by_month(silver.groupBy(MONTH, "region").agg(*measures))
+        for name, rows in (("customer_months", customers), ("region_months", regions)):
             staged = self.path("_staged_gold", name)
-            _by_month(silver.groupBy(MONTH, key).agg(*measures)).write.mode("overwrite").partitionBy(MONTH).parquet(staged)
+            rows.write.mode("overwrite").partitionBy(MONTH).parquet(staged)
             self._put(staged, name, touched, self._months(staged))
 
     # ------------------------------------------------------------ reading
