@@ -145,7 +145,7 @@ def recommend(users: DataFrame, items: DataFrame, bought: DataFrame, k: int = 10
         .otherwise((F.col("size") * b["size"]).cast("float").cast("double"))
     ahead = F.filter("blocks", lambda b: (b["i"] > 0) & (F.col("least").isNull() | (bound(b) > F.col("least"))
                                                         | ((bound(b) == F.col("least")) & (b["item"] < F.col("last")))))
-    more = asked.join(kth, "user", "left").crossJoin(F.broadcast(blocks)) \
+    more = asked.join(kth, "user", "left").withColumn("blocks", blocks.scalar()) \
         .select("user", "features", "seen", "least", F.explode(F.transform(ahead, lambda b: b["i"])).alias("i")) \
         .select("user", "features", of_block(F.col("i")), F.coalesce("least", F.lit(float("-inf"))).alias("floor"), "i") \
         .withColumnRenamed("floor", "least")
