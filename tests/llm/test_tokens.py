@@ -126,6 +126,35 @@ def test_transducer_on_random_strings():
         assert fst.decode(fst.encode(t)) == t.replace(MARK, " ")
 
 
+def test_chunks_of_a_block_are_composed_together(monkeypatch):
+    """Only long chunks take a path of their own; ids equal the library's, however the memo and the blocks fall."""
+    import random
+
+    import sentencepiece
+    sp, rng, old = sentencepiece.SentencePieceProcessor(model_file=M.piece_model()), random.Random(8), P.PieceFst.shortest
+
+    def only_long(self, chunk):
+        assert len(chunk) > P.LONG, chunk
+        return old(self, chunk)
+
+    monkeypatch.setattr(P.PieceFst, "shortest", only_long)
+    monkeypatch.setattr(P, "AT_ONCE", 200)
+    alphabet = "aeinorstthl" * 3 + "ABC  ,.;-'\"0123456789éß漢😀\n\t▁\x00"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90))) for _ in range(500)]
+    texts += ["", " ", "\n", "▁", "x" * 64, "x" * 63, "ab" * 500 + " end", "the " * 50, "漢" * 70, "\n\n  \n a"]
+    enc = P.Encoder(M.piece_model(), memo=60)
+    for i in range(0, len(texts), 17):
+        part = texts[i:i + 17]
+        ids, offsets = enc.encode([t.encode() for t in part])
+        for t, a, z in zip(part, offsets[:-1], offsets[1:]):
+            assert ids[a:z].tolist() == sp.encode(t), repr(t)
+        assert P._decode(enc.fst, ids, offsets, [t.encode() for t in part]) == [True] * len(part)
+        assert P._decode(enc.fst, ids, offsets, [t.encode() + b"!" for t in part]) == [False] * len(part)
+    bad = [b"a\xff b", b"c"]  # no UTF-8
+    ids, offsets = enc.encode(bad)
+    assert ids[:offsets[1]].tolist() == sp.encode("a\ufffd b") and P._decode(enc.fst, ids, offsets, bad) == [True, True]
+
+
 def test_encode_and_decode_tables(spark, odd, rows):
     back = P.decode_documents(P.encode_documents(odd, M.piece_model()), M.piece_model()).collect()
     assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((i, (t or "").replace(MARK, " ")) for i, t in rows)
