@@ -38,6 +38,39 @@ def test_chunks_encode_as_whole_texts(rows, ids_of):
             assert np.array_equal(ids[a:z], ids_of(t))
 
 
+def test_full_memo_keeps_segments_that_come_again(ids_of):
+    """Words of every block are tokenized once, though each block's other words fill the memo."""
+    learned = Counter()
+
+    class Counting(ChunkEncoder):
+        def _learn(self, new, odd):
+            learned.update(new)
+            return super()._learn(new, odd)
+
+    enc = Counting(word_bpe(), 1, memo=20_000)
+    common = "whenever don't 漢字 Élan 12 -- x\x1cy "
+    for k in range(12):
+        texts = [common + " ".join(f"w{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(90)), "", common]
+        ids, offsets = enc.encode([t.encode() for t in texts])
+        for t, a, z in zip(texts, offsets[:-1], offsets[1:]):
+            assert np.array_equal(ids[a:z], ids_of(t))
+    assert sum(n for s, n in learned.items() if len(s) == 5 and s[:1] == b"w") == 12 * 90
+    assert enc.held <= 40_000 and len(enc.starts) < 12 * 90
+    assert all(learned[s] == 1 for s in (b"whenever", "漢字".encode(), "élan".encode(), b"--"))
+
+
+def test_plain_words_by_the_model_equal_the_library(ids_of):
+    """Words of ASCII and Latin-1 letters, digits and signs, as the splitter by white space hands them to the model."""
+    import random
+    rng = random.Random(3)
+    alphabet = "abcdeghiorstuvxyzABCXYZ" * 3 + "àéîõüßÿÀÉÖÞ×÷0123456789'-.,_#!\t\n\x0b  "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    texts += ["", " ", "\n\n", " x", "x ", "'s", "it's", "''re", "<|endoftext|>a", "a<|startoftext|>", "e\u0301 é"]
+    ids, offsets = ChunkEncoder(word_bpe(), 1).encode([t.encode() for t in texts])
+    for t, a, z in zip(texts, offsets[:-1], offsets[1:]):
+        assert np.array_equal(ids[a:z], ids_of(t)), repr(t)
+
+
 def test_token_orc_round_trip(spark, odd, rows, ids_of):
     path = fresh_path(spark, "t-orc")
     O.write_tokens(odd, path, word_bpe())
