@@ -28,7 +28,7 @@ from tillscope.llm.common import runs
 from tillscope.llm.shingles import is_space
 
 #: Bytes of segments and ids kept at most, about. Longer segments are not kept.
-MEMO, LONGEST = 64 << 20, 64
+MEMO, LONGEST = 32 << 20, 64
 #: What an entry of the memo takes besides its ids, about; in the dict it takes more, besides its bytes.
 ENTRY, IN_DICT = 50, 100
 #: Bytes of text encoded at once, about (a longer text is encoded alone).
