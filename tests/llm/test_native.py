@@ -85,3 +85,19 @@ def test_long_lines_stay_whatever_they_name(spark):
 def test_clean_documents_keep_the_columns(odd):
     out = L.clean_documents(odd)
     assert out.columns == odd.columns and out.dtypes == odd.dtypes and out.where("kept != 'x'").count() == 0
+
+
+def test_line_quality_searches_its_texts_by_patterns_only(spark):
+    """No look-up of single characters, no copy for each window; results at the edges of the faster searches."""
+    lines = [("Done.", False), ("Done" + "." + "”" * 40, False), ("Done." + "\t \r" * 30, False), ("Done.\u2028", False),
+             ("Done" + ")" * 40, True), ("a | b • c.", True), ("#_[^]\\ one $ two *", True), ("well = fine, #1 of _two_, and that is all.", False),
+             ("Back to Top.", True), ("All rights  reserved.", False)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["f"] for r in df.select("doc_id", L.line_fails(F.col("text")).alias("f")).collect()}
+    assert got == {i: fails for i, (_, fails) in enumerate(lines)}
+    plan = L.line_quality(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "slice(" not in plan
+    phrases = "five words come here again " * 4
+    texts = spark.createDataFrame([(1, phrases), (2, "a # b\t\nc"), (3, "x y z " * 3 + "*|*")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_repeat_words"], r["n_symbols"], r["word_chars"]) for r in L.line_quality(texts).collect()}
+    assert found == {1: (20, 0, 88), 2: (0, 1, 4), 3: (9, 3, 12)}

@@ -15,6 +15,10 @@ columns are ignored by ``line_quality`` and kept by ``clean_documents``.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ MAX_REPEAT_PCT = 20
 LEAST_MARKS = 3
 SHORT_LINE = 8
 SYMBOLS = "#*$%&|<>"
+#: Characters at the end of a line that are searched for a sentence end first.
+TAIL = 16
 #: A line is navigation with so many separators, if no more than so many words come to each.
 LEAST_SEPARATORS = 2
 WORDS_PER_SEPARATOR = 6
@@ -60,7 +66,8 @@ def _n_words(line: Column) -> Column:
 
 
 def _count_of(line: Column, chars: str) -> Column:
-    return F.length(line) - F.length(F.translate(line, chars, ""))
+    # not by ``translate``, which looks every character up as a string of its own
+    return F.length(line) - F.length(F.regexp_replace(line, "[" + re.sub(r"(\W)", r"\\\1", chars) + "]+", ""))
 
 
 def line_fails(line: Column) -> Column:
@@ -77,25 +84,29 @@ def line_fails(line: Column) -> Column:
         & (_n_words(line) <= separators * WORDS_PER_SEPARATOR)
     marks = _count_of(line, SYMBOLS + "!^~=_")
     noisy = (marks >= LEAST_MARKS) & (marks * 10 > F.length(line))
-    unfinished = ~line.rlike(SENTENCE_END) & (_n_words(line) < SHORT_LINE)
-    phrases, low = "|".join(BOILERPLATE), F.lower(_trim(line))
-    boilerplate = low.rlike(phrases) & (F.length(F.regexp_replace(low, phrases, "")) * 2 <= F.length(low))
-    return navigation | noisy | unfinished | boilerplate
+    # the end of a line mostly shows it; if not, the whole line is searched
+    unfinished = ~F.right(line, F.lit(TAIL)).rlike(SENTENCE_END) & (_n_words(line) < SHORT_LINE) & ~line.rlike(SENTENCE_END)
+
+    def boilerplate(low: Column) -> Column:
+        named = reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE])
+        return named & (F.length(F.regexp_replace(low, "|".join(BOILERPLATE), "")) * 2 <= F.length(low))
+    return navigation | noisy | unfinished | _bound(F.lower(_trim(line)), boilerplate)
 
 
 def _repeat_words(words: Column) -> Column:
     """Words covered by 5-word windows that occur twice or more in the text."""
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))
+    # the hash of an array is that of its elements in turn, and a slice would copy them
+    hashes = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)]))
 
     def covered(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def places(s: Column) -> Column:
             last = F.size(s) - 1
             again = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"]))
                              | ((i < last) & (F.get(s, i + 1)["h"] == x["h"])))
-            return F.array_sort(F.transform(again, lambda x: x["i"]))
+            return F.sort_array(F.transform(again, lambda x: x["i"]))
 
         def cover(p: Column) -> Column:
             # windows start at the places p; each covers 5 words, less what the next one covers
@@ -119,7 +130,8 @@ def _judgement() -> Column:
                         lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails")))
 
     def of_words(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"),
+                        F.length(F.array_join(w, "")).cast("long").alias("word_chars"))
 
     def of_lines(x: Column) -> Column:
         lost = F.aggregate(F.filter(x, lambda y: y["fails"]), F.lit(0), lambda a, y: a + _n_words(y["line"]))
@@ -132,7 +144,7 @@ def _judgement() -> Column:
         n, repeated = q["w"]["n_words"], q["w"]["n_repeat_words"]
         base_failed = (n < MIN_WORDS) | (repeated * 100 > n * MAX_REPEAT_PCT)
         return F.struct(
-            n.alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
+            n.alias("n_words"), q["w"]["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
             q["l"]["n_dup_lines"].alias("n_dup_lines"), repeated.alias("n_repeat_words"),
             base_failed.alias("base_failed"),
             (~base_failed & (q["l"]["lost_words"] <= n * MAX_LOSS)).alias("kept"),
@@ -140,8 +152,7 @@ def _judgement() -> Column:
 
     return _bound(F.struct(
         _bound(_words(t), of_words).alias("w"), _bound(lines, of_lines).alias("l"),
-        F.length(F.translate(t, SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols")), verdict)
+        _count_of(t, SYMBOLS).cast("long").alias("n_symbols")), verdict)
 
 
 def line_quality(docs: DataFrame) -> DataFrame:
