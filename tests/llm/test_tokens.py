@@ -29,6 +29,26 @@ def ids_of():
     return ids
 
 
+def test_a_packing_task_holds_little_besides_its_memo(monkeypatch):
+    """Blocks of encoded text are small: two workers and the JVM share an executor's memory."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    text = "so the mill by the river was sold to a man of the town " * 40
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": [text] * 3000})  # 6 MB
+    run = K._pieces(word_bpe(), 1)
+    tokens = sum(sum(b["length"].to_pylist()) for b in run(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    try:
+        assert sum(sum(b["length"].to_pylist()) for b in run(iter([batch]))) == 300 * tokens
+        assert tracemalloc.get_traced_memory()[1] < 70 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_chunks_encode_as_whole_texts(rows, ids_of):
     enc = ChunkEncoder(word_bpe(), 1, memo=50)  # the memo starts anew again and again
     for i in range(0, len(rows), 7):

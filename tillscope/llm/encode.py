@@ -31,8 +31,8 @@ from tillscope.llm.shingles import is_space
 MEMO, LONGEST = 32 << 20, 64
 #: What an entry of the memo takes besides its ids, about; in the dict it takes more, besides its bytes.
 ENTRY, IN_DICT = 50, 100
-#: Bytes of text encoded at once, about (a longer text is encoded alone).
-ENCODED = 4 << 20
+#: Bytes of text encoded at once, about (a longer text is encoded alone); some thirty times that is held meanwhile.
+ENCODED = 1 << 20
 #: Words given to the library at once.
 AT_ONCE = 4096
 

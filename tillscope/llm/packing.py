@@ -35,6 +35,8 @@ from tillscope.llm.encode import ENCODED, encoder, word_bpe
 TIERS = (2048, 1024, 512, 256)
 WINDOW = TIERS[0]
 BLOCK = 1 << 20
+#: Bytes of text after which a block may end, about.
+LOOKED_AT = 4 << 20
 #: Tokens of a training step; the sequences of a block are dealt to steps of about this size.
 STEP = 64 * WINDOW
 END_ID = 1
@@ -168,12 +170,13 @@ def _pieces(path: str, end_id: int):
 
         for b in batches:
             ids_of, texts = b.column(0).to_pylist(), text_bytes(b.column(1))
-            for i, j in blocks(texts, ENCODED):
-                ids, offsets = enc.encode(texts[i:j])
-                ids = ids.astype("<u4", copy=False)
+            for i, j in blocks(texts, LOOKED_AT):
                 doc_ids += ids_of[i:j]
-                held += [ids[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
-                tokens += len(ids)
+                for k, m in blocks(texts[i:j], ENCODED):
+                    ids, offsets = enc.encode(texts[i + k:i + m])
+                    ids = ids.astype("<u4", copy=False)
+                    held += [ids[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
+                    tokens += len(ids)
                 if tokens >= BLOCK:
                     yield flush()
         if held:

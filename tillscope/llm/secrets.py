@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import id_text, text_bytes
+from tillscope.llm.common import give_back, id_text, text_bytes
 
 #: The base patterns and least lengths. Fixed values.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -93,6 +93,7 @@ def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words[digest] = [w.decode() for w in set(IDENTIFIER.findall(_without_spans(t, low, text).encode()))]
         yield pa.RecordBatch.from_pydict({"digest": pa.array(words, pa.binary()),
                                           "words": pa.array(words.values(), pa.list_(pa.string()))})
+    give_back()
 
 
 def identifier_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> bytes:
@@ -250,6 +251,7 @@ def _scan(dictionary: bytes):
                 [b.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)),
                  pa.array(shas, pa.string()), pa.array(spans, pa.string())],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        give_back()
     return run
 
 
@@ -283,6 +285,7 @@ def _redacted(dictionary: bytes, at: int, size_at: int | None, mark: str):
             if size_at is not None:
                 columns[size_at] = pa.array(sizes, b.column(size_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+        give_back()
     return run
 
 
