@@ -92,3 +92,43 @@ def test_customers_go_only_to_blocks_that_can_hold_a_recommendation(spark, monke
         sorted((p for p in n if p not in seen[c]), key=lambda p: (-len(n[p]), p))[:2])}
     assert set(map(tuple, R.popular_recommendations(sales, 2).collect())) == want
     assert sent[0] == 40 and sent[1] <= 40  # of 40 x 24
+
+
+def test_blocks_of_the_factorisation_grow_with_the_purchases(spark, monkeypatch):
+    asked, als = [], R.ALS
+
+    def spy(**options):
+        asked.append(options)
+        return als(**options)
+    monkeypatch.setattr(R, "ALS", spy)
+    bought = R.purchases(tastes(spark, customers=30)).cache()
+    least = max(2, spark.sparkContext.defaultParallelism)
+    R.fit_factors(bought, rank=2, iterations=1)
+    monkeypatch.setattr(R, "PURCHASES_AT_ONCE", -(-bought.count() // (least + 3)))
+    users, items = R.fit_factors(bought, rank=2, iterations=1)
+    assert [o["numUserBlocks"] for o in asked] == [o["numItemBlocks"] for o in asked] == [least, least + 3]
+    assert all(o["checkpointInterval"] == 1 for o in asked)  # else the shuffles of every iteration stay
+    assert users.count() == 30 and items.count() == bought.select("product_id").distinct().count()
+
+
+def test_a_cell_takes_no_product_that_was_bought(spark):
+    import pyarrow as pa
+    customers = pa.table({"user": pa.array([1, 2], pa.int32()), "features": pa.array([[1.0], [1.0]], pa.list_(pa.float32())),
+                          "seen": pa.array([[0, 1, 2], []], pa.list_(pa.int32())), "least": [float("-inf"), 2.0]})
+    products = pa.table({"item": pa.array([0, 1, 2, 3], pa.int32()),
+                         "features": pa.array([[3.0], [2.0], [2.0], [1.0]], pa.list_(pa.float32()))})
+    got = R._best_of_cell(4)(customers, products).to_pylist()
+    assert [(r["user"], r["item"], r["score"]) for r in got] == [(1, 3, 1.0), (2, 0, 3.0), (2, 1, 2.0), (2, 2, 2.0)]
+
+
+def test_later_blocks_are_sent_to_fewer_cells_of_customers(spark, monkeypatch):
+    monkeypatch.setattr(R, "CUSTOMERS_AT_ONCE", 8)
+    monkeypatch.setattr(R, "PRODUCTS_AT_ONCE", 13)
+    cells, real = [], R._in_cells
+
+    def spy(left, right, n_users, k):
+        cells.append(n_users)
+        return real(left, right, n_users, k)
+    monkeypatch.setattr(R, "_in_cells", spy)
+    R.product_recommendations(tastes(spark, customers=72), k=3, rank=2, iterations=1)
+    assert cells == [9, 2]

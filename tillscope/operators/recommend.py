@@ -37,8 +37,12 @@ from tillscope.operators.ranking import global_row_number
 from tillscope.session import materialize
 
 CUSTOMERS_AT_ONCE, PRODUCTS_AT_ONCE = 32768, 8192
-#: Scores held at once in a task.
-SCORES_AT_ONCE = 1 << 22
+#: Cells of customers that meet the later blocks together: a block is sent to fewer cells.
+CELLS_TOGETHER = 8
+#: Scores held at once in a task: they stay in a core's cache.
+SCORES_AT_ONCE = 1 << 19
+#: Purchases in a block of the factorisation, about: a task holds a block and the factors it asks for.
+PURCHASES_AT_ONCE = 2_000_000
 
 
 def purchases(sales_df: DataFrame) -> DataFrame:
@@ -55,14 +59,18 @@ def _numbered(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def fit_factors(bought: DataFrame, rank: int = 16, iterations: int = 8, regularisation: float = 0.1,
                 alpha: float = 10.0, blocks: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(customer_id, user, features) and (product_id, item, features) of ``purchases``."""
+    """(customer_id, user, features) and (product_id, item, features) of ``purchases``.
+
+    The blocks grow with the purchases, so a task's memory does not; factors start from random numbers of their block.
+    A checkpoint in each iteration lets the shuffles of the one before go.
+    """
     users, items = _numbered(bought, "customer_id", "user"), _numbered(bought, "product_id", "item")
     numbered = materialize(bought.join(users, "customer_id").join(items, "product_id").select("user", "item", "times"),
                            "recommend-purchases")
-    n = blocks or max(2, numbered.sparkSession.sparkContext.defaultParallelism)
+    n = blocks or max(2, numbered.sparkSession.sparkContext.defaultParallelism, -(-numbered.count() // PURCHASES_AT_ONCE))
     model = ALS(userCol="user", itemCol="item", ratingCol="times", implicitPrefs=True, rank=rank, maxIter=iterations,
                 regParam=regularisation, alpha=alpha, numUserBlocks=n, numItemBlocks=n, seed=seed,
-                checkpointInterval=-1).fit(numbered)
+                checkpointInterval=1).fit(numbered)
     of = lambda ids, factors, key: materialize(
         factors.withColumnRenamed("id", key).join(ids, key), f"recommend-{key}-factors")
     return of(users, model.userFactors, "user"), of(items, model.itemFactors, "item")
@@ -83,7 +91,7 @@ def _best_of_cell(k: int):
         at = np.minimum(np.searchsorted(items, which), len(items) - 1)
         here = items[at] == which
         whose, at = whose[here], at[here]
-        out, step = [none], max(1, SCORES_AT_ONCE // len(items))
+        out, step = [], max(1, SCORES_AT_ONCE // len(items))
         for lo in range(0, len(users), step):
             scores = left[lo:lo + step] @ right
             a, z = np.searchsorted(whose, [lo, lo + step])
@@ -92,14 +100,15 @@ def _best_of_cell(k: int):
             open_ = np.flatnonzero(bound == -np.inf)
             if len(open_) and len(items) > k:
                 bound[open_] = np.partition(scores[open_], len(items) - k, axis=1)[:, len(items) - k]
-            row, col = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
+            # what was bought scores -inf, below every bound
+            row, col = np.divmod(np.flatnonzero(scores >= np.maximum(bound, np.finfo(np.float32).min)[:, None]), len(items))
             score = scores[row, col]
             order = np.lexsort((col, -score, row))  # ties: the smaller item
             row, col, score = row[order], col[order], score[order]
             best = np.arange(len(row)) - np.searchsorted(row, row) < k
-            out.append(pa.table({"user": users[lo + row[best]].astype(np.int32), "item": items[col[best]].astype(np.int32),
-                                 "score": score[best].astype(np.float64)}))
-        return pa.concat_tables(out)
+            out.append((users[lo + row[best]], items[col[best]], score[best]))
+        found = [np.concatenate(c).astype(t) for c, t in zip(zip(*out), (np.int32, np.int32, np.float64))]
+        return pa.table(dict(zip(none.column_names, found)))
     return run
 
 
@@ -149,7 +158,7 @@ def recommend(users: DataFrame, items: DataFrame, bought: DataFrame, k: int = 10
         .select("user", "features", "seen", "least", F.explode(F.transform(ahead, lambda b: b["i"])).alias("i")) \
         .select("user", "features", of_block(F.col("i")), F.coalesce("least", F.lit(float("-inf"))).alias("floor"), "i") \
         .withColumnRenamed("floor", "least")
-    rest = _in_cells(more, placed.where("i > 0"), n_users, k)
+    rest = _in_cells(more, placed.where("i > 0"), -(-n_users // CELLS_TOGETHER), k)
     best = _kth(first.drop("rank").unionByName(rest), k)
     return best.join(users.select("user", "customer_id"), "user").join(items.select("item", "product_id"), "item") \
         .select("customer_id", "rank", "product_id", "score")
